@@ -108,14 +108,14 @@ def with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     docs = df.select(F.col(id_col).cast("long").alias("k"), text.alias("t"), F.xxhash64(text).alias("h"))
     keys = checkpointed(docs.select("k", "h", F.length("t").cast("long").alias("n")).distinct())
     before = successors(keys)
-    held = docs.withColumn("kk", F.coalesce("k", F.lit(0))).withColumn("kn", F.col("k").isNull())
+    held = docs.select(F.coalesce("k", F.lit(0)).alias("kk"), F.col("k").isNull().alias("kn"), "h", "t")  # the same columns for both uses, so that one shuffle serves them
     link = before.select(F.coalesce("k", F.lit(0)).alias("kk"), F.col("k").isNull().alias("kn"), "h", "pk", "ph", "pn")
     # each document, once, sends what its predecessor needs
     sent = held.join(link, ["kk", "kn", "h"]).select("pk", "ph", F.expr("substring(t, 1, cast(floor(pn / 4) as int))").alias("start"), F.array_distinct(leaves(tree(F.col("t")))).alias("next_set"))
     sent = sent.groupBy(F.coalesce("pk", F.lit(0)).alias("kk"), F.col("pk").isNull().alias("kn"), F.col("ph").alias("h")).agg(F.first(F.struct("start", "next_set")).alias("s"))
     x = held.join(sent, ["kk", "kn", "h"])
     n = F.length("t")
-    x = x.select(F.col("k"), "t", n.cast("long").alias("n_chars"), F.concat(F.expr("substring(t, 1, length(t) - cast(floor(length(t) / 4) as int))"), F.col("s.start")).alias("edited"), F.col("s.next_set").alias("next_set"))
+    x = x.select(F.when(~F.col("kn"), F.col("kk")).alias("k"), "t", n.cast("long").alias("n_chars"), F.concat(F.expr("substring(t, 1, length(t) - cast(floor(length(t) / 4) as int))"), F.col("s.start")).alias("edited"), F.col("s.next_set").alias("next_set"))
     x = x.select("k", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("t")).alias("a"), tree(F.col("edited")).alias("b"), "next_set")
     x = x.select("k", "n_chars", "edited_sha256", root(F.col("a")).alias("ra"), root(F.col("b")).alias("rb"), leaves(F.col("a")).alias("la"), leaves(F.col("b")).alias("lb"), "next_set")
     x = x.withColumn("sa", F.array_distinct("la")).withColumn("sb", F.array_distinct("lb"))
