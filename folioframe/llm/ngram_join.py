@@ -288,6 +288,7 @@ def _slice_counts(keyed: DataFrame, classes: DataFrame, words: int, part_of: flo
     edge = int(part_of * 2**64) if part_of < 1 else 2**64
     parts = max(1, round(total * part_of / COUNTED) + 1)
     width = edge // parts + 1
+    tasks = spread(keyed.sparkSession)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from folioframe.llm import ngram_join as m
@@ -305,13 +306,37 @@ def _slice_counts(keyed: DataFrame, classes: DataFrame, words: int, part_of: flo
         from folioframe.llm import ngram_join as m
 
         _, fps, _, number = m._counted(t)
-        order = np.argsort(fps, kind="stable")
-        fps, shared = fps[order], (number[order] > 1).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], fps[1:] != fps[:-1]]))
-        return pa.table({"fp": fps[first], "held": np.diff(np.append(first, len(fps))), "shared": np.add.reduceat(shared, first)})
+        return m._told(fps, np.ones(len(fps), np.int64), (number > 1).astype(np.int64), tasks)
+
+    def add(t: pa.Table) -> pa.Table:
+        from folioframe.llm import ngram_join as m
+
+        return m._per_class(m._joined(t, "fps", np.int64), m._joined(t, "held", np.int32), m._joined(t, "shared", np.int32))
 
     dealt = keyed.select("t").mapInArrow(deal, _DEALT_SQL)
-    return dealt.groupBy("p").applyInArrow(count, "fp long, held long, shared long").groupBy("fp").agg(F.sum("held").alias("held"), F.sum("shared").alias("shared"))
+    told = dealt.groupBy("p").applyInArrow(count, "q int, fps binary, held binary, shared binary")
+    return told.groupBy("q").applyInArrow(add, "fp long, held long, shared long")
+
+
+def _per_class(fps: np.ndarray, held: np.ndarray, shared: np.ndarray) -> pa.Table:
+    """Sums by class."""
+    order = np.argsort(fps, kind="stable")
+    fps, held, shared = fps[order], held[order].astype(np.int64), shared[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], fps[1:] != fps[:-1]])) if len(fps) else np.zeros(0, np.int64)
+    sums = [np.add.reduceat(x, first) if len(first) else x for x in (held, shared)]
+    return pa.table({"fp": fps[first], "held": sums[0], "shared": sums[1]})
+
+
+def _told(fps: np.ndarray, held: np.ndarray, shared: np.ndarray, tasks: int) -> pa.Table:
+    """Sums by class of one range of hashes, packed into a row for each of ``tasks`` groups of classes."""
+    t = _per_class(fps, held, shared)
+    fps, held, shared = (t.column(c).to_numpy() for c in ("fp", "held", "shared"))
+    group = (fps.astype(np.uint64) % np.uint64(tasks)).astype(np.int64)
+    out = []
+    for q in np.unique(group).tolist():
+        own = group == q
+        out.append({"q": q, "fps": fps[own].tobytes(), "held": held[own].astype(np.int32).tobytes(), "shared": shared[own].astype(np.int32).tobytes()})
+    return pa.Table.from_pylist(out, pa.schema([("q", pa.int32()), ("fps", pa.binary()), ("held", pa.binary()), ("shared", pa.binary())]))
 
 
 def _ordered_sets(keyed: DataFrame, alive: DataFrame, words: int, sim: Similarity) -> DataFrame:
