@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import bitsliced, bpe, merkle, mixing, ngram_join
+from folioframe.llm import bitsliced, bloom_lm, bpe, merkle, mixing, ngram_join
 from folioframe.llm._spark import table
 
 #: Vocabulary file of the query for operator 10, by name.
@@ -28,6 +28,10 @@ def op6_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitsliced.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
 
 
+def op8_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score(table(spark, sf_dir, "documents"), folds=10).withColumnRenamed("id", "doc_id")
+
+
 def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.with_edits(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op5_ngram_join": op5_ngram_join,
     "op6_bit_sliced_top_k": op6_bit_sliced_top_k,
+    "op8_bloom_lm": op8_bloom_lm,
     "op9_merkle": op9_merkle,
     "op10_bpe": op10_bpe,
 }
