@@ -8,13 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import bitsliced, bloom_lm, bpe, merkle, mixing, ngram_join
+from folioframe.llm import bitsliced, bloom_lm, bpe, convnet, html_lstm, merkle, mixing, ngram_join
 from folioframe.llm._spark import table
 
 #: Vocabulary file of the query for operator 10, by name.
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convnet.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, fold=1)
+
+
+def op2_html_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_lstm.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_repeats=3)
 
@@ -41,6 +49,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_convnet": op1_byte_convnet,
+    "op2_html_lstm": op2_html_lstm,
     "op3_mixing": op3_mixing,
     "op5_ngram_join": op5_ngram_join,
     "op6_bit_sliced_top_k": op6_bit_sliced_top_k,
