@@ -383,7 +383,10 @@ def extract(df: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url"), html_c
     spark = df.sparkSession
     ship(spark)
     page = F.coalesce(F.col(html_col), F.lit(""))
-    seen = df.where(F.length(page).between(1, SAMPLE_CHARS)).select(page.alias("h")).orderBy(F.xxhash64(page), page).limit(sample).collect()
+    # the pages of lowest hash: hashes are ranked first, so that only the chosen pages leave their tasks
+    ranked = df.where(F.length(page).between(1, SAMPLE_CHARS)).select(F.xxhash64(page).alias("x"), page.alias("h"))
+    edge = ranked.select("x").distinct().orderBy("x").limit(sample).agg(F.max("x")).first()[0]
+    seen = ranked.where(F.col("x") <= F.lit(edge)).groupBy("x").agg(F.first("h").alias("h")).orderBy("x").collect()
     shared = spark.sparkContext.broadcast(train([r["h"] for r in seen]))
     rows = df.select(page.alias("_html"), *id_cols)
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import bitsliced, bloom_lm, bpe, convnet, html_lstm, merkle, mixing, ngram_join
+from folioframe.llm import bitsliced, bloom_lm, bpe, convnet, html_lstm, licenses, merkle, mixing, ngram_join, preference
 from folioframe.llm._spark import table
 
 #: Vocabulary file of the query for operator 10, by name.
@@ -27,6 +27,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_repeats=3)
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: ``source/lang/doc_id.txt``; a document of at most 40 words stands for a licence file of its folder."""
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    short = mixing.words(F.col("text")) <= 40
+    return licenses.scan(table(spark, sf_dir, "documents"), path, F.col("text"), short, threshold=0.75, carry=("doc_id",))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.link(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")
@@ -36,6 +43,11 @@ def op6_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitsliced.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
 
 
+def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = preference.with_next_answer(table(spark, sf_dir, "conversations"))
+    return preference.pairs(turns, *(F.col(c) for c in ("pair_id", "side", "turn", "role", "text")))
+
+
 def op8_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score(table(spark, sf_dir, "documents"), folds=10).withColumnRenamed("id", "doc_id")
 
@@ -52,8 +64,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_convnet": op1_byte_convnet,
     "op2_html_lstm": op2_html_lstm,
     "op3_mixing": op3_mixing,
+    "op4_licenses": op4_licenses,
     "op5_ngram_join": op5_ngram_join,
     "op6_bit_sliced_top_k": op6_bit_sliced_top_k,
+    "op7_preference": op7_preference,
     "op8_bloom_lm": op8_bloom_lm,
     "op9_merkle": op9_merkle,
     "op10_bpe": op10_bpe,
@@ -80,4 +94,8 @@ c AS (SELECT d.doc_id, d.size, p.total, p.target, p.n, p.target - p.n * p.total
 SELECT doc_id, size, total AS source_size, target,
        size * (n + CASE WHEN upto <= rest OR (upto - here <= rest AND abs(upto - rest) < abs(upto - here - rest)) THEN 1 ELSE 0 END) AS taken
 FROM c""",
+    "op4_licenses": licenses.sql(
+        "documents", "concat_ws('/', source, lang, doc_id || '.txt')", "text", r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) <= 40", 0.75, "doc_id"
+    ),
+    "op7_preference": preference.SQL,
 }
