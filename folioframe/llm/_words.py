@@ -21,7 +21,7 @@ _LOW[65:91] += 32
 _POW: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,11 +73,11 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(total)
 
 
-def steps(texts: Iterable[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of consecutive texts of about STEP_BYTES, each with the place of its first text."""
+def steps(texts: Iterable[bytes], most: int = STEP_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of consecutive texts of about ``most`` bytes, each with the place of its first text."""
     first, held, size = 0, [], 0
     for k, t in enumerate(texts):
-        if held and size + len(t) > STEP_BYTES:
+        if held and size + len(t) > most:
             yield first, held
             first, held, size = k, [], 0
         held.append(t)

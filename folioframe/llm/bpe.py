@@ -25,7 +25,9 @@ from folioframe.llm._spark import ship
 from folioframe.llm._words import steps
 
 #: Matches that a worker's cache holds before it is emptied.
-CACHE_MATCHES = 400_000
+CACHE_MATCHES = 300_000
+#: Bytes of text that are split at once.
+STEP_BYTES = 1 << 19
 #: Longest match (bytes) that is merged beside others; longer ones are merged alone.
 WIDE = 128
 _NONE = np.int64(2**62)
@@ -230,7 +232,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         enc = bpe._text_encoder(shared, pattern)
         for batch in batches:
             whole: list[bytes] = []
-            for _, held in steps(x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()):
+            for _, held in steps((x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()), STEP_BYTES):
                 whole += enc.encode_all([x.decode("utf-8", "replace") for x in held])
             if digests:
                 cols = [

@@ -32,8 +32,9 @@ CHUNK, OVERLAP, WIDTH, FILTERS = 256, 32, 8, 24
 PER_CLASS, TRAIN_CHUNKS = 2_000, 8
 EPOCHS, BATCH, RATE, SEED = 12, 64, 0.01, 7
 _STEP = CHUNK - OVERLAP
-#: Bytes of one text that are scored at once.
-PIECE = _STEP * 8192
+#: Bytes that are scored at once: of short texts together, and of one long text (a whole number of chunks).
+STEP_BYTES = 1 << 18
+PIECE = _STEP * 1024
 
 
 def chunk_starts(size: int) -> np.ndarray:
@@ -136,7 +137,7 @@ class ConvNet:
         if self.constant is not None:
             out[:] = self.constant
             return out
-        for first, held in steps(texts):
+        for first, held in steps(texts, STEP_BYTES):
             if len(held) == 1 and len(held[0]) > PIECE + OVERLAP:
                 t = held[0]
                 runs = [self.features([t[a : a + PIECE + OVERLAP]])[0] for a in range(0, len(t) - OVERLAP, PIECE)]
