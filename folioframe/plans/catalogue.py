@@ -1,10 +1,6 @@
 """Queries of the reference inventory and their SQL, by name."""
 
-from __future__ import annotations
+from folioframe.plans import audit, numbering, tokens  # noqa: F401  each adds its queries
+from folioframe.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
