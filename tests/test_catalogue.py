@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import same_rows
+from helper import same_rows
 from folioframe.plans import catalogue
 
 
@@ -23,7 +23,7 @@ def test_entry(spark):
 
 
 def test_nothing_else_imports_llm():
-    from conftest import ROOT
+    from helper import ROOT
 
     for p in (ROOT / "folioframe").rglob("*.py"):
         if "llm" not in p.parts:
