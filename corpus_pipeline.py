@@ -29,8 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = ngram_join.link(docs, words=5, num=8, den=10)
     key = F.coalesce(F.col("id"), F.lit(0)), F.col("id").isNull()
     alone = found.where("n_shingles = 0").select("id", "text_hash")
-    kept = found.where("n_shingles > 0 AND id <=> component_id").select("id", "text_hash", "component_id")
-    kept = kept.groupBy("component_id", "id").agg(F.min("text_hash").alias("text_hash")).select("id", "text_hash").union(alone).distinct()
+    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("f"))
+    kept = first.select("f.id", "f.text_hash").union(alone).distinct()
     kept = checkpointed(kept.select(key[0].alias("_k"), key[1].alias("_n"), F.col("text_hash").alias("_h")))
     rows = docs.select(F.struct("*").alias("_row"), F.coalesce("doc_id", F.lit(0)).alias("_k"), F.col("doc_id").isNull().alias("_n"), F.xxhash64("text").alias("_h"))
     one = rows.join(kept, ["_k", "_n", "_h"]).dropDuplicates(["_k", "_n", "_h"])

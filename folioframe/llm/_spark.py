@@ -1,33 +1,14 @@
-"""What the operators need of a session: shipped code, shared checkpoints, reading tables."""
+"""What the operators need of a session: shared checkpoints, reading tables."""
 
 from __future__ import annotations
 
-import io
-import os
 import tempfile
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's sources to the Python workers, once for each application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent).as_posix())
-    path = os.path.join(tempfile.mkdtemp(prefix="folioframe"), "folioframe.zip")
-    Path(path).write_bytes(held.getvalue())
-    sc.addPyFile(path)
-    _SHIPPED.add(sc.applicationId)
+from folioframe.runtime import ship
 
+__all__ = ["checkpointed", "ship", "spread", "table"]
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the folder in spark.checkpoint.dir and cut its lineage there.

@@ -240,10 +240,11 @@ def _id_filter(ids: DataFrame, count: int) -> np.ndarray:
 
 
 def link(df: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, text_hash, n_shingles, component_id, n_links`` of every row of ``df``.
+    """``id, text_hash, n_shingles, component_id, n_links, root`` of every row of ``df``.
 
     Rows link when ``den * intersection >= num * union`` of their sets of ``words``-word shingles; ``component_id`` is the smallest id reachable by
-    links, ``n_links`` the number of other rows linked directly.
+    links, ``n_links`` the number of other rows linked directly, ``root`` a key of the component (null for empty sets), which differs between components also
+    where ids repeat.
     """
     spark = df.sparkSession
     ship(spark)
@@ -274,12 +275,12 @@ def link(df: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: str
 
     root = components(found.select(F.col("fp").alias("u"), F.col("root").alias("v")))
     of = classes.select("fp", "least").join(root.withColumnRenamed("node", "fp"), "fp").withColumn("_salt", salt("fp"))
-    comp = beside(of, "root", summed(of, "root", [F.min("least").alias("l")], [F.min("l").alias("component")])).select("fp", "component")
+    comp = beside(of, "root", summed(of, "root", [F.min("least").alias("l")], [F.min("l").alias("component")])).select("fp", "root", "component")
     links = found.groupBy("fp").agg(F.sum("links").alias("links"))
     told = classes.join(comp, "fp", "left").join(links, "fp", "left")
-    told = told.select("fp", F.coalesce("component", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"), "_salts")
-    linked = beside(rows.where("n > 0"), "fp", told).select("id", "text_hash", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    return linked.union(rows.where("n = 0").select("id", "text_hash", "n", F.col("id"), F.lit(0).cast("long")))
+    told = told.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"), "_salts")
+    linked = beside(rows.where("n > 0"), "fp", told).select("id", "text_hash", F.col("n").alias("n_shingles"), "component_id", "n_links", "root")
+    return linked.union(rows.where("n = 0").select("id", "text_hash", "n", F.col("id"), F.lit(0).cast("long"), F.lit(None).cast("long")))
 
 
 def _slice_counts(keyed: DataFrame, classes: DataFrame, words: int, part_of: float) -> DataFrame:
