@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from folioframe.llm._spark import checkpointed
 
-#: Ranges of ids in which successors are looked up beside each other.
-RANGES = 64
+#: Documents in a range of ids, and the least number of ranges in which successors are looked up beside each other.
+RANGE_ROWS, RANGES = 1_000_000, 64
 
 
 def tree(text: Column) -> Column:
@@ -82,11 +82,10 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def successors(keys: DataFrame) -> DataFrame:
     """``keys`` (k long, h long, n) are distinct on (k, h); adds that of the row before: pk, ph, pn; the first row follows the last.
 
-    Ranges of ids keep every window small; only the first and last row of each range are looked at together.
+    Ranges of ids keep every window small, at any size; only the last row of each range is looked at together with others.
     """
-    bounds = keys.agg(F.percentile_approx("k", [i / RANGES for i in range(1, RANGES)], 10_000).alias("b")).first()["b"] or []
-    at = F.array(*[F.lit(x).cast("long") for x in sorted(set(bounds))]) if bounds else F.array().cast("array<bigint>")
-    keys = keys.withColumn("r", F.when(F.col("k").isNull(), -1).otherwise(F.size(F.filter(at, lambda b: b <= F.col("k")))))
+    number = max(RANGES, -(-keys.count() // RANGE_ROWS))
+    keys = checkpointed(keys.repartitionByRange(number, "k", "h").withColumn("r", F.spark_partition_id()))
     inside = W.partitionBy("r").orderBy("k", "h")
     ends = keys.groupBy("r").agg(F.max(F.struct(F.col("k").isNotNull(), "k", "h", "n")).alias("last"))
     every = W.orderBy("r")
