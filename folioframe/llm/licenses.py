@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm._groups import beside, salt, summed
+from folioframe.llm._spark import checkpointed
 
 # fixed values: statements of public licenses, by SPDX name; the first lines of their texts and usual notices
 TEMPLATES: list[tuple[str, str]] = [
@@ -79,6 +80,7 @@ def own_licenses(files: DataFrame, threshold: float) -> DataFrame:
     said = held.select("file", F.posexplode(parts).alias("at", "s"))
     terms = said.select("file", "at", F.explode(F.regexp_extract_all("s", F.lit(_TERM), F.lit(0))).alias("term"))
     bags = terms.groupBy("file", "at", "term").agg(F.count("*").alias("n")).join(known, "term", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(other)))
+    bags = checkpointed(bags.select("file", "at", "term", "x"))  # used twice; statements are a small part of the texts
     norms = bags.groupBy("file", "at").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = bags.join(table, "term").groupBy("file", "at", "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     cosine = dots.join(norms, ["file", "at"]).select("file", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= threshold)
@@ -99,7 +101,7 @@ def scan(df: DataFrame, path: Column, text: Column, is_licence: Column | None =
     rows = df.select(path.alias("path"), F.coalesce(text, F.lit("")).alias("text"), marked.alias("is_licence"), *carry)
     rows = rows.withColumn("file", F.xxhash64("path", "text", "is_licence"))
     own = own_licenses(rows.select("file", "text", "is_licence"), threshold)
-    rows = rows.drop("text").join(own, "file", "left").withColumn("dir", parent(F.col("path"))).withColumn("_salt", salt("file"))
+    rows = checkpointed(rows.drop("text").join(own, "file", "left").withColumn("dir", parent(F.col("path"))).withColumn("_salt", salt("file")))  # without texts
     given = rows.where(F.col("is_licence") & F.col("license").isNotNull() & F.col("path").isNotNull())
     given = given.groupBy(F.col("dir").alias("above")).agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("g"))
     folders = summed(rows.where("path IS NOT NULL"), "dir", [F.count("*").alias("c")], [F.sum("c").alias("c")])
