@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm._groups import beside, salt, summed
+from folioframe.llm._spark import checkpointed
 
 #: How a turn is rendered: what stands before the role, between role and text, and after the text.
 MARKS = ("<|", "|>\n", "<|end|>\n")
@@ -37,7 +38,7 @@ def pairs(turns: DataFrame, pair: Column, side: Column, turn: Column, role: Colu
         return F.sort_array(F.collect_set(F.when(F.col("side") == name, F.col("said"))))
 
     both = rows.groupBy("pair_id", "turn").agg(of("chosen").alias("c"), of("rejected").alias("r"))
-    both = both.withColumn("differs", F.col("c") != F.col("r")).withColumn("_salt", salt("turn"))
+    both = checkpointed(both.withColumn("differs", F.col("c") != F.col("r")).withColumn("_salt", salt("turn")))  # used twice
     first = summed(both, "pair_id", [F.min(F.when(F.col("differs"), F.col("turn"))).alias("m")], [F.min("m").alias("cut")])
     laid = beside(both, "pair_id", first)
     common = F.col("cut").isNull() | (F.col("turn") < F.col("cut"))
@@ -77,15 +78,15 @@ def with_next_answer(turns: DataFrame, conv: str = "conv_id", turn: str = "turn"
 
     rows = turns.where(F.col(conv).isNotNull()).select(F.col(conv).cast("long").alias("pair_id"), F.coalesce(F.col(turn).cast("long"), F.lit(_LAST)).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).withColumn("_salt", salt("turn"))
     answer = F.when(F.col("role") == LEARNED, F.struct("turn", "text"))
-    answers = summed(rows, "pair_id", [F.max(answer).alias("m")], [F.max("m").alias("last")]).where("last IS NOT NULL")
+    answers = checkpointed(summed(rows, "pair_id", [F.max(answer).alias("m")], [F.max("m").alias("last")]).where("last IS NOT NULL"))
     link = successors(answers.select(F.col("pair_id").alias("k"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("n")))
     other = answers.select(F.col("pair_id").alias("k"), F.col("last.text").alias("given")).join(link, "k").select(F.col("pk").alias("pair_id"), "given")
-    ends = answers.join(other, "pair_id").select("pair_id", F.col("last.turn").alias("end"), "given", "_salts")
-    laid = beside(rows, "pair_id", ends)
-    chosen = laid.select("pair_id", F.lit("chosen").alias("side"), "turn", "role", "text")
-    kept = laid.where(F.col("turn") < F.col("end")).select("pair_id", F.lit("rejected").alias("side"), "turn", "role", "text")
+    ends = checkpointed(answers.join(other, "pair_id").select("pair_id", F.col("last.turn").alias("end"), "given", "_salts"))
+    laid = beside(rows, "pair_id", ends.select("pair_id", "end", "_salts"))
+    sides = F.when(F.col("turn") < F.col("end"), F.array(F.lit("chosen"), F.lit("rejected"))).otherwise(F.array(F.lit("chosen")))
+    shared = laid.select("pair_id", F.explode(sides).alias("side"), "turn", "role", "text")
     swapped = ends.select("pair_id", F.lit("rejected").alias("side"), F.col("end").alias("turn"), F.lit(LEARNED).alias("role"), F.col("given").alias("text"))
-    return chosen.unionByName(kept).unionByName(swapped)
+    return shared.unionByName(swapped)
 
 
 #: The same, from conversations, for DuckDB.
