@@ -34,8 +34,8 @@ from folioframe.llm._groups import SALTS, beside, components, salt, summed
 from folioframe.llm._spark import checkpointed, ship, spread
 from folioframe.llm._words import mix, shingles, steps, word_hashes
 
-#: Shingles that one counting task takes.
-COUNTED = 2_000_000
+#: Shingles that one counting task takes, and that a reading task sends at once.
+COUNTED, SENT = 1_000_000, 1_000_000
 #: Classes of a chunk at a leader.
 CHUNK = 128
 #: Bits of the filter that tells which documents go on: 16 for each class, up to this bound (16 MB); beyond it, more pass needlessly.
@@ -94,6 +94,20 @@ def _dealt(found: list[tuple[int, int, np.ndarray]], parts: int, width: int) ->
             yield {"p": p, "fps": fps[has].tobytes(), "sizes": sizes[has].tobytes(), "counts": count[has].astype(np.int32).tobytes(), "hashes": hashes[own].tobytes()}
 
 
+def _sent(sets: Iterator[tuple[int, np.ndarray]], parts: int, width: int, edge: int) -> Iterator[dict]:
+    """The distinct non-empty sets, cut to hashes below ``edge``, dealt by range; about SENT shingles at a time."""
+    found, seen, held = [], set(), 0
+    for _, s in sets:
+        if len(s) and (fp := set_fingerprint(s)) not in seen:
+            seen.add(fp)
+            found.append((fp, len(s), s if edge == 2**64 else s[: np.searchsorted(s, np.uint64(edge))].copy()))
+            held += len(found[-1][2])
+        if held >= SENT:
+            yield from _dealt(found, parts, width)
+            found, held = [], 0
+    yield from _dealt(found, parts, width)
+
+
 _DEALT = pa.schema([("p", pa.int32()), ("fps", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
 _DEALT_SQL = "p int, fps binary, sizes binary, counts binary, hashes binary"
 
@@ -295,12 +309,7 @@ def _slice_counts(keyed: DataFrame, classes: DataFrame, words: int, part_of: flo
         from folioframe.llm import ngram_join as m
 
         for batch in batches:
-            found, seen = [], set()
-            for _, s in m.text_sets(batch.column(0), words):
-                if len(s) and (fp := m.set_fingerprint(s)) not in seen:
-                    seen.add(fp)
-                    found.append((fp, len(s), s if edge == 2**64 else s[: np.searchsorted(s, np.uint64(edge))]))
-            for row in m._dealt(found, parts, width):
+            for row in m._sent(m.text_sets(batch.column(0), words), parts, width, edge):
                 yield pa.RecordBatch.from_pylist([row], m._DEALT)
 
     def count(t: pa.Table) -> pa.Table:
@@ -356,12 +365,7 @@ def _ordered_sets(keyed: DataFrame, alive: DataFrame, words: int, sim: Similarit
         for batch in batches:
             a, b = batch.column(0).to_numpy() & (8 * len(bits) - 1), batch.column(1).to_numpy() & (8 * len(bits) - 1)
             keep = np.flatnonzero((bits[a >> 3] >> (a & 7).astype(np.uint8) & 1) & (bits[b >> 3] >> (b & 7).astype(np.uint8) & 1))
-            found, seen = [], set()
-            for _, s in m.text_sets(batch.column(2), words, keep):
-                if len(s) and (fp := m.set_fingerprint(s)) not in seen:
-                    seen.add(fp)
-                    found.append((fp, len(s), s))
-            for row in m._dealt(found, parts, width):
+            for row in m._sent(m.text_sets(batch.column(2), words, keep), parts, width, 2**64):
                 yield pa.RecordBatch.from_pylist([row], m._DEALT)
 
     def common(t: pa.Table) -> pa.Table:
