@@ -36,7 +36,7 @@ from folioframe.llm._words import mix, steps, word_hashes
 #: Bits of the whole filter at most (64 MB), bits for each entry, and probes.
 FILTER_BITS, ENTRY_BITS, PROBES = 1 << 29, 10, 4
 #: Bytes of text that one range of hashes stands for, and tokens that a batch sends at once.
-RANGE_BYTES, BATCH_TOKENS = 24_000_000, 2_500_000
+RANGE_BYTES, BATCH_TOKENS = 12_000_000, 2_000_000
 #: Share of pair evidence and its pull towards single words.
 WEIGHT, PULL = 0.3, 5.0
 #: The end of a text; as a history, its beginning.
@@ -150,7 +150,7 @@ def packed_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def unpacked_counts(small: np.ndarray, large: np.ndarray) -> np.ndarray:
-    out = small.astype(np.int64)
+    out = small.astype(np.int32 if not len(large) or large.max() < 2**31 else np.int64)
     out[small == 255] = large
     return out
 
@@ -172,8 +172,9 @@ def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     counts = np.concatenate([c for _, c in parts])
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
+    del order
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    return keys[first], np.add.reduceat(counts, first, dtype=np.int64) if len(first) else counts.astype(np.int64)
 
 
 _COUNTS = ["words", "word_counts", "word_large", "pairs", "pair_counts", "pair_large"]
