@@ -97,5 +97,9 @@ FROM c""",
     "op4_licenses": licenses.sql(
         "documents", "concat_ws('/', source, lang, doc_id || '.txt')", "text", r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) <= 40", 0.75, "doc_id"
     ),
+    "op6_bit_sliced_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64.0 * x::DOUBLE)) AS q FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
     "op7_preference": preference.SQL,
 }
