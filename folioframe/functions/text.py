@@ -38,11 +38,20 @@ def collapse_newlines(t: Column) -> Column:
     return F.concat(strip(F.regexp_replace(t, r"\n{3,}", "\n\n")), F.lit("\n"))
 
 
+def _only(t: Column, pattern: str, changed: Column) -> Column:
+    """``changed`` for texts that hold the pattern; the others, which it would leave as they are, pass after one scan."""
+    return F.when(F.rlike(t, F.lit(pattern)), changed).otherwise(t)
+
+
 def fold_width(t: Column) -> Column:
-    return F.translate(t, FULL_WIDTH, HALF_WIDTH)
+    return _only(t, f"[{FULL_WIDTH}]", F.translate(t, FULL_WIDTH, HALF_WIDTH))
 
 
 def latex_symbols(t: Column) -> Column:
+    return _only(t, r"\\", _symbols(t))
+
+
+def _symbols(t: Column) -> Column:
     for name, symbol in LATEX:
         t = F.regexp_replace(t, rf"\\{name}(?![a-zA-Z])", symbol)
     return t
@@ -54,12 +63,17 @@ def without_structure(t: Column) -> Column:
 
 def fuse_digits(t: Column) -> Column:
     """``1 . 9 0`` becomes ``1.90``; line breaks between digits are spaces too."""
+    return _only(t, r"\p{Nd}", _fused(t))
+
+
+def _fused(t: Column) -> Column:
     t = F.regexp_replace(t, r"(?U)(?<=\d)\s+(?=[.\d])", "")
     return F.regexp_replace(t, r"(?U)(?<=\.)\s+(?=\d)", "")
 
 
 def normalised_markdown(t: Column) -> Column:
-    return fuse_digits(without_structure(latex_symbols(t)))
+    """Symbols for LaTeX commands, no structure characters, digits fused; a text without any of these and without digits stays as it is."""
+    return _only(t, r"[\\{}$^_\p{Nd}]", _fused(without_structure(_symbols(t))))
 
 
 def is_running_head(line: Column) -> Column:

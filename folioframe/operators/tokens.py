@@ -15,10 +15,11 @@ def _symbol_kind(c: Column) -> Column:
 
 def multiset(rows: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """``keys, kind, tok, cnt``: numbers, and single comparators, roman numerals and unit signs, of the width-folded text."""
-    t = fold_width(text)
-    numbers = F.transform(F.regexp_extract_all(t, F.lit(NUMBER), F.lit(0)), lambda x: F.struct(F.lit("num").alias("kind"), x.alias("tok")))
-    symbols = F.transform(F.regexp_extract_all(t, F.lit(f"[{COMPARATORS}{ROMANS}{UNITS}]"), F.lit(0)), lambda x: F.struct(_symbol_kind(x).alias("kind"), x.alias("tok")))
-    found = rows.select(*keys, F.explode(F.concat(numbers, symbols)).alias("x"))
+    # texts without digits and symbols have no tokens; full-width digits are digits too
+    held = rows.select(*keys, text.alias("_text")).where(F.rlike("_text", F.lit(rf"[\p{{Nd}}{COMPARATORS}{ROMANS}{UNITS}]"))).select(*keys, fold_width(F.col("_text")).alias("_text"))
+    numbers = F.transform(F.regexp_extract_all("_text", F.lit(NUMBER), F.lit(0)), lambda x: F.struct(F.lit("num").alias("kind"), x.alias("tok")))
+    symbols = F.transform(F.regexp_extract_all("_text", F.lit(f"[{COMPARATORS}{ROMANS}{UNITS}]"), F.lit(0)), lambda x: F.struct(_symbol_kind(x).alias("kind"), x.alias("tok")))
+    found = held.select(*keys, F.explode(F.concat(numbers, symbols)).alias("x"))
     return found.groupBy(*keys, F.col("x.kind").alias("kind"), F.col("x.tok").alias("tok")).agg(F.count("*").alias("cnt"))
 
 
