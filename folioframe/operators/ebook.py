@@ -190,6 +190,28 @@ def convert(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, BOOK)
 
 
+def images(files: DataFrame) -> DataFrame:
+    """``path, name, content``: every image of every readable file (path, content); of equal names in an EPUB the last one stands."""
+    ship(files.sparkSession)
+
+    def held(data: bytes) -> dict[str, bytes]:
+        if data[:2] != b"PK":
+            return dict(mobi_text(data)["images"].values())
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            return {posixpath.basename(n): z.read(n) for n in epub_package(data)["images"]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    found = held(data)
+                except (ValueError, KeyError, StopIteration, zipfile.BadZipFile, ElementTree.ParseError, struct.error, TypeError):
+                    continue  # ``convert`` reports the error
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.binary())], ["path", "name", "content"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, name string, content binary")
+
+
 def sanity(section: Column, chars: Column) -> Column:
     """Warning of a converted book: old section, or hardly any text."""
     return F.when(section == "MOBI6", "old_section").when(chars < 2000, "short")

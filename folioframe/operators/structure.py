@@ -102,6 +102,37 @@ def closing(records: DataFrame) -> DataFrame:
     return records.groupBy("book_id").agg((F.count_if(F.col("kind").isin("decision", "rule", "checklist", "experiment")) >= 1).alias("done"))
 
 
+# fixed values: what a chapter that was only skimmed carries
+SKIMMED = "略读·AI 代梳理"
+
+
+def skimming(chapters: DataFrame) -> DataFrame:
+    """``book_id, chapter, finding``: skimmed chapters (mode 'skim') without their label or with a compression sentence, and others with the label."""
+    skim = F.col("mode") == "skim"
+    labelled = F.coalesce(F.col("label") == SKIMMED, F.lit(False))
+    finding = F.when(skim & ~labelled, "label_missing").when(skim & F.col("compression").isNotNull(), "compressed_though_skimmed").when(~skim & labelled, "label_without_skimming")
+    return chapters.select("book_id", "chapter", finding.alias("finding")).where("finding IS NOT NULL")
+
+
+def reading_queue(mentions: DataFrame, known: DataFrame) -> DataFrame:
+    """``book_id, place, title, relation, author``: books that come up while reading, queued after the current one, direct ones first.
+
+    A mentioned book counts once, at its first mention, and only when ``known`` (title, author) confirms that it exists.
+    """
+    first = mentions.groupBy("book_id", "title").agg(F.min(F.struct("seq", "relation")).alias("m"))
+    found = first.join(known.select("title", "author").dropDuplicates(["title"]), "title")
+    order = W.partitionBy("book_id").orderBy(F.col("m.relation") != "direct", "m.seq", "title")
+    return found.select("book_id", F.row_number().over(order).alias("place"), "title", F.col("m.relation").alias("relation"), "author")
+
+
+def merged_parts(parts: DataFrame) -> DataFrame:
+    """``doc_id, n_parts, contiguous, text``: partial outputs (first_page, last_page, text) in order of pages; whether they follow on each other without holes."""
+    held = F.sort_array(F.collect_list(F.struct("first_page", "last_page", "text")))
+    out = parts.groupBy("doc_id").agg(held.alias("p"))
+    follows = F.forall(F.sequence(F.lit(1), F.size("p")), lambda i: (i == 1) | (F.element_at("p", i)["first_page"] == F.try_element_at(F.col("p"), F.greatest(i - 1, F.lit(1)))["last_page"] + 1))
+    return out.select("doc_id", F.size("p").alias("n_parts"), follows.alias("contiguous"), F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"))
+
+
 def split_tables(blocks: DataFrame) -> DataFrame:
     """Blocks marked 'table' or 'narrative'; tables must be confirmed at the source."""
     table = F.rlike("text", F.lit(r"(?s)<table|^\s*\|.*\|\s*$"))

@@ -72,6 +72,12 @@ def mobi_convert(spark, d):
     return eb.convert(_books(spark, d, page)).withColumn("warning", eb.sanity(F.col("section"), F.col("chars")))
 
 
+@query("book_images")
+def book_images(spark, d):
+    page = lambda title, names: mobi_bytes("<p>x</p>", [b"\x89PNG" + x.encode() for x in names])
+    return eb.images(_books(spark, d, page)).select("path", "name", F.length("content").alias("size"), F.md5("content").alias("digest"))
+
+
 @query("lz77_fixture")
 def lz77_fixture(spark, d):
     rows = [(h, eb.lz77(bytes.fromhex(h)).decode("latin-1")) for h in ("414243", "E1", "4142438018", "027879", "00", "8018", "41C0")]

@@ -218,3 +218,31 @@ def error_taxonomy(spark, d):
 @query("narrative_split", r"SELECT doc_id, CASE WHEN regexp_matches(text, '(?s)<table|^\s*\|.*\|\s*$') THEN 'table' ELSE 'narrative' END AS part, regexp_matches(text, '(?s)<table|^\s*\|.*\|\s*$') AS confirm FROM documents")
 def narrative_split(spark, d):
     return st.split_tables(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "part", "confirm")
+
+
+READ = Literal("rd", "book_id int, chapter int, mode string, label string, compression string", [
+    (1, 1, "read", None, "a"), (1, 2, "skim", st.SKIMMED, None), (1, 3, "skim", None, None), (2, 1, "skim", st.SKIMMED, "b"), (2, 2, "read", st.SKIMMED, "c"), (2, 3, None, None, None),
+])
+
+
+@query("skim_labels", f"""WITH {READ.sql} SELECT * FROM (SELECT book_id, chapter, CASE WHEN mode = 'skim' AND coalesce(label, '') <> '{st.SKIMMED}' THEN 'label_missing'
+WHEN mode = 'skim' AND compression IS NOT NULL THEN 'compressed_though_skimmed' WHEN mode <> 'skim' AND label = '{st.SKIMMED}' THEN 'label_without_skimming' END AS finding FROM rd) WHERE finding IS NOT NULL""")
+def skim_labels(spark, d):
+    return st.skimming(READ.df(spark))
+
+
+MENTIONS = Literal("mn", "book_id int, seq int, title string, relation string", [(1, 1, "B", "collateral"), (1, 2, "A", "direct"), (1, 3, "B", "direct"), (1, 4, "X", "direct"), (2, 1, "A", "collateral"), (2, 2, "C", "direct")])
+KNOWN = Literal("kn", "title string, author string", [("A", "a"), ("B", "b"), ("C", "c"), ("D", "d")])
+
+
+@query("related_books", f"""WITH {MENTIONS.sql}, {KNOWN.sql}, f AS (SELECT * FROM mn QUALIFY row_number() OVER (PARTITION BY book_id, title ORDER BY seq) = 1)
+SELECT book_id, (row_number() OVER (PARTITION BY book_id ORDER BY relation <> 'direct', seq, title))::INT AS place, title, relation, author FROM f JOIN kn USING (title)""")
+def related_books(spark, d):
+    return st.reading_queue(MENTIONS.df(spark), KNOWN.df(spark))
+
+
+@query("merge_parts", r"""WITH p AS (SELECT conv_id AS doc_id, turn, text, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE role <> 'system')
+SELECT doc_id, count(*)::INT AS n_parts, bool_and(before IS NULL OR turn = before + 1) AS contiguous, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM p GROUP BY doc_id""")
+def merge_parts(spark, d):
+    turns = table(spark, d, "conversations").where("role <> 'system'")
+    return st.merged_parts(turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("first_page"), F.col("turn").alias("last_page"), "text"))

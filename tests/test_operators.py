@@ -170,3 +170,11 @@ def test_stream(spark, tmp_path):
     q = ingest.audit_numbering(ingest.documents(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert [r["ordinals"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["3"]
+
+
+def test_parts_and_images(spark):
+    parts = spark.createDataFrame([(1, 200, 399, "b"), (1, 0, 199, "a"), (2, 0, 9, "c"), (2, 11, 20, "d")], "doc_id int, first_page int, last_page int, text string")
+    got = {r["doc_id"]: (r["n_parts"], r["contiguous"], r["text"]) for r in structure.merged_parts(parts).collect()}
+    assert got == {1: (2, True, "a\n\nb"), 2: (2, False, "c\n\nd")}
+    books = spark.createDataFrame([("/b.mobi", bytearray(mobi_bytes("<p>x</p>", [b"BM1", b"GIF8"]))), ("/bad", bytearray(b"zz")), ("/none.epub", bytearray(epub_bytes("T", "", ["<p>a</p>"])))], "path string, content binary")
+    assert [(r["name"], bytes(r["content"])) for r in ebook.images(books).orderBy("name").collect()] == [("img0001.bmp", b"BM1"), ("img0002.gif", b"GIF8")]
