@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folioframe.runtime import ship
 
-__all__ = ["checkpointed", "ship", "spread", "table"]
+__all__ = ["checkpointed", "dealt", "ship", "spread", "table"]
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the folder in spark.checkpoint.dir and cut its lineage there.
@@ -32,3 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(spark: SparkSession) -> int:
     """Partitions for keyed groups: what the session sets for its shuffles."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as the session has cores.
+
+    A table of a few small files is read in fewer splits than that, and the models' CPU time would fall to one or two
+    tasks. Larger tables have more splits than cores and stay as they are read, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

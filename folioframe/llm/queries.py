@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.llm import bitsliced, bloom_lm, bpe, convnet, html_lstm, licenses, merkle, mixing, ngram_join, preference
-from folioframe.llm._spark import table
+from folioframe.llm._spark import dealt, table
 
 #: Vocabulary file of the query for operator 10, by name.
 RANKS = "byte_bpe_50k.tiktoken"
 
 
 def op1_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return convnet.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, fold=1)
+    return convnet.score(dealt(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"), folds=3, fold=1)
 
 
 def op2_html_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, digests=True)
+    return bpe.encode(dealt(table(spark, sf_dir, "documents")), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, digests=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
