@@ -3,8 +3,8 @@
 Counting: every batch of training texts sends its distinct words and word pairs with their counts to ranges of the
 hash space, packed as bytes; each range adds them up over the whole corpus. Counts are quantised to levels, four to an octave for words and
 one for pairs (a pair seen once has level 0), and every range writes a segment of the filter, in which an n-gram of level q is entered with
-levels 1 to q (pairs from the least level that is entered). The segments are put together on the driver and broadcast: their size is chosen
-from the number of entries and never above ``FILTER_BITS``; should the pairs need more, the least level that is entered rises for all of them.
+levels 1 to q (pairs of more than one from level 1, see ``LEAST``). A segment has ``ENTRY_BITS`` for each of its entries, so the filter grows with the corpus and its
+error does not. The driver streams the segments into one file, which Spark gives to every executor; workers map it into memory.
 
 Scoring: the level of an n-gram is found by probing level 1, 2, ... up to the first miss. With c' the lower end of the level and c" its upper end,
 
@@ -23,20 +23,30 @@ u = 1 (the base, 0.1 / 0.1, is 1 for each token); an empty table gives an empty
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm._spark import checkpointed, ship, spread
 from folioframe.llm._words import mix, steps, word_hashes
 
-#: Bits of the whole filter at most (64 MB), bits for each entry, and probes.
-FILTER_BITS, ENTRY_BITS, PROBES = 1 << 29, 10, 4
+#: Bits for each entry of the filter, and probes.
+ENTRY_BITS, PROBES = 10, 4
+#: The least level at which pairs are entered.
+LEAST = 1
 #: Bytes of text that one range of hashes stands for, and tokens that a batch sends at once.
 RANGE_BYTES, BATCH_TOKENS = 12_000_000, 2_000_000
+#: Keys that are entered at once.
+STEP_KEYS = 1 << 17
 #: Share of pair evidence and its pull towards single words.
 WEIGHT, PULL = 0.3, 5.0
 #: The end of a text; as a history, its beginning.
@@ -82,36 +92,51 @@ def _places(keys: np.ndarray, kind: int, level: int, probe: int, bits: np.ndarra
     return (x + np.uint64(probe) * (x >> np.uint64(32) | np.uint64(1))) % bits
 
 
-def segment(words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, least: int, most_bits: int) -> np.ndarray:
-    """The filter's bytes for one range."""
+def segment(words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, least: int, most_bits: int | None = None) -> np.ndarray:
+    """The filter's bytes for one range; ``most_bits`` bounds them in experiments only."""
     of_words, of_pairs = word_level(word_counts), pair_level(pair_counts, least)
     entries = int(of_words.sum() + np.maximum(of_pairs - least + 1, 0).sum())
-    bits = max(64, min(most_bits, entries * ENTRY_BITS + 63) // 64 * 64)
+    bits = entries * ENTRY_BITS + 63
+    bits = max(64, (bits if most_bits is None else min(most_bits, bits)) // 64 * 64)
     out = np.zeros(bits, np.uint8)
     for kind, keys, levels in ((0, words, of_words), (1, pairs, of_pairs)):
         for level in range(least if kind else 1, int(levels.max(initial=0)) + 1):
             own = keys[levels >= level]
-            for probe in range(PROBES):
-                out[_places(own, kind, level, probe, np.uint64(bits))] = 1
+            for at in range(0, len(own), STEP_KEYS):
+                for probe in range(PROBES):
+                    out[_places(own[at : at + STEP_KEYS], kind, level, probe, np.uint64(bits))] = 1
     return np.packbits(out, bitorder="little")
 
 
 class Model:
-    """What is broadcast: corpus sums and the filter."""
+    """What is broadcast: corpus sums, and the filter or the name of its file."""
 
     def __init__(self, total: int, distinct: int, once: int, least: int, segments: list[bytes]):
-        self.total, self.distinct, self.once, self.least = total, distinct, once, least
-        self.unknown = min(max(once / total, 1 / (total + 1)), 0.5) if total else 1.0
+        self._sums(total, distinct, once, least)
         self.bits = np.array([8 * len(s) for s in segments], np.uint64)
         self.first = np.cumsum(self.bits) - self.bits
         self.filter = np.frombuffer(b"".join(segments), np.uint8)
         self.ranges = len(segments)
 
+    @classmethod
+    def in_file(cls, total: int, distinct: int, once: int, least: int, first: np.ndarray, bits: np.ndarray, file: str) -> Model:
+        """A model whose segments lie in a file that was given to ``SparkContext.addFile``."""
+        self = cls.__new__(cls)
+        self._sums(total, distinct, once, least)
+        self.first, self.bits, self.ranges, self.filter, self.file = first, bits, len(bits), None, file
+        return self
+
+    def _sums(self, total: int, distinct: int, once: int, least: int) -> None:
+        self.total, self.distinct, self.once, self.least = total, distinct, once, least
+        self.unknown = min(max(once / total, 1 / (total + 1)), 0.5) if total else 1.0
+
     def levels(self, keys: np.ndarray, where: np.ndarray, kind: int) -> np.ndarray:
-        """The highest level up to which every level is entered; 0 if none is."""
-        out = np.zeros(len(keys), np.int64)
-        alive = np.arange(len(keys))
+        """The highest level up to which every level is entered; the one below the least if none is."""
+        if self.filter is None:
+            self.filter = np.memmap(SparkFiles.get(self.file), np.uint8, "r")
         level = self.least if kind else 1
+        out = np.full(len(keys), level - 1, np.int64)
+        alive = np.arange(len(keys))
         while len(alive):
             for probe in range(PROBES):
                 at = self.first[where[alive]] + _places(keys[alive], kind, level, probe, self.bits[where[alive]])
@@ -138,7 +163,7 @@ class Model:
         # with pair counts rounded down and history counts up, a history's pairs never sum to more than 1
         history = high[previous]
         share = WEIGHT * history / (history + PULL)
-        seen = np.where((deep > 0) & (history > 0), np.minimum(2.0**deep / np.maximum(history, 1e-9), 1.0), 0.0)
+        seen = np.where((deep >= self.least) & (history > 0), np.minimum(2.0**deep / np.maximum(history, 1e-9), 1.0), 0.0)
         p = share * seen + (1 - share) * one[own]
         return sizes, np.add.reduceat(np.log10(p), np.cumsum(sizes) - sizes)
 
@@ -180,8 +205,8 @@ def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 _COUNTS = ["words", "word_counts", "word_large", "pairs", "pair_counts", "pair_large"]
 
 
-def _counts_schema(*more: tuple) -> pa.Schema:
-    return pa.schema([("p", pa.int32()), *[(c, pa.binary()) for c in _COUNTS], *more])
+_DEALT = pa.schema([("p", pa.int32()), *[(c, pa.binary()) for c in _COUNTS]])
+_KEPT = pa.schema([("p", pa.int32()), *[(c, pa.binary()) for c in _COUNTS[:3]], ("total", pa.int64()), ("distinct", pa.int64()), ("once", pa.int64()), ("bits", pa.binary())])
 
 
 def _token_batches(column: pa.Array, most: int) -> Iterator[tuple[int, list[int], list[np.ndarray], list[np.ndarray]]]:
@@ -205,7 +230,7 @@ def held_out(ident: Column, folds: int) -> Column:
 
 
 def count(docs: DataFrame, ranges: int) -> DataFrame:
-    """Exact counts of the texts (column ``t``): a row for each range of hashes."""
+    """Exact counts of the words of the texts (column ``t``) and the filter's segment: a row for each range of hashes."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from folioframe.llm import bloom_lm as m
@@ -223,7 +248,7 @@ def count(docs: DataFrame, ranges: int) -> DataFrame:
                     a, b, c, d = wcut[p], wcut[p + 1], pcut[p], pcut[p + 1]
                     if b > a or d > c:
                         out.append({"p": p, "words": words[a:b].tobytes(), "word_counts": wc[a:b].tobytes(), "word_large": wl[wbig[a] : wbig[b]].tobytes(), "pairs": m.short(pairs[c:d]), "pair_counts": pc[c:d].tobytes(), "pair_large": pl[pbig[c] : pbig[d]].tobytes()})
-                yield pa.RecordBatch.from_pylist(out, m._counts_schema())
+                yield pa.RecordBatch.from_pylist(out, m._DEALT)
 
     def add(t: pa.Table) -> pa.Table:
         from folioframe.llm import bloom_lm as m
@@ -236,37 +261,31 @@ def count(docs: DataFrame, ranges: int) -> DataFrame:
 
         words, wc = m.added([(np.frombuffer(r["words"], np.uint64), counts(r, "word")) for r in rows])
         pairs, pc = m.added([(m.long(r["pairs"], p), counts(r, "pair")) for r in rows])
-        levels = np.bincount(m.pair_level(pc), minlength=m.LEVELS)
-        more = pc > 1
-        pairs, pc = pairs[more], pc[more]
-        row = {"p": p, "words": words.tobytes(), "word_counts": np.minimum(wc, 255).astype(np.uint8).tobytes(), "word_large": wc[wc >= 255].tobytes(), "pairs": m.short(pairs), "pair_counts": np.minimum(pc, 255).astype(np.uint8).tobytes(), "pair_large": pc[pc >= 255].tobytes()}
-        row |= {"total": int(wc.sum()), "distinct": len(wc), "once": int((wc == 1).sum()), "entries": int(m.word_level(wc).sum()) if len(wc) else 0, "levels": levels.tolist()}
-        return pa.Table.from_pylist([row], m._counts_schema(("total", pa.int64()), ("distinct", pa.int64()), ("once", pa.int64()), ("entries", pa.int64()), ("levels", pa.list_(pa.int64()))))
+        row = {"p": p, "words": words.tobytes(), "word_counts": np.minimum(wc, 255).astype(np.uint8).tobytes(), "word_large": wc[wc >= 255].tobytes()}
+        row |= {"total": int(wc.sum()), "distinct": len(wc), "once": int((wc == 1).sum()), "bits": m.segment(words, wc, pairs, pc, m.LEAST).tobytes()}
+        return pa.Table.from_pylist([row], m._KEPT)
 
     sql = "p int, " + ", ".join(f"{c} binary" for c in _COUNTS)
-    return docs.mapInArrow(deal, sql).groupBy("p").applyInArrow(add, f"{sql}, total long, distinct long, once long, entries long, levels array<long>")
+    return docs.mapInArrow(deal, sql).groupBy("p").applyInArrow(add, "p int, words binary, word_counts binary, word_large binary, total long, distinct long, once long, bits binary")
 
 
 def train(counts: DataFrame, ranges: int) -> Model:
     """The model of counted texts; ``counts`` is what ``count`` returned, written down."""
-    sums = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "distinct", "once", "entries")]).first()
-    of_level = {r["pos"]: r["n"] for r in counts.select(F.posexplode("levels").alias("pos", "c")).groupBy("pos").agg(F.sum("c").alias("n")).collect()}
-    least = 1
-    while sums["entries"] * ENTRY_BITS < FILTER_BITS and ENTRY_BITS * (sums["entries"] + sum(n * max(0, k - least + 1) for k, n in of_level.items())) > FILTER_BITS:
-        least += 1
-    most = FILTER_BITS // ranges
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from folioframe.llm import bloom_lm as m
-
-        for batch in batches:
-            for r in batch.to_pylist():
-                args = [np.frombuffer(r["words"], np.uint64), m.unpacked_counts(np.frombuffer(r["word_counts"], np.uint8), np.frombuffer(r["word_large"], np.int64))]
-                args += [m.long(r["pairs"], r["p"]), m.unpacked_counts(np.frombuffer(r["pair_counts"], np.uint8), np.frombuffer(r["pair_large"], np.int64))]
-                yield pa.RecordBatch.from_pylist([{"p": r["p"], "bits": m.segment(*args, least, most).tobytes()}], pa.schema([("p", pa.int32()), ("bits", pa.binary())]))
-
-    found = {r["p"]: bytes(r["bits"]) for r in counts.select("p", *_COUNTS).mapInArrow(fill, "p int, bits binary").collect()}
-    return Model(sums["total"], sums["distinct"], sums["once"], least, [found.get(p, bytes(8)) for p in range(ranges)])
+    sc = counts.sparkSession.sparkContext
+    sums = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "distinct", "once")]).first()
+    # Spark serves the file from here for as long as the session lives
+    folder = tempfile.mkdtemp(prefix="folioframe-filter")
+    atexit.register(shutil.rmtree, folder, True)
+    file = Path(folder, f"{uuid.uuid4().hex}.bloom")
+    # a range without n-grams has the empty segment at the front
+    first, bits = np.zeros(ranges, np.uint64), np.full(ranges, 64, np.uint64)
+    with file.open("wb") as out:
+        at = out.write(bytes(8))
+        for r in counts.select("p", "bits").toLocalIterator(prefetchPartitions=True):
+            first[r["p"]], bits[r["p"]] = 8 * at, 8 * len(r["bits"])
+            at += out.write(r["bits"])
+    sc.addFile(str(file))
+    return Model.in_file(sums["total"], sums["distinct"], sums["once"], LEAST, first, bits, file.name)
 
 
 def base_sums(docs: DataFrame, counts: DataFrame, ranges: int, total: int, distinct: int) -> DataFrame:

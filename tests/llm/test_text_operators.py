@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from helper import same_rows
 from folioframe.llm import bloom_lm, bpe, convnet, merkle, mixing, ngram_join, queries
+from folioframe.llm._spark import checkpointed
 from folioframe.llm._words import STEP_BYTES, shingles, steps, word_hashes
 
 RANKS = P.path(queries.RANKS)
@@ -260,6 +261,21 @@ def test_lm_edges(spark, edge, none):
     assert bloom_lm.score(none).collect() == []
 
 
+def test_lm_filter_grows_with_its_entries(spark, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "FILTER_BITS", 1 << 12, raising=False)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"t{int(x)}" for x in rng.zipf(1.3, 2000) % 3000) for _ in range(4)]
+    tokens, before, _ = bloom_lm.token_runs([t.encode() for t in texts])
+    model = bloom_lm.train(checkpointed(bloom_lm.count(spark.createDataFrame([(t,) for t in texts], "t string"), 8)), 8)
+    words, wc = np.unique(tokens, return_counts=True)
+    got = model.levels(words, bloom_lm.range_of(words, 8).astype(np.int64), 0)
+    assert (got >= bloom_lm.word_level(wc)).all() and (got == bloom_lm.word_level(wc)).mean() > 0.9
+    pairs, pc = np.unique(bloom_lm.pair_keys(before, tokens, 8), return_counts=True)
+    pairs, pc = pairs[pc > 1], pc[pc > 1]
+    deep = model.levels(pairs, (pairs >> np.uint64(48)).astype(np.int64), 1)
+    assert (deep >= bloom_lm.pair_level(pc)).all() and (deep == bloom_lm.pair_level(pc)).mean() > 0.9
+
+
 def test_lm_needs_no_training_text(spark):
     held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 10 == 0)
     r = bloom_lm.score(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
