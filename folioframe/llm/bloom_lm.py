@@ -3,7 +3,7 @@
 Counting: every batch of training texts sends its distinct words and word pairs with their counts to ranges of the
 hash space, packed as bytes; each range adds them up over the whole corpus. Counts are quantised to levels, four to an octave for words and
 one for pairs (a pair seen once has level 0), and every range writes a segment of the filter, in which an n-gram of level q is entered with
-levels 1 to q (pairs of more than one from level 1, see ``LEAST``). A segment has ``ENTRY_BITS`` for each of its entries, so the filter grows with the corpus and its
+levels 1 to q (pairs with levels 0 to q, so those seen once too). A segment has ``ENTRY_BITS`` for each of its entries, so the filter grows with the corpus and its
 error does not. The driver streams the segments into one file, which Spark gives to every executor; workers map it into memory.
 
 Scoring: the level of an n-gram is found by probing level 1, 2, ... up to the first miss. With c' the lower end of the level and c" its upper end,
@@ -41,8 +41,8 @@ from folioframe.llm._words import mix, steps, word_hashes
 
 #: Bits for each entry of the filter, and probes.
 ENTRY_BITS, PROBES = 10, 4
-#: The least level at which pairs are entered.
-LEAST = 1
+#: The least level at which pairs are entered; pairs seen once have level 0.
+LEAST = 0
 #: Bytes of text that one range of hashes stands for, and tokens that a batch sends at once.
 RANGE_BYTES, BATCH_TOKENS = 12_000_000, 2_000_000
 #: Keys that are entered at once.

@@ -276,6 +276,15 @@ def test_lm_filter_grows_with_its_entries(spark, monkeypatch):
     assert (deep >= bloom_lm.pair_level(pc)).all() and (deep == bloom_lm.pair_level(pc)).mean() > 0.9
 
 
+def test_lm_pairs_seen_once_count(spark):
+    model = bloom_lm.train(checkpointed(bloom_lm.count(spark.createDataFrame([("a b c d a c",), ("a d b",)], "t string"), 8)), 8)
+    tokens, before, _ = bloom_lm.token_runs([b"b c", b"c b"])  # 'b c' was seen once, 'c b' never
+    pairs = bloom_lm.pair_keys(before, tokens, 8)
+    assert model.levels(pairs, (pairs >> np.uint64(48)).astype(np.int64), 1).tolist()[1::3] == [0, -1]
+    once, never = (model.scores([t])[1][0] for t in (b"a b c", b"a c b"))
+    assert once > never
+
+
 def test_lm_needs_no_training_text(spark):
     held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 10 == 0)
     r = bloom_lm.score(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
