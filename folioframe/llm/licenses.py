@@ -4,7 +4,8 @@ A file's statements are its sentences and lines that hold one of ANCHORS; every
 anchor has no business with a template. A file that ``is_licence`` marks is a statement as a whole too. Statements become term
 counts, joined with the templates' term weights (a constant table): idf over the templates, terms that no template has
 weigh as the rarest, and the cosine of a statement with each template follows from sums. A file has the license of its best statement with a
-cosine of at least ``threshold``; a file without one gets that of the nearest ancestor directory that holds a licence file with a license. Directories
+cosine of at least ``threshold``; published headers and licence texts, wrapped or commented as they may be, are compared by the same
+cosine (idf over PUBLISHED) with the run of words that follows each place where one may begin, and go before single statements. A file without one gets that of the nearest ancestor directory that holds a licence file with a license. Directories
 are resolved once each, then given to their files, with large directories dealt in parts.
 
 Edge cases: null text states nothing; a null path has no directory and inherits nothing; ties between templates go to the first name, between
@@ -44,6 +45,46 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Proprietary", "All rights reserved"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 ]
+_DEAL = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
+_AS_IS = ". THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"
+_BSD_2 = TEMPLATES[2][1] + ": 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_ISC_END = ". THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS"
+_GNU = "{0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}General Public License for more details"
+_FSF = " Free Software Foundation, Inc. {} Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"
+_GNU_FILES = [("GPL-2.0", "", "2, June 1991 Copyright (C) 1989, 1991", ""), ("GPL-3.0", "", "3, 29 June 2007 Copyright (C) 2007", "https://fsf.org/"), ("LGPL-2.1", "Lesser ", "2.1, February 1999 Copyright (C) 1991, 1999", ""), ("LGPL-3.0", "Lesser ", "3, 29 June 2007 Copyright (C) 2007", "https://fsf.org/"), ("AGPL-3.0", "Affero ", "3, 19 November 2007 Copyright (C) 2007", "https://fsf.org/")]
+_SPDX = "Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 ISC MIT MIT-0 MPL-2.0 Unlicense Zlib 0BSD".split()
+_SPDX_GNU = "GPL-2.0 GPL-3.0 LGPL-2.1 LGPL-3.0 AGPL-3.0".split()
+# fixed values: published headers and licence texts, or their first paragraphs, by SPDX name; each is compared with the words that follow its first ones
+PUBLISHED: list[tuple[str, str]] = [
+    ("MIT", _DEAL + ", subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software" + _AS_IS),
+    ("MIT-0", _DEAL + _AS_IS),
+    ("BSD-2-Clause", _BSD_2 + _BSD_END),
+    ("BSD-3-Clause", _BSD_2 + _BSD_3 + _BSD_END),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file"),
+    ("MIT", "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file"),
+    ("ISC", _ISC + ", provided that the above copyright notice and this permission notice appear in all copies" + _ISC_END),
+    ("0BSD", _ISC + _ISC_END),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL-2.0", "Eclipse Public License v 2.0 THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (AGREEMENT)"),
+    ("BSL-1.0", "Boost Software License Version 1.0 August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES"),
+    *[(name, _GNU.format(what, kind, version)) for what in ("This program", "This library") for name, kind, version in [("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3")]],
+    *[(name, f"GNU {kind}General Public License Version {version}" + _FSF.format(site)) for name, kind, version, site in _GNU_FILES],
+    *[(name, f"SPDX-License-Identifier: {name}") for name in _SPDX],
+    *[(name, f"SPDX-License-Identifier: {name}{more}") for name in _SPDX_GNU for more in ("", "-only", "-or-later", "+")],
+]
+#: Words at the start of a published text at which it is looked for.
+FIRST_WORDS = 5
 # fixed values: what a statement must hold, as a regular expression over lower-case text
 ANCHORS = r"licen[cs]e|all rights reserved|permission is hereby granted|redistribution and use|public domain"
 #: Names of licence files.
@@ -51,13 +92,13 @@ LICENCE_FILE = r"(?i)(?:^|/)(?:un)?(?:licen[cs]e|copying|notice)[^/]*$"
 _TERM = r"[a-z0-9]+"
 
 
-def weights() -> tuple[dict[str, float], float, list[tuple[int, str, str, float]]]:
+def weights(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[dict[str, float], float, list[tuple[int, str, str, float]]]:
     """idf by term, that of other terms, and (template, license, term, tf-idf over the template's norm)."""
-    bags = [Counter(re.findall(_TERM, text.lower())) for _, text in TEMPLATES]
+    bags = [Counter(re.findall(_TERM, text.lower())) for _, text in templates]
     df = Counter(t for b in bags for t in b)
     idf = {t: math.log((1 + len(bags)) / (1 + n)) + 1 for t, n in df.items()}
     rows = []
-    for k, ((name, _), bag) in enumerate(zip(TEMPLATES, bags)):
+    for k, ((name, _), bag) in enumerate(zip(templates, bags)):
         norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in bag.items()))
         rows += [(k, name, t, n * idf[t] / norm) for t, n in sorted(bag.items())]
     return idf, math.log(1 + len(bags)) + 1, rows
@@ -69,25 +110,55 @@ def statements(text: Column) -> Column:
     return F.filter(cut, lambda s: F.rlike(s, F.lit(ANCHORS)))
 
 
-def own_licenses(files: DataFrame, threshold: float) -> DataFrame:
-    """(file, license, score) of files (file long, text, is_licence) with a statement that reaches the threshold."""
-    spark = files.sparkSession
-    idf, other, rows = weights()
+def windows(text: Column) -> Column:
+    """(template, s): the words from each place where a published text may begin, as many as it has, in lower case.
+
+    Line breaks and comment marks are no words, so wrapped and commented texts read like plain ones.
+    """
+    found = []
+    for k, (_, published) in enumerate(PUBLISHED):
+        words = re.findall(_TERM, published.lower())
+        first = words[: FIRST_WORDS if len(words) > 12 else 3]
+        pattern = rf"(?<![a-z0-9])(?=({' '.join(first)}(?: [a-z0-9]++){{0,{len(words) - len(first)}}}+))"
+        at = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        found.append(F.arrays_zip(F.array_repeat(F.lit(k), F.size(at)).alias("template"), at.alias("s")))
+    return F.concat(*found)
+
+
+def _openings() -> str:
+    """What a text that holds a published one must hold, as a regular expression over words."""
+    return "|".join(sorted({" ".join(re.findall(_TERM, t.lower())[:3]) for _, t in PUBLISHED}))
+
+
+def _best(said: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """(file, license, score): the best of the statements (file, at, s, and template, if only that one is meant)."""
+    spark = said.sparkSession
+    idf, other, rows = weights(templates)
     table = F.broadcast(spark.createDataFrame(rows, "template int, license string, term string, weight double"))
     known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
-    held = files.where(F.rlike(F.lower("text"), F.lit(ANCHORS)))
-    parts = F.concat(statements(F.col("text")), F.when(F.col("is_licence"), F.array(F.lower("text"))).otherwise(F.array().cast("array<string>")))
-    said = held.select("file", F.posexplode(parts).alias("at", "s"))
-    terms = said.select("file", "at", F.explode(F.regexp_extract_all("s", F.lit(_TERM), F.lit(0))).alias("term"))
-    bags = terms.groupBy("file", "at", "term").agg(F.count("*").alias("n")).join(known, "term", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(other)))
-    bags = checkpointed(bags.select("file", "at", "term", "x"))  # used twice; statements are a small part of the texts
+    key = [c for c in said.columns if c != "s"]
+    terms = said.select(*key, F.explode(F.regexp_extract_all("s", F.lit(_TERM), F.lit(0))).alias("term"))
+    bags = terms.groupBy(*key, "term").agg(F.count("*").alias("n")).join(known, "term", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(other)))
+    bags = checkpointed(bags.select(*key, "term", "x"))  # used twice; statements are a small part of the texts
     norms = bags.groupBy("file", "at").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = bags.join(table, "term").groupBy("file", "at", "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    dots = bags.join(table, ["term", "template"] if "template" in key else "term").groupBy("file", "at", "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     cosine = dots.join(norms, ["file", "at"]).select("file", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= threshold)
     best = cosine.groupBy("file", "license").agg(F.max("score").alias("score")).groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("b"))
     return best.select("file", F.col("b.license").alias("license"), (-F.col("b.minus")).alias("score"))
 
 
+def own_licenses(files: DataFrame, threshold: float) -> DataFrame:
+    """(file, license, score) of files (file long, text, is_licence) with a published text or else a statement that reaches the threshold."""
+    held = files.where(F.rlike(F.lower("text"), F.lit(ANCHORS)))
+    parts = F.concat(statements(F.col("text")), F.when(F.col("is_licence"), F.array(F.lower("text"))).otherwise(F.array().cast("array<string>")))
+    stated = _best(held.select("file", F.posexplode(parts).alias("at", "s")), TEMPLATES, threshold)
+    words = files.select("file", F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ").alias("w")).where(F.rlike("w", F.lit(_openings())))
+    begun = words.select("file", F.posexplode(windows(F.col("w"))).alias("at", "x")).select("file", "at", "x.template", "x.s")
+    published = _best(begun, PUBLISHED, threshold)
+    both = stated.join(published.withColumnsRenamed({"license": "l", "score": "c"}), "file", "full")
+    return both.select("file", F.coalesce("l", "license").alias("license"), F.coalesce("c", "score").alias("score"))
+
+
 def parent(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 

@@ -1,6 +1,7 @@
 """Operators on pages, vectors, conversations and files, and the pipeline."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -136,6 +137,34 @@ def test_licenses_inherit_from_the_nearest_folder(spark):
 # preference formatting
 
 
+def test_licenses_of_published_texts(spark):
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+    mpl = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */
+int main() {}"""
+    go = """// Copyright 2019 The Go Authors. All rights reserved.
+// Use of this source code is governed by a BSD-style
+// license that can be found in the LICENSE file.
+package x"""
+    rows = [("a.c", "\n".join(f" * {x}" for x in gpl.split("\n")), "GPL-3.0"), ("b.c", gpl.replace("\n", " "), "GPL-3.0"), ("c.c", mpl, "MPL-2.0"), ("d.go", go, "BSD-3-Clause"), ("e.py", "# SPDX-License-Identifier: MIT\nx = 1", "MIT"), ("f.py", "# SPDX-License-Identifier: LGPL-2.1-or-later\nx = 1", "LGPL-2.1"), ("g.py", "# SPDX-License-Identifier: Frob-7\nx = 1", None)]
+    rows += [("h.c", gpl.replace("version 3", "version 2"), "GPL-2.0"), ("i.c", gpl.replace("GNU General", "GNU Lesser General"), "LGPL-3.0")]
+    common = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause"}
+    found = [(Path("/usr/share/common-licenses", f), name) for f, name in common.items()]
+    rows += [(f"common/{p.name}/LICENSE", p.read_text(), name) for p, name in found if p.exists()]
+    got = licenses.scan(spark.createDataFrame([r[:2] for r in rows], "path string, text string"), F.col("path"), F.col("text")).collect()
+    own = {r["path"]: r["license"] if r["origin"] == "own" else None for r in got}
+    assert own == {p: name for p, _, name in rows}
+
+
 def test_preference_pairs(spark):
     c = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 2, "user", "more"), (1, 3, "assistant", "A")]
     r = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 2, "user", "more"), (1, 3, "assistant", "BB"), (1, 4, "assistant", "C")]
