@@ -6,8 +6,9 @@ work on whole bitmaps, and what remains are the bitmaps of all rows' scores. Row
 significant bitmap downward; rows that all digits leave tied are resolved by their ids. Blocks of queries meet blocks of
 the index, each pair sends on at most k rows for a query, and those are ranked by query.
 
-Edge cases: vectors that are null, or hold null, NaN or infinite components, or a scaled component of 2**25 or more in
-size (scores would leave 64 bits) take no part; a query meets rows of its own length only; rows that
+Edge cases: vectors that are null, or hold null, NaN or infinite components, or a scaled component of 2**62 or more in
+size (no 64-bit integer holds it with room for differences) take no part; vectors with a scaled component of 2**25 or more lie in blocks of their own, whose
+bitmaps have as many digits as they need, and a result whose score leaves 64 bits fails the query; a query meets rows of its own length only; rows that
 share the query's id are its own rows; ties go to the smaller id, null ids last; repeated query rows each get an answer;
 an empty table gives an empty result; other columns are not read.
 """
@@ -26,7 +27,11 @@ from folioframe.llm._spark import checkpointed, ship, spread
 
 #: Rows of a block of the index, and queries of a block.
 INDEX_ROWS, QUERY_ROWS = 32_768, 256
-_LIMIT = 2.0**25
+#: Rows of the index, of those with wide components, whose bitmaps are made at once.
+WIDE_ROWS = 4_096
+#: Sizes from which on a scaled component is wide, and takes no part.
+_WIDE, _LIMIT = 2**25, 2.0**62
+_LEAST, _MOST = -(2**63), 2**63 - 1
 
 
 def quantised(vector: Column, scale: float = 64.0) -> Column:
@@ -34,7 +39,7 @@ def quantised(vector: Column, scale: float = 64.0) -> Column:
     def bad(x: Column) -> Column:
         return F.coalesce(F.isnan(x) | (F.abs(x) * scale >= _LIMIT), F.lit(True))
 
-    whole = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("int"))
+    whole = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
     return F.when(vector.isNotNull() & ~F.exists(vector, lambda x: bad(x.cast("double"))), whole)
 
 
@@ -65,7 +70,8 @@ class SlicedBlock:
         """Bitmaps of the scores' digits, lowest first, and what to add to them."""
         size, sign = np.abs(query), (query < 0).astype(np.int64)
         most = (1 << self.digits) - 1
-        base = int((query * self.low).sum()) - most * int(size[query < 0].sum())
+        # Python integers: sums of wide components leave 64 bits
+        base = sum(a * b for a, b in zip(query.tolist(), self.low.tolist())) - most * sum(size[query < 0].tolist())
         top = int(size.max()).bit_length() if len(size) else 0
         held: list[np.ndarray] = []
         out = []
@@ -93,7 +99,7 @@ class SlicedBlock:
         return out, base
 
     def top(self, query: np.ndarray, own: int | None, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the k best rows, without rows of id ``own``."""
+        """Places and scores of the k best rows, without rows of id ``own``; scores beyond 64 bits end at their bounds."""
         rest = self.every.copy()
         if own is not None:
             a, b = np.searchsorted(self.sorted_ids, [own, own + 1])
@@ -116,10 +122,11 @@ class SlicedBlock:
         tied = tied[np.lexsort((self.ids[tied], ~self.known[tied]))][:left]
         places = np.concatenate([chosen, tied])
         word, bit = places >> 6, (places & 63).astype(np.uint64)
-        scores = np.full(len(places), base, np.int64)
+        exact = np.int64 if len(planes) < 62 and abs(base) < 2**62 else object
+        scores = np.full(len(places), base, exact)
         for j, plane in enumerate(planes):
-            scores += (plane[word] >> bit & np.uint64(1)).astype(np.int64) << j
-        return places, scores
+            scores += (plane[word] >> bit & np.uint64(1)).astype(np.int64).astype(exact) << j
+        return places, scores if exact is np.int64 else np.array([min(max(x, _LEAST), _MOST) for x in scores], np.int64)
 
     @staticmethod
     def _places(bitmap: np.ndarray) -> np.ndarray:
@@ -127,28 +134,32 @@ class SlicedBlock:
 
 
 def _packed(rows: DataFrame, blocks: int, name: str) -> DataFrame:
-    """One row for each block and vector length: its ids and its matrix, as bytes."""
+    """One row for each block, vector length and width of components: its ids and its matrix, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        held: dict[int, list[tuple]] = {}
+        held: dict[tuple[int, bool], list[tuple]] = {}
         for batch in batches:
             vectors = batch.column(1)
             sizes = np.diff(vectors.offsets.to_numpy())
-            flat = vectors.flatten().to_numpy().astype(np.int32)
+            flat = vectors.flatten().to_numpy()
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             ids = batch.column(0).fill_null(0).to_numpy()
             starts = np.cumsum(sizes) - sizes
             for d in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == d)
-                held.setdefault(d, []).append((ids[at], known[at], flat[starts[at][:, None] + np.arange(d)]))
-        for d, parts in held.items():
+                rows = flat[starts[at][:, None] + np.arange(d)]
+                wide = (np.abs(rows) >= _WIDE).any(1)
+                for w in np.unique(wide).tolist():
+                    own = wide == w
+                    held.setdefault((d, w), []).append((ids[at][own], known[at][own], rows[own].astype(np.int64 if w else np.int32)))
+        for (d, w), parts in held.items():
             ids, known, flat = (np.concatenate(x) for x in zip(*parts))
-            yield pa.RecordBatch.from_pylist([{"dims": d, name: part, "n": len(ids), "ids": ids.tobytes(), "known": known.tobytes(), "vectors": flat.tobytes()}], pa.schema([("dims", pa.int32()), (name, pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("known", pa.binary()), ("vectors", pa.binary())]))
+            yield pa.RecordBatch.from_pylist([{"dims": d, "wide": w, name: part, "n": len(ids), "ids": ids.tobytes(), "known": known.tobytes(), "vectors": flat.tobytes()}], pa.schema([("dims", pa.int32()), ("wide", pa.bool_()), (name, pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("known", pa.binary()), ("vectors", pa.binary())]))
 
-    return rows.repartition(blocks).mapInArrow(run, f"dims int, {name} int, n int, ids binary, known binary, vectors binary")
+    return rows.repartition(blocks).mapInArrow(run, f"dims int, wide boolean, {name} int, n int, ids binary, known binary, vectors binary")
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0) -> DataFrame:
@@ -161,22 +172,26 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     index = checkpointed(_packed(rows.select("id", "v"), index_blocks, "b"))
     queries = checkpointed(_packed(rows.where("q").select("id", "v"), query_blocks, "qb"))
     left = index.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = queries.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(index_blocks - 1)))).withColumnsRenamed({"n": "qn", "ids": "qids", "known": "qknown", "vectors": "qvectors"})
-    met = left.join(right, ["dims", "b", "qb"]).select("dims", "b", "qb", "n", "ids", "known", "vectors", "qn", "qids", "qknown", "qvectors")
+    right = queries.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(index_blocks - 1)))).withColumnsRenamed({"wide": "qwide", "n": "qn", "ids": "qids", "known": "qknown", "vectors": "qvectors"})
+    met = left.join(right, ["dims", "b", "qb"]).select("dims", "b", "qb", "wide", "qwide", "n", "ids", "known", "vectors", "qn", "qids", "qknown", "qvectors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from folioframe.llm.bitsliced import SlicedBlock
+        from folioframe.llm.bitsliced import WIDE_ROWS, SlicedBlock
 
         for batch in batches:
             for r in range(batch.num_rows):
                 x = {name: batch.column(name)[r].as_py() for name in batch.schema.names}
-                block = SlicedBlock(np.frombuffer(x["ids"], np.int64), np.frombuffer(x["known"], bool), np.frombuffer(x["vectors"], np.int32).reshape(x["n"], x["dims"]).astype(np.int64))
+                ids, known = np.frombuffer(x["ids"], np.int64), np.frombuffer(x["known"], bool)
+                rows = np.frombuffer(x["vectors"], np.int64 if x["wide"] else np.int32).reshape(x["n"], x["dims"]).astype(np.int64)
                 qids, qknown = np.frombuffer(x["qids"], np.int64), np.frombuffer(x["qknown"], bool)
-                qs = np.frombuffer(x["qvectors"], np.int32).reshape(x["qn"], x["dims"]).astype(np.int64)
+                qs = np.frombuffer(x["qvectors"], np.int64 if x["qwide"] else np.int32).reshape(x["qn"], x["dims"]).astype(np.int64)
                 out: list[tuple] = []
-                for p, q in enumerate(qs):
-                    places, scores = block.top(q, int(qids[p]) if qknown[p] else None, k)
-                    out.append((np.full(len(places), qids[p]), np.full(len(places), x["qb"] << 32 | p), block.ids[places], block.known[places], scores))
+                step = WIDE_ROWS if x["wide"] else len(rows)
+                for s in range(0, len(rows), step):
+                    block = SlicedBlock(ids[s : s + step], known[s : s + step], rows[s : s + step])
+                    for p, q in enumerate(qs):
+                        places, scores = block.top(q, int(qids[p]) if qknown[p] else None, k)
+                        out.append((np.full(len(places), qids[p]), np.full(len(places), x["qb"] << 32 | x["qwide"] << 31 | p), block.ids[places], block.known[places], scores))
                 qid, at, vid, known, score = (np.concatenate(c) for c in zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(at.astype(np.int64)), pa.array(vid, mask=~known), pa.array(score)], ["query_id", "at", "vec_id", "score"])
 
@@ -184,4 +199,5 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     found = met.mapInArrow(run, "query_id long, at long, vec_id long, score long")
     best = W.partitionBy("dims_at").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     ranked = found.withColumn("dims_at", F.struct("query_id", "at")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    left_64 = F.raise_error(F.concat(F.lit("score leaves 64 bits: query "), F.col("query_id").cast("string"))).cast("long")
+    return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", F.when(F.col("score").isin(_LEAST, _MOST), left_64).otherwise(F.col("score")).alias("score"))

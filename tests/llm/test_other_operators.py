@@ -112,6 +112,26 @@ def test_top_k(spark, monkeypatch):
     assert bitsliced.top_k(df.where("false"), F.col("vec_id") % 10 == 0).collect() == []
 
 
+def test_top_k_of_wide_components(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(k, [float(np.float32(rng.gauss(0, 0.3) * (1 if k % 4 else 10.0 ** rng.randrange(5, 8)))) for _ in range(5)]) for k in range(90)]
+    rows += [(200, [2.0**25, 0.0, 0.0, 0.0, -(2.0**24)]), (201, [-1.0, 2.0**26, 0.25, -700_000.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for size, wide in ((32_768, 4_096), (40, 3)):
+        monkeypatch.setattr(bitsliced, "INDEX_ROWS", size)
+        monkeypatch.setattr(bitsliced, "QUERY_ROWS", size // 10)
+        monkeypatch.setattr(bitsliced, "WIDE_ROWS", wide)
+        got = sorted([tuple(r) for r in bitsliced.top_k(df, F.col("vec_id") % 10 == 0, k=7).collect()], key=str)
+        assert got == brute_top(rows, 7, 10)
+    block = bitsliced.SlicedBlock(np.arange(9), np.ones(9, bool), np.array([[2**60 - j, -(2**61), j] for j in range(9)]))
+    for q in ([3, 1, -5], [2**61, 2**60, 7], [-1, 0, 2**40]):
+        want = sorted(((sum(a * b for a, b in zip(q, [2**60 - j, -(2**61), j])), -j) for j in range(9)), reverse=True)[:4]
+        places, scores = block.top(np.array(q), None, 4)
+        assert sorted(zip(scores.tolist(), (-places).tolist()), reverse=True) == [(min(max(s, -(2**63)), 2**63 - 1), j) for s, j in want]
+    with pytest.raises(Exception, match="leaves 64 bits"):
+        bitsliced.top_k(spark.createDataFrame([(1, [1e12]), (2, [1e12])], "vec_id long, embedding array<double>"), F.col("vec_id") == 1).collect()
+
+
 def test_top_k_query(spark, data):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()]
     assert sorted([tuple(r) for r in queries.op6_bit_sliced_top_k(spark, data).collect()], key=str) == brute_top(rows, 20, 20)
