@@ -35,10 +35,15 @@ EPOCHS, BATCH, RATE, SEED = 6, 32, 0.01, 11
 RUN_BLOCKS = 20_000
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+# texts without tags, and elements whose content is no text of the page
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in "script style iframe textarea title".split()}
+_HIDDEN = frozenset("svg select template noscript".split())
+_END_OF = re.compile(r"</(template|noscript)(?=[\s/>])", re.I)
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"']|(?:^|\s)[^\s=]+)/\Z")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 # fixed values: element names of HTML
@@ -46,8 +51,10 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em f
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _STOPS = frozenset("ul ol dl table div article section main aside nav body form blockquote header footer".split())
+_LEAVE_SVG = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 _CLOSE_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
+_LEAVE_SELECT = _CLOSE_P - {"div", "hr"} | {"input", "textarea"}
 
 class Block:
     __slots__ = ("text", "path", "linked")
@@ -62,6 +69,33 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     held: list[str] = []
     linked = links = at = 0
+    hidden: list[str] = []  # the element whose content is left out, and the open ones in it
+    ends = {m[1].lower(): m.start() for m in _END_OF.finditer(page)}
+
+    def still_hidden(name: str, closing: str, rest: str) -> bool:
+        """Whether a tag in a hidden element leaves the page hidden or does no more than end that element."""
+        kind, foreign = hidden[0], hidden[-1] not in ("foreignobject", "desc", "title")
+        if kind in ("template", "noscript"):
+            if name == kind:
+                hidden.append(name) if not closing and kind == "template" else hidden.pop() if closing else None
+                return True
+            return not (closing and ends.get(kind, -1) < at and any(name == n for n, _ in stack))
+        if closing and name in hidden:
+            del hidden[len(hidden) - 1 - hidden[::-1].index(name) :]
+            return True
+        if closing:
+            return not (any(name == n for n, _ in stack) or kind == "svg" and foreign and name in ("p", "br"))
+        if kind == "select":
+            if name == "select":
+                hidden.clear()
+            elif name not in _LEAVE_SELECT and name not in _VOID:
+                hidden.append(name)
+            return name not in _LEAVE_SELECT
+        if foreign and name in _LEAVE_SVG:
+            return False
+        if name not in _VOID and not _SELF_CLOSED.search(rest):
+            hidden.append(name)
+        return True
 
     def flush() -> None:
         nonlocal held, linked
@@ -71,18 +105,33 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(text, tuple(x for _, names in stack for x in names), linked))
             held, linked = [], 0
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
+    while m := _TOKEN.search(page, at):
+        if m.start() > at and not hidden:
             piece = page[at : m.start()]
             held.append(piece)
             linked += len(piece) if links else 0
         at = m.end()
-        name = m[3] or m[6]
+        name = m[2] or m[5]
         if name is None:
-            if m[1] and m[1].lower() not in ("svg",):
+            continue
+        name, closing, rest = name.lower(), m[1] or m[4], (m[3] or m[6] or "")
+        if hidden and still_hidden(name, closing, rest):
+            if name in _RAW and not closing and hidden and hidden[0] != "svg":
+                end = _RAW[name].search(page, at)
+                at = end.end() if end else len(page)
+            continue
+        hidden.clear()
+        if name in _RAW and not closing:
+            flush()
+            end = _RAW[name].search(page, at)
+            at = end.end() if end else len(page)
+            continue
+        if name in _HIDDEN:
+            if name != "svg":
                 flush()
+            if not closing and not (name == "svg" and _SELF_CLOSED.search(rest)) and not (name == "noscript" and ends.get(name, -1) < at):
+                hidden.append(name)
             continue
-        name, closing, rest = name.lower(), m[2] or m[5], (m[4] or m[7] or "")
         if name == "br":
             held.append(" ")
         elif name == "a":
@@ -110,7 +159,7 @@ def blocks(page: str) -> list[Block]:
             for a in _ATTRIBUTE.finditer(rest):
                 names += [f"{a[1].lower()}.{w}" for w in _NAME.findall((a[2] or a[3] or a[4] or "").lower())]
             stack.append((name, tuple(names)))
-    if at < len(page):
+    if at < len(page) and not hidden:
         held.append(page[at:])
     flush()
     return out

@@ -29,6 +29,16 @@ def test_blocks(page, texts):
     assert [b.text for b in html_lstm.blocks(page)] == texts
 
 
+@pytest.mark.parametrize("page, texts", [
+    ('<article><svg class="i"/><p>one two</p><p>three</p></article>', ["one two", "three"]), ("<p>a</p><title-bar>x</title-bar><p>real text</p>", ["a", "x", "real text"]), ("<template-x><p>k</p></template-x><p>l", ["k", "l"]),
+    ("<div><select><option>a<option>b</div><p>text</p>", ["text"]), ("<select><option>a<p>text</p><select><option>b</select>end", ["text", "end"]), ("<p>a<svg><path d=''><title/><text>no</text></svg>b</p>", ["ab"]),
+    ("<svg><g><p>text</p>", ["text"]), ("<div><svg><foreignObject><div>no</div></foreignObject></svg>text</div>", ["text"]), ("<template><div></div><template>x</template>y</template>z", ["z"]), ("<div><template><p>a</div><p>b", ["b"]),
+    ("<noscript><img src=x>no</noscript>a<noscript>b", ["a", "b"]), ("<title>t</title><textarea>no <p></textarea><iframe>x", []), ("<svg href=a/>no</svg>yes", ["yes"]), ("<script>a</scripty></script >b", ["b"]),
+])
+def test_blocks_around_hidden_elements(page, texts):
+    assert [b.text for b in html_lstm.blocks(page)] == texts
+
+
 def test_extraction_of_given_pages(spark, data):
     rows = {r["page_id"]: r for r in queries.op2_html_lstm(spark, data).collect()}
     right = 0
