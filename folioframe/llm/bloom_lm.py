@@ -4,7 +4,9 @@ Counting: every batch of training texts sends its distinct words and word pairs
 hash space, packed as bytes; each range adds them up over the whole corpus. Counts are quantised to levels, four to an octave for words and
 one for pairs (a pair seen once has level 0), and every range writes a segment of the filter, in which an n-gram of level q is entered with
 levels 1 to q (pairs with levels 0 to q, so those seen once too). A segment has ``ENTRY_BITS`` for each of its entries, so the filter grows with the corpus and its
-error does not. The driver streams the segments into one file, which Spark gives to every executor; workers map it into memory.
+error does not. A filter of at most ``BROADCAST_BYTES`` is put together in one file of the checkpoint folder, which Spark gives to every executor;
+workers map it into memory. A larger one stays in its segments: groups of texts send their distinct n-grams there and get levels back. Both ways
+probe the same segments and give equal scores.
 
 Scoring: the level of an n-gram is found by probing level 1, 2, ... up to the first miss. With c' the lower end of the level and c" its upper end,
 
@@ -23,12 +25,8 @@ u = 1 (the base, 0.1 / 0.1, is 1 for each token); an empty table gives an empty
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -36,19 +34,21 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm._spark import checkpointed, ship, spread
+from folioframe.llm._spark import checkpoint_dir, checkpointed, ship, spread
 from folioframe.llm._words import mix, steps, word_hashes
 
 #: Bits for each entry of the filter, and probes.
 ENTRY_BITS, PROBES = 10, 4
 #: The least level at which pairs are entered; pairs seen once have level 0.
 LEAST = 0
-#: Bytes of text that one range of hashes stands for, and tokens that a batch sends at once.
-RANGE_BYTES, BATCH_TOKENS = 12_000_000, 2_000_000
+#: Bytes of text that one range of hashes stands for, tokens that a batch sends at once, and the most ranges (beyond 200 TB of text a range grows).
+RANGE_BYTES, BATCH_TOKENS, MOST_RANGES = 12_000_000, 2_000_000, 1 << 24
+#: Bytes of the filter up to which every executor gets a copy of it.
+BROADCAST_BYTES = 1 << 30
 #: Keys that are entered at once.
 STEP_KEYS = 1 << 17
 #: Share of pair evidence and its pull towards single words.
-WEIGHT, PULL = 0.3, 5.0
+WEIGHT, PULL = 0.5, 5.0
 #: The end of a text; as a history, its beginning.
 END = np.uint64(0x0123456789ABCDEF)
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -68,13 +68,21 @@ def token_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def range_of(h: np.ndarray, ranges: int) -> np.ndarray:
-    return (h >> np.uint64(48)) * np.uint64(ranges) >> np.uint64(16)
+    """The range of each hash; it rises with the hash."""
+    return ((h >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int64)
 
 
-def pair_keys(before: np.ndarray, tokens: np.ndarray, ranges: int) -> np.ndarray:
-    """Range of a pair in the high 16 bits, 48 bits of its hash below."""
-    h = mix(before * _K + tokens)
-    return range_of(h, ranges) << np.uint64(48) | h & _LOW48
+def pair_hashes(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """In its range a pair goes by the low 48 bits of its hash."""
+    return mix(before * _K + tokens)
+
+
+def cuts(words: np.ndarray, pairs: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """For each range that sorted hashes lie in: its number, and where its words and its pairs begin and end."""
+    w, p = range_of(words, ranges), range_of(pairs, ranges)
+    has = np.union1d(w, p)
+    places = [np.searchsorted(x, has, side) for x in (w, p) for side in ("left", "right")]
+    return zip(has.tolist(), *(x.tolist() for x in places))
 
 
 def pair_level(counts: np.ndarray, least: int = 1) -> np.ndarray:
@@ -92,12 +100,11 @@ def _places(keys: np.ndarray, kind: int, level: int, probe: int, bits: np.ndarra
     return (x + np.uint64(probe) * (x >> np.uint64(32) | np.uint64(1))) % bits
 
 
-def segment(words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, least: int, most_bits: int | None = None) -> np.ndarray:
-    """The filter's bytes for one range; ``most_bits`` bounds them in experiments only."""
+def segment(words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, least: int, entry_bits: int = ENTRY_BITS) -> np.ndarray:
+    """The filter's bytes for one range (``pairs``: low 48 bits of their hashes)."""
     of_words, of_pairs = word_level(word_counts), pair_level(pair_counts, least)
     entries = int(of_words.sum() + np.maximum(of_pairs - least + 1, 0).sum())
-    bits = entries * ENTRY_BITS + 63
-    bits = max(64, (bits if most_bits is None else min(most_bits, bits)) // 64 * 64)
+    bits = max(64, (entries * entry_bits + 63) // 64 * 64)
     out = np.zeros(bits, np.uint8)
     for kind, keys, levels in ((0, words, of_words), (1, pairs, of_pairs)):
         for level in range(least if kind else 1, int(levels.max(initial=0)) + 1):
@@ -109,29 +116,18 @@ def segment(words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray, pair_
 
 
 class Model:
-    """What is broadcast: corpus sums, and the filter or the name of its file."""
-
-    def __init__(self, total: int, distinct: int, once: int, least: int, segments: list[bytes]):
-        self._sums(total, distinct, once, least)
-        self.bits = np.array([8 * len(s) for s in segments], np.uint64)
-        self.first = np.cumsum(self.bits) - self.bits
-        self.filter = np.frombuffer(b"".join(segments), np.uint8)
-        self.ranges = len(segments)
-
-    @classmethod
-    def in_file(cls, total: int, distinct: int, once: int, least: int, first: np.ndarray, bits: np.ndarray, file: str) -> Model:
-        """A model whose segments lie in a file that was given to ``SparkContext.addFile``."""
-        self = cls.__new__(cls)
-        self._sums(total, distinct, once, least)
-        self.first, self.bits, self.ranges, self.filter, self.file = first, bits, len(bits), None, file
-        return self
-
-    def _sums(self, total: int, distinct: int, once: int, least: int) -> None:
+    """Corpus sums, and the filter: in memory, in a file that was given to ``SparkContext.addFile``, or (``filter`` is None) elsewhere."""
+
+    def __init__(self, total: int, distinct: int, once: int, least: int, first: np.ndarray, bits: np.ndarray, held: bytes | str | None):
+        """``first``, ``bits``: where each range's segment begins, and its size, in bits; ``held``: all segments, or the name of their file."""
         self.total, self.distinct, self.once, self.least = total, distinct, once, least
         self.unknown = min(max(once / total, 1 / (total + 1)), 0.5) if total else 1.0
+        self.first, self.bits, self.ranges = first.astype(np.uint64), bits.astype(np.uint64), len(bits)
+        self.file = held if isinstance(held, str) else None
+        self.filter = np.frombuffer(held, np.uint8) if isinstance(held, bytes) else None
 
     def levels(self, keys: np.ndarray, where: np.ndarray, kind: int) -> np.ndarray:
-        """The highest level up to which every level is entered; the one below the least if none is."""
+        """The highest level up to which every level is entered in segment ``where``; the one below the least if none is."""
         if self.filter is None:
             self.filter = np.memmap(SparkFiles.get(self.file), np.uint8, "r")
         level = self.least if kind else 1
@@ -147,19 +143,19 @@ class Model:
                 break
         return out
 
-    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of each text and the sum of their log10 probabilities."""
+    def scores(self, texts: list[bytes], told: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each text and the sum of their log10 probabilities; ``told``: levels of the texts' n-grams as ``distinct_ngrams`` has them."""
         tokens, before, sizes = token_runs(texts)
         words, at = np.unique(np.append(tokens, END), return_inverse=True)
-        level = self.levels(words, range_of(words, self.ranges).astype(np.int64), 0)
+        pairs, back = np.unique(pair_hashes(before, tokens), return_inverse=True)
+        level, deep = told or (self.levels(words, range_of(words, self.ranges), 0), self.levels(pairs & _LOW48, range_of(pairs, self.ranges), 1))
         low, high = np.where(level > 0, 2.0 ** ((level - 1) / 4), 0), np.where(level > 0, 2.0 ** (level / 4), 0)
         one = np.where(level > 0, (1 - self.unknown) * low / max(1, self.total), self.unknown)
         own = at[:-1]
         previous = np.empty_like(own)
         previous[1:] = own[:-1]
         previous[np.cumsum(sizes) - sizes] = at[-1]
-        pairs, back = np.unique(pair_keys(before, tokens, self.ranges), return_inverse=True)
-        deep = self.levels(pairs, (pairs >> np.uint64(48)).astype(np.int64), 1)[back]
+        deep = deep[back]
         # with pair counts rounded down and history counts up, a history's pairs never sum to more than 1
         history = high[previous]
         share = WEIGHT * history / (history + PULL)
@@ -168,6 +164,12 @@ class Model:
         return sizes, np.add.reduceat(np.log10(p), np.cumsum(sizes) - sizes)
 
 
+def distinct_ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the texts' words (with the end) and pairs."""
+    tokens, before, _ = token_runs(texts)
+    return np.unique(np.append(tokens, END)), np.unique(pair_hashes(before, tokens))
+
+
 def packed_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys; their counts in a byte, 255 standing for the next of the larger ones, which come third."""
     keys, counts = np.unique(keys, return_counts=True)
@@ -185,10 +187,10 @@ def short(keys: np.ndarray) -> bytes:
     return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def long(data: bytes, high: int) -> np.ndarray:
+def long(data: bytes) -> np.ndarray:
     out = np.zeros((len(data) // 6, 8), np.uint8)
     out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel() | np.uint64(high << 48)
+    return out.view("<u8").ravel()
 
 
 def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +231,7 @@ def held_out(ident: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(ident.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def count(docs: DataFrame, ranges: int) -> DataFrame:
+def count(docs: DataFrame, ranges: int, entry_bits: int = ENTRY_BITS) -> DataFrame:
     """Exact counts of the words of the texts (column ``t``) and the filter's segment: a row for each range of hashes."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,15 +241,11 @@ def count(docs: DataFrame, ranges: int) -> DataFrame:
             for _, _, tokens, before in m._token_batches(batch.column(0), m.BATCH_TOKENS):
                 tokens, before = np.concatenate(tokens), np.concatenate(before)
                 words, wc, wl = m.packed_counts(tokens)
-                pairs, pc, pl = m.packed_counts(m.pair_keys(before, tokens, ranges))
-                wcut = np.searchsorted(m.range_of(words, ranges), np.arange(ranges + 1).astype(np.uint64))
-                pcut = np.searchsorted(pairs >> np.uint64(48), np.arange(ranges + 1).astype(np.uint64))
+                pairs, pc, pl = m.packed_counts(m.pair_hashes(before, tokens))
                 wbig, pbig = np.concatenate([[0], np.cumsum(wc == 255)]), np.concatenate([[0], np.cumsum(pc == 255)])
                 out = []
-                for p in range(ranges):
-                    a, b, c, d = wcut[p], wcut[p + 1], pcut[p], pcut[p + 1]
-                    if b > a or d > c:
-                        out.append({"p": p, "words": words[a:b].tobytes(), "word_counts": wc[a:b].tobytes(), "word_large": wl[wbig[a] : wbig[b]].tobytes(), "pairs": m.short(pairs[c:d]), "pair_counts": pc[c:d].tobytes(), "pair_large": pl[pbig[c] : pbig[d]].tobytes()})
+                for p, a, b, c, d in m.cuts(words, pairs, ranges):
+                    out.append({"p": p, "words": words[a:b].tobytes(), "word_counts": wc[a:b].tobytes(), "word_large": wl[wbig[a] : wbig[b]].tobytes(), "pairs": m.short(pairs[c:d]), "pair_counts": pc[c:d].tobytes(), "pair_large": pl[pbig[c] : pbig[d]].tobytes()})
                 yield pa.RecordBatch.from_pylist(out, m._DEALT)
 
     def add(t: pa.Table) -> pa.Table:
@@ -260,32 +258,79 @@ def count(docs: DataFrame, ranges: int) -> DataFrame:
             return m.unpacked_counts(np.frombuffer(r[f"{kind}_counts"], np.uint8), np.frombuffer(r[f"{kind}_large"], np.int64))
 
         words, wc = m.added([(np.frombuffer(r["words"], np.uint64), counts(r, "word")) for r in rows])
-        pairs, pc = m.added([(m.long(r["pairs"], p), counts(r, "pair")) for r in rows])
+        pairs, pc = m.added([(m.long(r["pairs"]), counts(r, "pair")) for r in rows])
         row = {"p": p, "words": words.tobytes(), "word_counts": np.minimum(wc, 255).astype(np.uint8).tobytes(), "word_large": wc[wc >= 255].tobytes()}
-        row |= {"total": int(wc.sum()), "distinct": len(wc), "once": int((wc == 1).sum()), "bits": m.segment(words, wc, pairs, pc, m.LEAST).tobytes()}
+        row |= {"total": int(wc.sum()), "distinct": len(wc), "once": int((wc == 1).sum()), "bits": m.segment(words, wc, pairs, pc, m.LEAST, entry_bits).tobytes()}
         return pa.Table.from_pylist([row], m._KEPT)
 
     sql = "p int, " + ", ".join(f"{c} binary" for c in _COUNTS)
     return docs.mapInArrow(deal, sql).groupBy("p").applyInArrow(add, "p int, words binary, word_counts binary, word_large binary, total long, distinct long, once long, bits binary")
 
 
-def train(counts: DataFrame, ranges: int) -> Model:
-    """The model of counted texts; ``counts`` is what ``count`` returned, written down."""
+def train(counts: DataFrame, ranges: int, most: int = BROADCAST_BYTES) -> Model:
+    """The model of counted texts; ``counts`` is what ``count`` returned, written down. A filter of more than ``most`` bytes stays in its segments."""
     sc = counts.sparkSession.sparkContext
-    sums = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "distinct", "once")]).first()
-    # Spark serves the file from here for as long as the session lives
-    folder = tempfile.mkdtemp(prefix="folioframe-filter")
-    atexit.register(shutil.rmtree, folder, True)
-    file = Path(folder, f"{uuid.uuid4().hex}.bloom")
+    sums = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "distinct", "once")], F.sum(F.octet_length("bits")).alias("bytes")).first()
+    known = (sums["total"], sums["distinct"], sums["once"], LEAST)
+    if (sums["bytes"] or 0) + 8 * ranges > most:
+        return Model(*known, np.zeros(0), np.zeros(0), None)
+    where = sc._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(sc)}/{uuid.uuid4().hex}.bloom")
+    store = where.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = store.create(where)
+    store.deleteOnExit(where)
     # a range without n-grams has the empty segment at the front
-    first, bits = np.zeros(ranges, np.uint64), np.full(ranges, 64, np.uint64)
-    with file.open("wb") as out:
-        at = out.write(bytes(8))
-        for r in counts.select("p", "bits").toLocalIterator(prefetchPartitions=True):
-            first[r["p"]], bits[r["p"]] = 8 * at, 8 * len(r["bits"])
-            at += out.write(r["bits"])
-    sc.addFile(str(file))
-    return Model.in_file(sums["total"], sums["distinct"], sums["once"], LEAST, first, bits, file.name)
+    first, bits, at = np.zeros(ranges, np.int64), np.full(ranges, 64), 8
+    out.write(bytes(8))
+    for r in counts.select("p", "bits").toLocalIterator(prefetchPartitions=True):
+        out.write(r["bits"])
+        first[r["p"]], bits[r["p"]] = 8 * at, 8 * len(r["bits"])
+        at += len(r["bits"])
+    out.close()
+    sc.addFile(where.toString())
+    return Model(*known, first, bits, where.getName())
+
+
+def level_sums(docs: DataFrame, counts: DataFrame, ranges: int, model: Model, groups: int) -> DataFrame:
+    """(rk, n_tokens, score) for each distinct row key of ``docs`` (rk, t), with levels probed where the segments lie.
+
+    Texts are dealt into ``groups`` by their keys; a group sends each range its distinct n-grams there and meets the levels again.
+    """
+    own = docs.dropDuplicates(["rk"]).select(F.pmod("rk", F.lit(groups)).alias("g"), "rk", "t")
+
+    def post(t: pa.Table) -> pa.Table:
+        from folioframe.llm import bloom_lm as m
+
+        words, pairs = m.distinct_ngrams([x or b"" for x in t.column("t").cast(pa.binary()).to_pylist()])
+        g = t.column("g")[0].as_py()
+        rows = [{"p": p, "g": g, "words": words[a:b].tobytes(), "pairs": m.short(pairs[c:d]), "bits": None} for p, a, b, c, d in m.cuts(words, pairs, ranges)]
+        return pa.Table.from_pylist(rows, m._ASKED)
+
+    def probe(t: pa.Table) -> pa.Table:
+        from folioframe.llm import bloom_lm as m
+
+        rows = t.to_pylist()
+        bits = next((r["bits"] for r in rows if r["bits"] is not None), bytes(8))
+        one = m.Model(1, 1, 1, model.least, np.zeros(1), np.array([8 * len(bits)]), bits)
+        out = []
+        for r in (r for r in rows if r["bits"] is None):
+            told = [one.levels(keys, np.zeros(len(keys), np.int64), kind) for kind, keys in enumerate((np.frombuffer(r["words"], np.uint64), m.long(r["pairs"])))]
+            out.append({"g": r["g"], "p": r["p"], "words": told[0].astype(np.int16).tobytes(), "pairs": told[1].astype(np.int16).tobytes()})
+        return pa.Table.from_pylist(out, m._TOLD)
+
+    def add(texts: pa.Table, told: pa.Table) -> pa.Table:
+        rows = sorted(told.to_pylist(), key=lambda r: r["p"])
+        levels = tuple(np.frombuffer(b"".join(r[c] for r in rows), np.int16).astype(np.int64) for c in ("words", "pairs"))
+        n, s = model.scores([x or b"" for x in texts.column("t").cast(pa.binary()).to_pylist()], levels)
+        return pa.table({"rk": texts.column("rk"), "n_tokens": n.astype(np.int64), "score": s})
+
+    asked = own.groupBy("g").applyInArrow(post, _ASKED_SQL).unionByName(counts.select("p", F.lit(None).cast("long").alias("g"), F.lit(b"").alias("words"), F.lit(b"").alias("pairs"), "bits"))
+    told = asked.groupBy("p").applyInArrow(probe, "g long, p int, words binary, pairs binary")
+    return own.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(add, "rk long, n_tokens long, score double")
+
+
+_ASKED = pa.schema([("p", pa.int32()), ("g", pa.int64()), ("words", pa.binary()), ("pairs", pa.binary()), ("bits", pa.binary())])
+_ASKED_SQL = "p int, g long, words binary, pairs binary, bits binary"
+_TOLD = pa.schema([("g", pa.int64()), ("p", pa.int32()), ("words", pa.binary()), ("pairs", pa.binary())])
 
 
 def base_sums(docs: DataFrame, counts: DataFrame, ranges: int, total: int, distinct: int) -> DataFrame:
@@ -305,15 +350,12 @@ def base_sums(docs: DataFrame, counts: DataFrame, ranges: int, total: int, disti
                 tokens, owner = tokens[order], owner[order]
                 new = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
                 words, number = tokens[new], np.diff(np.append(new, len(tokens))).astype(np.int32)
-                cut = np.searchsorted(m.range_of(words, ranges), np.arange(ranges + 1).astype(np.uint64))
                 at = np.append(new, len(tokens))
-                for p in range(ranges):
-                    a, b = cut[p], cut[p + 1]
-                    if b > a:
-                        own = owner[at[a] : at[b]]
-                        has, place = np.unique(own, return_inverse=True)
-                        row = {"p": p, "kind": 1, "words": words[a:b].tobytes(), "number": number[a:b].tobytes(), "owner": place.astype(np.uint16 if len(has) < 65536 else np.uint32).tobytes(), "keys": keys[first + has.astype(np.int64)].tobytes()}
-                        yield pa.RecordBatch.from_pylist([row], _POSTED)
+                for p, a, b, _, _ in m.cuts(words, words[:0], ranges):
+                    own = owner[at[a] : at[b]]
+                    has, place = np.unique(own, return_inverse=True)
+                    row = {"p": p, "kind": 1, "words": words[a:b].tobytes(), "number": number[a:b].tobytes(), "owner": place.astype(np.uint16 if len(has) < 65536 else np.uint32).tobytes(), "keys": keys[first + has.astype(np.int64)].tobytes()}
+                    yield pa.RecordBatch.from_pylist([row], _POSTED)
 
     def look_up(t: pa.Table) -> pa.Table:
         from folioframe.llm import bloom_lm as m
@@ -361,7 +403,7 @@ _POSTED = pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("words", pa.binar
 _SUMS = pa.schema([("q", pa.int32()), ("keys", pa.binary()), ("sums", pa.binary())])
 
 
-def score(df: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST_BYTES, entry_bits: int = ENTRY_BITS) -> DataFrame:
     """``id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row; rows whose id's crc32 is a multiple of ``folds`` do not train."""
     spark = df.sparkSession
     ship(spark)
@@ -369,11 +411,16 @@ def score(df: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str
     docs = df.select(F.col(id_col).alias("id"), held_out(F.col(id_col), folds).alias("held_out"), text.alias("t")).withColumn("rk", F.xxhash64("id", "t"))
     kind = docs.schema["id"].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    ranges = min(65_536, max(8, -(-size // RANGE_BYTES)))
-    counts = checkpointed(count(docs.where("NOT held_out").select("t"), ranges))
-    model = train(counts, ranges)
-    shared = spark.sparkContext.broadcast(model)
+    ranges = min(MOST_RANGES, max(8, -(-size // RANGE_BYTES)))
+    counts = checkpointed(count(docs.where("NOT held_out").select("t"), ranges, entry_bits))
+    model = train(counts, ranges, most)
     total = model.total
+    sums = base_sums(docs, counts, ranges, model.total, model.distinct)
+    cols = ["id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score"]
+    if model.file is None:
+        scored = docs.select("id", "held_out", "rk").join(level_sums(docs.select("rk", "t"), counts, ranges, model, -(-size // RANGE_BYTES) or 1), "rk")
+        return scored.join(sums, "rk").select(cols)
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -386,5 +433,4 @@ def score(df: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.float64))], ["id", "held_out", "rk", "n_tokens", "score"])
 
     scored = docs.select("id", "held_out", "rk", "t").mapInArrow(run, f"id {kind}, held_out boolean, rk long, n_tokens long, score double")
-    sums = base_sums(docs, counts, ranges, model.total, model.distinct)
-    return scored.join(sums, "rk").select("id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    return scored.join(sums, "rk").select(cols)

@@ -234,23 +234,61 @@ def test_lm_filter_levels_and_probabilities():
     text = [" ".join(f"t{int(x)}" for x in rng.zipf(1.4, 4000) % 300).encode()]
     tokens, before, _ = bloom_lm.token_runs(text)
     words, wc = np.unique(tokens, return_counts=True)
-    pairs, pc = np.unique(bloom_lm.pair_keys(before, tokens, 1), return_counts=True)
-    model = bloom_lm.Model(len(tokens), len(words), int((wc == 1).sum()), 1, [bloom_lm.segment(words, wc, pairs, pc, 1, 1 << 22).tobytes()])
+    pairs, pc = np.unique(bloom_lm.pair_hashes(before, tokens) & bloom_lm._LOW48, return_counts=True)
+    held = bloom_lm.segment(words, wc, pairs, pc, 0).tobytes()
+    model = bloom_lm.Model(len(tokens), len(words), int((wc == 1).sum()), 0, np.zeros(1), np.array([8 * len(held)]), held)
     zero = np.zeros(len(words), np.int64)
     got = model.levels(words, zero, 0)
     assert (got >= bloom_lm.word_level(wc)).all() and (got == bloom_lm.word_level(wc)).mean() > 0.9
     deep = model.levels(pairs, np.zeros(len(pairs), np.int64), 1)
-    assert (deep >= bloom_lm.pair_level(pc)).all() and (deep == bloom_lm.pair_level(pc)).mean() > 0.9
+    assert (deep >= bloom_lm.pair_level(pc, 0)).all() and (deep == bloom_lm.pair_level(pc, 0)).mean() > 0.9
     # probabilities of all words after one history, and of the unknown class, do not exceed 1 (but for false positives)
     history = words[np.argmax(wc)]
     level = model.levels(words, zero, 0)
     low, high = 2.0 ** ((level - 1) / 4), 2.0 ** (level[np.argmax(wc)] / 4)
-    after = model.levels(bloom_lm.pair_keys(np.full(len(words), history), words, 1), zero, 1)
+    after = model.levels(bloom_lm.pair_hashes(np.full(len(words), history), words) & bloom_lm._LOW48, zero, 1)
     share = bloom_lm.WEIGHT * high / (high + bloom_lm.PULL)
-    total = (share * np.where(after > 0, 2.0**after / high, 0) + (1 - share) * (1 - model.unknown) * low / model.total).sum() + (1 - share) * model.unknown
+    total = (share * np.where(after >= 0, 2.0**after / high, 0) + (1 - share) * (1 - model.unknown) * low / model.total).sum() + (1 - share) * model.unknown
     assert total <= 1.03
 
 
+def brute_scores(texts, train):
+    """Scores from exact counts, quantised as the filter quantises them."""
+    tokens = [[*words_of(t), "\n"] for t in texts]
+    pairs = [list(zip(["\n", *t], t)) for t in tokens]
+    c = Counter(x for k in train for x in tokens[k])
+    c2 = Counter(x for k in train for x in pairs[k])
+    n = sum(c.values())
+    unknown = min(max(sum(v == 1 for v in c.values()) / n, 1 / (n + 1)), 0.5)
+    step = lambda w: math.floor(4 * math.log2(c[w]) + 1e-9)
+    out = []
+    for t in pairs:
+        s = 0.0
+        for h, w in t:
+            one = (1 - unknown) * 2 ** (step(w) / 4) / n if c[w] else unknown
+            high = 2 ** ((step(h) + 1) / 4) if c[h] else 0
+            share = bloom_lm.WEIGHT * high / (high + bloom_lm.PULL)
+            both = min(1.0, 2 ** math.floor(math.log2(c2[h, w])) / high) if c2[h, w] and high else 0
+            s += math.log10(share * both + (1 - share) * one)
+        out.append(s)
+    return out
+
+
+def test_lm_scores_against_brute_force(spark, data):
+    docs = documents(spark, data)
+    rows = docs.collect()
+    want = brute_scores([r["text"] for r in rows], [k for k, r in enumerate(rows) if zlib.crc32(str(r["doc_id"]).encode()) % 10])
+    want = {r["doc_id"]: s for r, s in zip(rows, want)}
+    # with room for 200 bits an entry the filter errs hardly ever, and with its own size little
+    for entry_bits, least in ((200, 1e-9), (bloom_lm.ENTRY_BITS, 0.02)):
+        got = {r["id"]: r["score"] for r in bloom_lm.score(docs, entry_bits=entry_bits).collect()}
+        assert np.mean([abs(got[i] - s) <= least * abs(s) for i, s in want.items()]) > 0.95
+    # segments that are too many for a copy on every executor give the same scores
+    apart = {r["id"]: r for r in bloom_lm.score(docs, most=0).collect()}
+    assert {i: r["score"] for i, r in apart.items()} == pytest.approx(got, rel=1e-12)
+    assert all(r["n_known"] <= r["n_tokens"] == len(words_of(x["text"])) + 1 for x in rows for r in [apart[x["doc_id"]]])
+
+
 def test_lm_edges(spark, edge, none):
     rows = bloom_lm.score(edge, folds=10).collect()
     assert len(rows) == edge.count()
@@ -258,29 +296,29 @@ def test_lm_edges(spark, edge, none):
         assert math.isfinite(r["score"]) and math.isfinite(r["base_score"]) and r["n_tokens"] >= 1
     same = [(r["score"], r["base_score"], r["n_known"]) for r in rows if r["id"] == 7]
     assert len(same) == 2 and same[0] == pytest.approx(same[1])
-    assert bloom_lm.score(none).collect() == []
+    assert bloom_lm.score(none).collect() == [] and bloom_lm.score(none, most=0).collect() == []
+    apart = bloom_lm.score(edge, folds=10, most=0).collect()
+    assert sorted(round(r["score"], 9) for r in apart) == sorted(round(r["score"], 9) for r in rows)
 
 
-def test_lm_filter_grows_with_its_entries(spark, monkeypatch):
-    monkeypatch.setattr(bloom_lm, "FILTER_BITS", 1 << 12, raising=False)
+def test_lm_filter_grows_with_its_entries(spark):
     rng = np.random.default_rng(3)
     texts = [" ".join(f"t{int(x)}" for x in rng.zipf(1.3, 2000) % 3000) for _ in range(4)]
     tokens, before, _ = bloom_lm.token_runs([t.encode() for t in texts])
     model = bloom_lm.train(checkpointed(bloom_lm.count(spark.createDataFrame([(t,) for t in texts], "t string"), 8)), 8)
     words, wc = np.unique(tokens, return_counts=True)
-    got = model.levels(words, bloom_lm.range_of(words, 8).astype(np.int64), 0)
+    got = model.levels(words, bloom_lm.range_of(words, 8), 0)
     assert (got >= bloom_lm.word_level(wc)).all() and (got == bloom_lm.word_level(wc)).mean() > 0.9
-    pairs, pc = np.unique(bloom_lm.pair_keys(before, tokens, 8), return_counts=True)
-    pairs, pc = pairs[pc > 1], pc[pc > 1]
-    deep = model.levels(pairs, (pairs >> np.uint64(48)).astype(np.int64), 1)
-    assert (deep >= bloom_lm.pair_level(pc)).all() and (deep == bloom_lm.pair_level(pc)).mean() > 0.9
+    pairs, pc = np.unique(bloom_lm.pair_hashes(before, tokens), return_counts=True)
+    deep = model.levels(pairs & bloom_lm._LOW48, bloom_lm.range_of(pairs, 8), 1)
+    assert (deep >= bloom_lm.pair_level(pc, 0)).all() and (deep == bloom_lm.pair_level(pc, 0)).mean() > 0.9
 
 
 def test_lm_pairs_seen_once_count(spark):
     model = bloom_lm.train(checkpointed(bloom_lm.count(spark.createDataFrame([("a b c d a c",), ("a d b",)], "t string"), 8)), 8)
     tokens, before, _ = bloom_lm.token_runs([b"b c", b"c b"])  # 'b c' was seen once, 'c b' never
-    pairs = bloom_lm.pair_keys(before, tokens, 8)
-    assert model.levels(pairs, (pairs >> np.uint64(48)).astype(np.int64), 1).tolist()[1::3] == [0, -1]
+    pairs = bloom_lm.pair_hashes(before, tokens)
+    assert model.levels(pairs & bloom_lm._LOW48, bloom_lm.range_of(pairs, 8), 1).tolist()[1::3] == [0, -1]
     once, never = (model.scores([t])[1][0] for t in (b"a b c", b"a c b"))
     assert once > never
 
