@@ -4,9 +4,8 @@ Counting: every batch of training texts sends its distinct words and word pairs
 hash space, packed as bytes; each range adds them up over the whole corpus. Counts are quantised to levels, four to an octave for words and
 one for pairs (a pair seen once has level 0), and every range writes a segment of the filter, in which an n-gram of level q is entered with
 levels 1 to q (pairs with levels 0 to q, so those seen once too). A segment has ``ENTRY_BITS`` for each of its entries, so the filter grows with the corpus and its
-error does not. A filter of at most ``BROADCAST_BYTES`` is put together in one file of the checkpoint folder, which Spark gives to every executor;
-workers map it into memory. A larger one stays in its segments: groups of texts send their distinct n-grams there and get levels back. Both ways
-probe the same segments and give equal scores.
+error does not. A filter of at most ``BROADCAST_BYTES`` is broadcast. A larger one stays in its segments: groups of texts send their distinct
+n-grams there and get levels back. Both ways probe the same segments and give equal scores.
 
 Scoring: the level of an n-gram is found by probing level 1, 2, ... up to the first miss. With c' the lower end of the level and c" its upper end,
 
@@ -25,16 +24,14 @@ u = 1 (the base, 0.1 / 0.1, is 1 for each token); an empty table gives an empty
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm._spark import checkpoint_dir, checkpointed, ship, spread
+from folioframe.llm._spark import checkpointed, ship, spread
 from folioframe.llm._words import mix, steps, word_hashes
 
 #: Bits for each entry of the filter, and probes.
@@ -43,8 +40,8 @@ ENTRY_BITS, PROBES = 10, 4
 LEAST = 0
 #: Bytes of text that one range of hashes stands for, tokens that a batch sends at once, and the most ranges (beyond 200 TB of text a range grows).
 RANGE_BYTES, BATCH_TOKENS, MOST_RANGES = 12_000_000, 2_000_000, 1 << 24
-#: Bytes of the filter up to which every executor gets a copy of it.
-BROADCAST_BYTES = 1 << 30
+#: Bytes of the filter up to which it is broadcast; each Python worker holds a copy.
+BROADCAST_BYTES = 1 << 28
 #: Keys that are entered at once.
 STEP_KEYS = 1 << 17
 #: Share of pair evidence and its pull towards single words.
@@ -116,27 +113,25 @@ def segment(words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray, pair_
 
 
 class Model:
-    """Corpus sums, and the filter: in memory, in a file that was given to ``SparkContext.addFile``, or (``filter`` is None) elsewhere."""
+    """Corpus sums, and the filter, unless it stays in its segments (``held`` is None)."""
 
-    def __init__(self, total: int, distinct: int, once: int, least: int, first: np.ndarray, bits: np.ndarray, held: bytes | str | None):
-        """``first``, ``bits``: where each range's segment begins, and its size, in bits; ``held``: all segments, or the name of their file."""
+    def __init__(self, total: int, distinct: int, once: int, least: int, first: np.ndarray, bits: np.ndarray, held: bytes | bytearray | None):
+        """``first``, ``bits``: where each range's segment begins in ``held``, and its size, in bits."""
         self.total, self.distinct, self.once, self.least = total, distinct, once, least
         self.unknown = min(max(once / total, 1 / (total + 1)), 0.5) if total else 1.0
         self.first, self.bits, self.ranges = first.astype(np.uint64), bits.astype(np.uint64), len(bits)
-        self.file = held if isinstance(held, str) else None
-        self.filter = np.frombuffer(held, np.uint8) if isinstance(held, bytes) else None
+        self.held = held
 
     def levels(self, keys: np.ndarray, where: np.ndarray, kind: int) -> np.ndarray:
         """The highest level up to which every level is entered in segment ``where``; the one below the least if none is."""
-        if self.filter is None:
-            self.filter = np.memmap(SparkFiles.get(self.file), np.uint8, "r")
+        segments = np.frombuffer(self.held, np.uint8)
         level = self.least if kind else 1
         out = np.full(len(keys), level - 1, np.int64)
         alive = np.arange(len(keys))
         while len(alive):
             for probe in range(PROBES):
                 at = self.first[where[alive]] + _places(keys[alive], kind, level, probe, self.bits[where[alive]])
-                alive = alive[(self.filter[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+                alive = alive[(segments[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
             out[alive] = level
             level += 1
             if level >= LEVELS * 4:
@@ -269,25 +264,17 @@ def count(docs: DataFrame, ranges: int, entry_bits: int = ENTRY_BITS) -> DataFra
 
 def train(counts: DataFrame, ranges: int, most: int = BROADCAST_BYTES) -> Model:
     """The model of counted texts; ``counts`` is what ``count`` returned, written down. A filter of more than ``most`` bytes stays in its segments."""
-    sc = counts.sparkSession.sparkContext
-    sums = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "distinct", "once")], F.sum(F.octet_length("bits")).alias("bytes")).first()
+    sums = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "distinct", "once")], F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)).alias("bytes")).first()
     known = (sums["total"], sums["distinct"], sums["once"], LEAST)
-    if (sums["bytes"] or 0) + 8 * ranges > most:
+    if sums["bytes"] > most:
         return Model(*known, np.zeros(0), np.zeros(0), None)
-    where = sc._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(sc)}/{uuid.uuid4().hex}.bloom")
-    store = where.getFileSystem(sc._jsc.hadoopConfiguration())
-    out = store.create(where)
-    store.deleteOnExit(where)
     # a range without n-grams has the empty segment at the front
-    first, bits, at = np.zeros(ranges, np.int64), np.full(ranges, 64), 8
-    out.write(bytes(8))
+    first, bits, held, at = np.zeros(ranges, np.int64), np.full(ranges, 64), bytearray(8 + sums["bytes"]), 8
     for r in counts.select("p", "bits").toLocalIterator(prefetchPartitions=True):
-        out.write(r["bits"])
-        first[r["p"]], bits[r["p"]] = 8 * at, 8 * len(r["bits"])
-        at += len(r["bits"])
-    out.close()
-    sc.addFile(where.toString())
-    return Model(*known, first, bits, where.getName())
+        end = at + len(r["bits"])
+        held[at:end] = r["bits"]
+        first[r["p"]], bits[r["p"]], at = 8 * at, 8 * len(r["bits"]), end
+    return Model(*known, first, bits, held)
 
 
 def level_sums(docs: DataFrame, counts: DataFrame, ranges: int, model: Model, groups: int) -> DataFrame:
@@ -417,10 +404,11 @@ def score(df: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str
     total = model.total
     sums = base_sums(docs, counts, ranges, model.total, model.distinct)
     cols = ["id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score"]
-    if model.file is None:
+    if model.held is None:
         scored = docs.select("id", "held_out", "rk").join(level_sums(docs.select("rk", "t"), counts, ranges, model, -(-size // RANGE_BYTES) or 1), "rk")
         return scored.join(sums, "rk").select(cols)
     shared = spark.sparkContext.broadcast(model)
+    del model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
