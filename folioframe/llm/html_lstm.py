@@ -16,6 +16,7 @@ their result; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import html as html_lib
+import random
 import re
 from collections.abc import Iterator
 
@@ -29,22 +30,20 @@ from folioframe.llm._words import word_hashes
 
 PATH_SLOTS, WORD_SLOTS, PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 1024, 1024, 12, 6, 6, 16
 #: Bounds of the training set: generated pages, and given pages (of at most SAMPLE_CHARS each).
-GENERATED, SAMPLE_PAGES, SAMPLE_CHARS = 600, 200, 50_000
+GENERATED, SAMPLE_PAGES, SAMPLE_CHARS = 900, 200, 50_000
 EPOCHS, BATCH, RATE, SEED = 6, 32, 0.01, 11
 #: Blocks that are labelled at once.
 RUN_BLOCKS = 20_000
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
+# an attribute as browsers read it: a quote opens a value only right after the equals sign, and is part of other names and values
+_ATTRIBUTE = re.compile(r"(=[^\s/>=]*|[^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)|(?=>)))?")
+_ATTRIBUTES = r"(?:[\s/]+|" + re.sub(r"\((?!\?)", "(?:", _ATTRIBUTE.pattern) + ")*+"
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 # texts without tags, and elements whose content is no text of the page
 _RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in "script style iframe textarea title".split()}
 _HIDDEN = frozenset("svg select template noscript".split())
 _END_OF = re.compile(r"</(template|noscript)(?=[\s/>])", re.I)
 _SELF_CLOSED = re.compile(r"(?:^|[\s\"']|(?:^|\s)[^\s=]+)/\Z")
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 # fixed values: element names of HTML
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meta link q ruby rt s samp small span strike strong sub sup time tt u var wbr".split())
@@ -100,21 +99,20 @@ def blocks(page: str) -> list[Block]:
     def flush() -> None:
         nonlocal held, linked
         if held:
-            text = " ".join(html_lib.unescape("".join(held)).split())
+            text = " ".join("".join(held).split())
             if text:
                 out.append(Block(text, tuple(x for _, names in stack for x in names), linked))
             held, linked = [], 0
 
     while m := _TOKEN.search(page, at):
         if m.start() > at and not hidden:
-            piece = page[at : m.start()]
+            piece = html_lib.unescape(page[at : m.start()])
             held.append(piece)
             linked += len(piece) if links else 0
         at = m.end()
-        name = m[2] or m[5]
-        if name is None:
+        if m[2] is None:
             continue
-        name, closing, rest = name.lower(), m[1] or m[4], (m[3] or m[6] or "")
+        name, closing, rest = m[2].lower(), m[1], m[3]
         if hidden and still_hidden(name, closing, rest):
             if name in _RAW and not closing and hidden and hidden[0] != "svg":
                 end = _RAW[name].search(page, at)
@@ -157,10 +155,11 @@ def blocks(page: str) -> list[Block]:
         if name not in _VOID:
             names = [name]
             for a in _ATTRIBUTE.finditer(rest):
-                names += [f"{a[1].lower()}.{w}" for w in _NAME.findall((a[2] or a[3] or a[4] or "").lower())]
+                if a[1].lower() in ("class", "id", "role"):
+                    names += [f"{a[1].lower()}.{w}" for w in _NAME.findall((a[2] or a[3] or a[4] or "").lower())]
             stack.append((name, tuple(names)))
     if at < len(page) and not hidden:
-        held.append(page[at:])
+        held.append(html_lib.unescape(page[at:]))
     flush()
     return out
 
@@ -288,6 +287,12 @@ class Labeller:
                     v += 0.001 * (g * g - v)
                     p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
 
+    @staticmethod
+    def _spread(g: np.ndarray, at: np.ndarray, count: np.ndarray, slots: int) -> np.ndarray:
+        """Gradients of a table of vectors, of whose rows ``at`` runs of ``count`` were averaged."""
+        each = np.repeat(g / np.maximum(count, 1)[:, None], count, axis=0)
+        return np.stack([np.bincount(at, each[:, d], slots) for d in range(g.shape[1])], 1)
+
     def _gradients(self, q: Inputs, y: np.ndarray) -> list[np.ndarray]:
         logit, state, (ahead, behind, time, back, page, kept_a, kept_b) = self._forward(q)
         d = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / len(y)
@@ -312,9 +317,8 @@ class Labeller:
                 both = dz @ w.T
                 g_in[t], dh, dc = both[:, :width], both[:, width:], dc * f
             g_x += g_in[at, page]
-        g_path, g_word = np.zeros_like(self.path), np.zeros_like(self.word)
-        np.add.at(g_path, q.paths, np.repeat(g_x[:, :PATH_DIM] / np.maximum(q.path_count, 1)[:, None], q.path_count, axis=0))
-        np.add.at(g_word, q.words, np.repeat(g_x[:, PATH_DIM : PATH_DIM + WORD_DIM] / np.maximum(q.word_count, 1)[:, None], q.word_count, axis=0))
+        g_path = self._spread(g_x[:, :PATH_DIM], q.paths, q.path_count, PATH_SLOTS)
+        g_word = self._spread(g_x[:, PATH_DIM : PATH_DIM + WORD_DIM], q.words, q.word_count, WORD_SLOTS)
         return [g_path, g_word + 1e-5 * self.word, g_gates, g_shift, state.T @ d, np.array([d.sum()])]
 
 
@@ -338,16 +342,15 @@ _SAID = {"ad": "advertisement buy now sale offer sponsored", "notice": "we use c
 
 def generated(seed: int, n: int) -> tuple[list[list[Block]], list[np.ndarray]]:
     """Pages of many layouts with known labels. Main words carry the mark character U+E000 until the page is read."""
-    rng = np.random.default_rng(seed)
+    rng = random.Random(seed)
     sounds = [a + b for a in ("", *"bcdfghklmnprstvwz", "th", "sh", "ch") for b in "aeiou"] + list("äöüéèñç")
 
-    def pick(options):
-        return options[int(rng.integers(len(options)))]
+    pick = rng.choice
 
     def words(least: int, most: int, said: str = "") -> str:
-        out = ["".join(pick(sounds) for _ in range(int(rng.integers(1, 5)))) + pick(["", "", "", "", "", ",", ".", "."]) for _ in range(int(rng.integers(least, most)))]
+        out = ["".join(pick(sounds) for _ in range(rng.randrange(1, 5))) + pick(["", "", "", "", "", ",", ".", "."]) for _ in range(rng.randrange(least, most))]
         if said and rng.random() < 0.6:
-            out[:0] = said.split()[: int(rng.integers(2, 6))]
+            out[:0] = said.split()[: rng.randrange(2, 6)]
         return " ".join(out).capitalize() + pick([".", ".", "", "!"])
 
     def named(tag: str, names: str, certain: float) -> tuple[str, str]:
@@ -359,10 +362,10 @@ def generated(seed: int, n: int) -> tuple[list[list[Block]], list[np.ndarray]]:
         a, b = named(tag, _AROUND[kind], 0.35 if tag == kind else 0.97)
         if kind in ("nav", "share") or (kind in ("aside", "footer") and rng.random() < 0.5):
             item = "li" if tag == "ul" or rng.random() < 0.7 else "span"
-            inner = "".join(f'<{item}><a href="/x">{words(1, 4)}</a></{item}>' for _ in range(int(rng.integers(2, 9))))
+            inner = "".join(f'<{item}><a href="/x">{words(1, 4)}</a></{item}>' for _ in range(rng.randrange(2, 9)))
             inner = f"<ul>{inner}</ul>" if item == "li" and tag != "ul" else inner
         elif kind == "comments":
-            inner = "".join(f'<{pick(["div", "p", "li"])}>{words(5, 60, _SAID[kind])}' for _ in range(int(rng.integers(1, 6))))
+            inner = "".join(f'<{pick(["div", "p", "li"])}>{words(5, 60, _SAID[kind])}' for _ in range(rng.randrange(1, 6)))
         elif kind == "form":
             inner = f"<label>{words(1, 3, _SAID[kind])}</label><input name=q><button>{words(1, 3)}</button>"
         else:
@@ -371,27 +374,29 @@ def generated(seed: int, n: int) -> tuple[list[list[Block]], list[np.ndarray]]:
 
     pages, labels = [], []
     for _ in range(n):
-        a, b = pick([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), named("div", _MAIN, 1.0), named("section", _MAIN, 1.0), named("article", _MAIN, 1.0)])
+        a, b = pick([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("", ""), ('<div role="main">', "</div>"), named("div", _MAIN, 1.0), named("div", _MAIN, 1.0), named("section", _MAIN, 1.0), named("article", _MAIN, 1.0)])
         inner = []
         if rng.random() < 0.8:
             level = pick(["h1", "h1", "h2"])
             inner.append(f"<{level}>\ue000{words(2, 12)}</{level}>")
-        for _ in range(int(rng.integers(1, 25))):
+        for _ in range(rng.randrange(1, 25)):
             kind = rng.random()
             long = words(4, pick([12, 40, 150]))
             if kind < 0.78:
                 inner.append(pick(["<p>\ue000{}</p>", "<p>\ue000{}</p>", "<p><b>\ue000{}<br>", "<p>\ue000{}", "<div>\ue000{}</div>"]).replace("{}", long))
             elif kind < 0.86:
-                inner.append("<ul>" + "".join(f"<li>\ue000{words(2, 20)}</li>" for _ in range(int(rng.integers(2, 6)))) + "</ul>")
+                inner.append("<ul>" + "".join(f"<li>\ue000{words(2, 20)}</li>" for _ in range(rng.randrange(2, 6))) + "</ul>")
             elif kind < 0.92:
                 inner.append(f"<{pick(['h2', 'h3', 'h4'])}>\ue000{words(1, 8)}</h3>".replace("</h3>", ""))
-            elif kind < 0.96:
-                inner.append(f"<blockquote><p>\ue000{long}</p></blockquote>")
+            elif kind < 0.95:
+                inner.append(pick([f"<blockquote><p>\ue000{long}</p></blockquote>", f"<blockquote>\ue000{long}</blockquote>", f"<pre>\ue000{words(1, 9)}</pre>", f"<dl><dt>\ue000{words(1, 4)}<dd>\ue000{words(3, 20)}</dl>"]))
             else:
-                inner.append("<table>" + "".join(f"<tr><td>\ue000{words(1, 5)}</td><td>\ue000{words(1, 5)}</td></tr>" for _ in range(3)) + "</table>")
+                inner.append("<table>" + pick(["", f"<tr><th>\ue000{words(1, 3)}</th><th>\ue000{words(1, 3)}</th></tr>"]) + "".join(f"<tr><td>\ue000{words(1, 5)}</td><td>\ue000{words(1, 5)}</td></tr>" for _ in range(3)) + "</table>")
+            if rng.random() < 0.1:
+                inner[-1] = f'<{pick(["section", "div"])} id="{pick(sounds)}{pick(sounds)}">{inner[-1]}</{pick(["section", "div"])}>'
         for kind in ("ad", "share", "aside", "notice"):
             if rng.random() < 0.12:
-                inner.insert(int(rng.integers(len(inner) + 1)), around(kind))
+                inner.insert(rng.randrange(len(inner) + 1), around(kind))
         before = [around(k) for k in ("notice", "header", "nav", "ad", "nav", "aside") if rng.random() < 0.45]
         after = [around(k) for k in ("share", "comments", "aside", "ad", "form", "notice", "footer") if rng.random() < 0.4]
         wrap = pick([("", ""), ('<div class="wrapper">', "</div>"), ('<div id="container"><div class="row">', "</div></div>")])

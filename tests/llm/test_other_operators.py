@@ -39,6 +39,53 @@ def test_blocks_around_hidden_elements(page, texts):
     assert [b.text for b in html_lstm.blocks(page)] == texts
 
 
+@pytest.mark.parametrize("page, texts", [
+    ("<div data-x=O'Brien>First para.</div><div data-x=D'Arcy>Second.</div>", ["First para.", "Second."]), ('<a href=/x"y>one</a> and <a href=/z"w>two</a>', ["one and two"]), ("<p>AT&<i>amp;T</i>", ["AT&amp;T"]),
+    ("<p a=\"b>c\">k<p a='x>\"y'>l<p =a>m<p a= >n<p a = b/>o", ["k", "l", "m", "n", "o"]), ('<p title="never closed>d</p>', ["d"]), ("<!-->a<!--->b<!-- x --!>c", ["abc"]), ("<p class='a' data-x='class=nav'>x", ["x"]),
+])
+def test_blocks_with_odd_attributes(page, texts):
+    assert [b.text for b in html_lstm.blocks(page)] == texts
+
+
+def test_blocks_hold_the_text_that_the_event_parser_sees():
+    """Against the standard library's parser, on random pages of tags, attributes, references and comments."""
+    from html.parser import HTMLParser
+
+    class Texts(HTMLParser):
+        def handle_data(self, data):
+            self.out += data
+
+        def handle_starttag(self, tag, attrs):
+            self.out += " " * (tag not in html_lstm._INLINE or tag == "br")
+
+        def handle_endtag(self, tag):
+            self.out += " " * (tag not in html_lstm._INLINE)
+
+    rng = random.Random(9)
+    parts = ["<p>", "</p>", "<div class=a>", '<div id="x>y">', "</div>", "<a href=/o'b?c=1&amp;d>", "</a>", "<b title='\"q\" > r'>", "</b>", "<br/>", "<img alt=\"a'b\" src=x>", "<!-- <p>no</p> -->", "&amp;", "&lt;b&gt;", "&#233;", "&copy;", " ", "\n\t", "word", "x< y", "a & b", "1 < 2", "é"]
+    for _ in range(400):
+        page = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 25)))
+        seen = Texts()
+        seen.out = ""
+        seen.feed(page)
+        seen.close()
+        assert "".join("".join(b.text for b in html_lstm.blocks(page)).split()) == "".join(seen.out.split()), page
+
+
+def test_labeller_on_pages_written_by_hand():
+    from layouts import LAYOUTS
+
+    net = html_lstm.train([])
+    right = total = 0
+    for page, want in LAYOUTS.values():
+        found = html_lstm.blocks(page)
+        assert [b.text for b in found if b.text in want] == want
+        for b, x in zip(found, net.main([found])[0]):
+            right += (b.text in want) == x
+            total += 1
+    assert right >= 0.93 * total
+
+
 def test_extraction_of_given_pages(spark, data):
     rows = {r["page_id"]: r for r in queries.op2_html_lstm(spark, data).collect()}
     right = 0
