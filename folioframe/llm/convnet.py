@@ -5,9 +5,9 @@ chunk. FILTERS learned filters of WIDTH bytes slide over each chunk by two bytes
 weight for each place in a filter. Each filter's highest positive response in a chunk is kept. The chunks' responses are combined by their mean
 and their maximum over the document, and a logistic unit turns both into one probability.
 
-Training (on the driver) takes at most ``per_class`` labelled documents of either class, those of lowest id hash, and at most
-``TRAIN_CHUNKS`` evenly spaced chunks of each, so it costs the same for any corpus; scoring reads every byte of every text. Labels, language, source and
-id are not inputs.
+Training (on the driver) takes at most ``per_class`` labelled documents of either class, those of lowest id hash, and of them, in that order,
+as many as ``TRAIN_BYTES`` have room for; all their chunks are learned from. So it costs the same for any corpus; scoring reads every byte of every text. Labels, language,
+source and id are not inputs.
 
 Edge cases: null or empty text is one chunk of zeros and gets a score like any other; very long texts are scored piece by piece in bounded
 memory; repeated rows get equal scores; labels that are null are not used; of an id's several labels all are used;
@@ -28,9 +28,9 @@ from folioframe.llm._spark import ship
 from folioframe.llm._words import steps
 
 CHUNK, OVERLAP, WIDTH, FILTERS = 256, 32, 8, 24
-#: Bounds of the labelled sample: documents of a class, and chunks of a document.
-PER_CLASS, TRAIN_CHUNKS = 2_000, 8
-EPOCHS, BATCH, RATE, SEED = 12, 64, 0.01, 7
+#: Bounds of the labelled sample: documents of a class, and bytes of all documents; a document that would exceed these is passed over.
+PER_CLASS, TRAIN_BYTES = 1_000, 8_000_000
+EPOCHS, BATCH, RATE, SEED = 8, 32, 0.01, 7
 _STEP = CHUNK - OVERLAP
 #: Bytes that are scored at once: of short texts together, and of one long text (a whole number of chunks).
 STEP_BYTES = 1 << 18
@@ -96,7 +96,7 @@ class ConvNet:
         row, f = np.nonzero(g_h)
         at, g = best[row, f] * 2, g_h[row, f].astype(np.float32)
         for j in range(WIDTH):
-            np.add.at(g_kernel[j], (chunks[row, at + j], f), g)
+            g_kernel[j] = np.bincount(chunks[row, at + j].astype(np.int64) * FILTERS + f, g, 256 * FILTERS).reshape(256, FILTERS)
         return [g_kernel + 1e-5 * self.kernel, g_h.sum(0).astype(np.float32), g_out.astype(np.float32), np.array([d.sum()], np.float32)]
 
     def _pair_tables(self) -> np.ndarray:
@@ -150,16 +150,13 @@ class ConvNet:
         return out
 
 
-def sample_chunks(text: bytes) -> np.ndarray:
-    """At most TRAIN_CHUNKS evenly spaced chunks of a text."""
-    starts = chunk_starts(len(text))
-    if len(starts) > TRAIN_CHUNKS:
-        starts = starts[np.linspace(0, len(starts) - 1, TRAIN_CHUNKS).round().astype(int)]
-    return np.frombuffer(b"".join(text[a : a + CHUNK].ljust(CHUNK, b"\0") for a in starts), np.uint8).reshape(-1, CHUNK)
+def all_chunks(text: bytes) -> np.ndarray:
+    """The chunks of a text."""
+    return np.frombuffer(b"".join(text[a : a + CHUNK].ljust(CHUNK, b"\0") for a in chunk_starts(len(text)).tolist()), np.uint8).reshape(-1, CHUNK)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ConvNet:
-    """A net for ``docs`` (id, t) and ``labels`` (id, y): a bounded sample of each class is fetched, as chunks."""
+    """A net for ``docs`` (id, t) and ``labels`` (id, y): a bounded sample of each class is fetched."""
     labels = labels.where("y in (0, 1)").select("id", F.col("y").cast("int").alias("y"))
     count = {r["y"]: r["n"] for r in labels.groupBy("y").agg(F.count("*").alias("n")).collect()}
     net = ConvNet()
@@ -169,23 +166,24 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Con
     order = [F.xxhash64("id", F.lit(SEED)), F.col("id")]
     chosen = labels.where("y = 0").orderBy(*order).limit(per_class).union(labels.where("y = 1").orderBy(*order).limit(per_class))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from folioframe.llm import convnet as m
-
-        for batch in batches:
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m.sample_chunks(x or b"").tobytes() for x in texts], pa.binary())], ["id", "y", "chunks"])
-
-    # at most 2 * per_class rows of an id and a label are broadcast, and as many of TRAIN_CHUNKS * CHUNK bytes fetched
-    kind = docs.schema["id"].dataType.simpleString()
-    found = docs.join(F.broadcast(chosen), "id").select("id", "y", "t").mapInArrow(cut, f"id {kind}, y int, chunks binary")
-    rows = found.orderBy(F.xxhash64("id", F.lit(SEED)), "id", "y", "chunks").limit(2 * per_class).collect()
-    y = np.array([r["y"] for r in rows], np.float32)
+    # at most 2 * per_class rows of an id and a label are broadcast, their documents' sizes fetched, and then TRAIN_BYTES of texts at most
+    of = docs.join(F.broadcast(chosen), "id").select("id", "y", F.octet_length("t").alias("size"), F.xxhash64("t").alias("h"))
+    first = [F.xxhash64("id", F.lit(SEED)), "id", "y", "h"]
+    sizes = of.orderBy(*first).limit(2 * per_class).collect()
+    room, taken = TRAIN_BYTES, []
+    for r in sizes:
+        if r["size"] <= room:
+            room -= r["size"]
+            taken.append((r["id"], r["y"], r["h"]))
+    wanted = docs.sparkSession.createDataFrame(sorted(set(taken)), f"id {docs.schema['id'].dataType.simpleString()}, y int, h long")
+    texts = docs.withColumn("h", F.xxhash64("t")).join(F.broadcast(wanted), ["id", "h"]).select("id", "y", "h", "t").orderBy(*first).limit(len(taken)).collect()
+    rows = [(r["y"], (r["t"] or "").encode()) for r in texts]
+    y = np.array([label for label, _ in rows], np.float32)
     prior = count[1] / (count[0] + count[1])
     if len(set(y.tolist())) < 2:
         net.constant = prior
         return net
-    net.fit([np.frombuffer(bytes(r["chunks"]), np.uint8).reshape(-1, CHUNK) for r in rows], y, prior)
+    net.fit([all_chunks(t) for _, t in rows], y, prior)
     return net
 
 
