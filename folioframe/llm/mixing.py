@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash thresholds.
 
-Every document has a 48-bit hash of its id. For each source, token sums by hash bucket (12 bits) show in which bucket the
+Every document has a 48-bit hash of its id and text. For each source, token sums by hash bucket (12 bits) show in which bucket the
 source's budget ends; only that bucket is summed again by its next 12 bits, and so on until one hash value is left. A document is
 taken when its hash is below its source's threshold: no rows are sorted, a source of any size is spread over all tasks, a larger budget takes
 a superset of a smaller one, and reruns agree.
@@ -9,8 +9,8 @@ Targets: sources by code point (null last) weigh ``weights`` in turn and share t
 target stops at ``max_repeats`` times its source's size and the excess is shared by weight among the rest. A source with a target above its
 size is taken ``floor(target / size)`` times whole and once more up to the threshold of the remainder.
 
-Edge cases: null text has size 0; null is a source of its own; rows with equal ids (or null ids) share a hash and are taken
-together; a source without words has target 0; an empty table gives an empty result; other columns are carried by
+Edge cases: null text has size 0; null is a source of its own; rows that equal each other in id (null or not) and text share a hash and are taken
+together; rows without words follow their hash too and are taken ``max_repeats`` times at most; a source without words has target 0; an empty table gives an empty result; other columns are carried by
 ``apply_plan`` and may have any name that does not begin with ``_mix_``.
 """
 
@@ -32,8 +32,9 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def id_hash(ident: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(ident.cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long")
+def row_hash(ident: Column, text: Column) -> Column:
+    both = F.concat(F.coalesce(ident.cast("string"), F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(both), 1, BITS // 4), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], max_repeats: int) -> DataFrame:
@@ -57,7 +58,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], max_repeats: int) -> D
 
 def plan(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(documents with _mix_source, _mix_size and _mix_hash; one row a source with its target, whole copies and threshold)."""
-    sized = checkpointed(df.select(F.col(id_col), F.col(source_col).alias("_mix_source"), words(F.col(text_col)).alias("_mix_size"), id_hash(F.col(id_col)).alias("_mix_hash")))
+    sized = checkpointed(df.select(F.col(id_col), F.col(source_col).alias("_mix_source"), words(F.col(text_col)).alias("_mix_size"), row_hash(F.col(id_col), F.col(text_col)).alias("_mix_hash")))
     sources = sized.groupBy("_mix_source").agg(F.sum("_mix_size").alias("_mix_total"))
     state = targets(sources, weights, max_repeats)
     ratio = F.when(F.col("_mix_total") > 0, F.floor(F.col("_mix_target") / F.col("_mix_total"))).otherwise(0).cast("long")
@@ -74,7 +75,7 @@ def plan(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repeats: int
         )
         state = checkpointed(state)
     nearer = F.abs(F.col("_below") + F.col("_here") - F.col("_rest")) < F.abs(F.col("_below") - F.col("_rest"))
-    edge = F.when(F.col("_at") < 0, 0).otherwise(F.col("_at") + nearer.cast("long"))
+    edge = F.when((F.col("_at") < 0) | (F.col("_rest") <= 0), 0).otherwise(F.col("_at") + nearer.cast("long"))
     return sized, state.select("_mix_source", "_mix_total", "_mix_target", "_mix_copies", edge.alias("_mix_edge"))
 
 
@@ -99,6 +100,6 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repeats: int
 def apply_plan(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed documents: every row of ``df``, all columns, as often as the mix takes it."""
     _, state = plan(df, weights, max_repeats, id_col, text_col, source_col)
-    rows = df.withColumn("_mix_source", F.col(source_col)).withColumn("_mix_hash", id_hash(F.col(id_col)))
+    rows = df.withColumn("_mix_source", F.col(source_col)).withColumn("_mix_hash", row_hash(F.col(id_col), F.col(text_col)))
     taken = with_plan(rows, state).withColumn("_mix_n", copies()).where(F.col("_mix_n") > 0)
     return taken.withColumn("_mix_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_n")))).select(*[F.col(f"`{c}`") for c in df.columns])

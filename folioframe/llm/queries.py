@@ -77,7 +77,7 @@ ORACLES: dict[str, str] = {
     "op3_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || chr(10) || coalesce(text, '')), 1, 12))::BIGINT AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS total FROM d GROUP BY source),
 w AS (SELECT source, total, total * 3 AS cap, sum(total) OVER ()::BIGINT AS everything,

@@ -107,6 +107,16 @@ def test_mixing_reaches_targets_and_caps(spark):
     assert sorted(mixing.mix(docs).collect()) == sorted(mixing.mix(docs.repartition(7)).collect())
 
 
+def test_mixing_of_null_ids_and_empty_rows(spark):
+    rows = [(None, f"{'w ' * (1 + k % 3)}n{k}", "a") for k in range(300)] + [(7, f"x{k}", "b") for k in range(90)] + [(k, "", "b") for k in range(60)] + [(900 + k, None, "b") for k in range(40)] + [(2000 + k, "y " * 9, "c") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by = {s: docs.where(F.col("source") == s) for s in "abc"}
+    taken = {r["source_size"]: (r["target"], r["t"]) for r in mixing.mix(docs).groupBy("source_size", "target").agg(F.sum("taken").alias("t")).collect()}
+    assert all(abs(target - got) <= 9 for target, got in taken.values()) and len(taken) == 3
+    number = Counter((r["doc_id"], r["text"], r["source"]) for r in mixing.apply_plan(docs).collect())
+    assert max(number.values()) <= 3 and by["b"].count() == 190
+
+
 def test_mixing_edges(spark, edge, none):
     rows = mixing.mix(edge).collect()
     assert len(rows) == edge.count() and all(r["size"] == 0 for r in rows if r["doc_id"] in (1, 2, 3))
