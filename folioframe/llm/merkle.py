@@ -1,15 +1,17 @@
 """Document fingerprints: a Merkle tree over pieces, paragraphs and sections, in DataFrame functions only.
 
 A section ends with a blank line, a paragraph with a line break, and a paragraph is cut into pieces at sentence ends or after 32
-characters. Every character is in exactly one piece, so the pieces spell the text. A piece's digest is its 64-bit hash, a paragraph's the
-hash of its pieces' digests, a section's that of its paragraphs', and the root is the SHA-256 of the section digests.
+characters; in texts of at most ``SHORT`` characters, after 4. Every character is in exactly one piece, so the pieces spell the text. A piece's digest is its
+64-bit hash, a paragraph's the hash of its pieces' digests, a section's that of its paragraphs', and the root is the SHA-256 of the section digests.
 Equal roots mean equal texts; where roots differ, sections, paragraphs and pieces that differ locate the edits.
 
-The fingerprint string is the root in hex, a colon, and 8 hex digits for every piece in order. The likeness of two trees is twice
-the number of shared distinct pieces over the sum of both numbers (1 for equal roots, 0 when only one is empty).
+The fingerprint string is the root in hex, a colon, and 8 hex digits for every piece in order. Two trees are compared from the top: sections at equal
+places with equal digests are passed over, in the others paragraphs at equal places with equal digests; what remains are the differing branches. The likeness is
+twice the number of pieces that agree (those under equal branches, and the distinct ones that the differing branches have in common, wherever
+they moved to) over that number and the distinct pieces of either side's differing branches: 1 for equal roots, 0 when nothing agrees.
 
 Edge cases: null text counts as empty; the empty text has a root and no pieces; very long texts grow their own row's tree only;
-repeated rows repeat their result. For ``with_edits`` documents stand in order of id (null first), then of text hash; rows with equal id and
+repeated rows repeat their result; a text of at most ``SHORT`` characters has nothing in common with a longer one. For ``with_edits`` documents stand in order of id (null first), then of text hash; rows with equal id and
 text are one document there and get the same answer; with one document it is its own successor; an empty table
 gives an empty result; other columns are not read.
 """
@@ -24,12 +26,17 @@ from folioframe.llm._spark import checkpointed
 
 #: Documents in a range of ids, and the least number of ranges in which successors are looked up beside each other.
 RANGE_ROWS, RANGES = 1_000_000, 64
+#: Characters up to which a text is cut into short pieces, and the two cuts.
+SHORT = 128
+_SHORT_PIECES, _PIECES = r"(?s).{1,4}", r"[^.!?]{1,32}[.!?]*|[.!?]+"
 
 
 def tree(text: Column) -> Column:
     """Digests of the pieces, by section and paragraph: array<array<array<long>>>."""
+    cut = F.when(F.length(text) <= SHORT, F.lit(_SHORT_PIECES)).otherwise(F.lit(_PIECES))
+
     def pieces(p: Column) -> Column:
-        return F.transform(F.regexp_extract_all(p, F.lit(r"[^.!?]{1,32}[.!?]*|[.!?]+"), F.lit(0)), lambda x: F.xxhash64(x))
+        return F.transform(F.regexp_extract_all(p, cut, F.lit(0)), lambda x: F.xxhash64(x))
 
     def paragraphs(s: Column) -> Column:
         return F.transform(F.regexp_extract_all(s, F.lit(r"[^\n]*\n+|[^\n]+"), F.lit(0)), pieces)
@@ -58,19 +65,40 @@ def rendered(root_hex: Column, piece_digests: Column) -> Column:
     return F.concat(root_hex, F.lit(":"), F.lower(F.array_join(low, "")))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Of two arrays of distinct piece digests."""
-    both = F.size(a) + F.size(b)
-    return F.when(both == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
+def _paired(a: Column, b: Column) -> Column:
+    """Branches at equal places side by side; one side is null where the other has more."""
+    return F.zip_with(F.coalesce(a, F.array()), F.coalesce(b, F.array()), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+
+
+def differing(a: Column, b: Column) -> Column:
+    """Pairs (x, y) of paragraphs in which two trees differ, found from the top."""
+    def digest(section: Column) -> Column:
+        return F.xxhash64(F.transform(section, lambda p: F.xxhash64(p)))
+
+    sections = F.filter(_paired(a, b), lambda s: s["x"].isNull() | s["y"].isNull() | (digest(s["x"]) != digest(s["y"])))
+    paragraphs = F.flatten(F.transform(sections, lambda s: _paired(s["x"], s["y"])))
+    return F.filter(paragraphs, lambda p: p["x"].isNull() | p["y"].isNull() | (F.xxhash64(p["x"]) != F.xxhash64(p["y"])))
+
+
+def likeness(pieces: Column, pairs: Column) -> Column:
+    """Of two trees: ``pieces`` is the first one's number of pieces, ``pairs`` what ``differing`` says of both."""
+    def side(name: str) -> Column:
+        return F.flatten(F.transform(pairs, lambda p: F.coalesce(p[name], F.array().cast("array<bigint>"))))
+
+    def of(x: Column, y: Column) -> Column:
+        same = pieces - F.size(x)
+        dx, dy = F.array_distinct(x), F.array_distinct(y)
+        both = 2.0 * same + F.size(dx) + F.size(dy)
+        return F.when(both == 0, 1.0).otherwise(2.0 * (same + F.size(F.array_intersect(dx, dy))) / both)
+
+    return of(side("x"), side("y"))
 
 
 def edited_paragraphs(a: Column, b: Column) -> Column:
-    """Places (from 0) of ``a``'s paragraphs that the tree ``b`` does not hold; whole equal sections are passed over."""
-    there = F.array_except(section_digests(a), section_digests(b))
-    other = paragraph_digests(b)
-    changed = F.transform(F.arrays_zip(a.alias("s"), section_digests(a).alias("d")), lambda x: F.transform(x["s"], lambda p: F.array_contains(there, x["d"]) & ~F.array_contains(other, F.xxhash64(p))))
-    flags = F.flatten(changed)
-    return F.filter(F.transform(flags, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+    """Places (from 0) of ``a``'s paragraphs that the tree ``b`` does not hold anywhere."""
+    own = paragraph_digests(a)
+    gone = F.array_except(own, paragraph_digests(b))
+    return F.filter(F.transform(own, lambda d, i: F.when(F.array_contains(gone, d), i)), lambda i: i.isNotNull())
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,7 +129,7 @@ def with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Fingerprints of every text and of its edited text, whose last floor(n / 4) code points give way to the first of the next document.
 
     Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``. Texts are
-    shuffled once, by id and hash; what goes to the document before is the start of the text that it needs and the piece digests.
+    shuffled once, by id and hash; what goes to the document before is the start of the text that it needs and the tree.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("k"), text.alias("t"), F.xxhash64(text).alias("h"))
@@ -110,15 +138,14 @@ def with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     held = docs.select(F.coalesce("k", F.lit(0)).alias("kk"), F.col("k").isNull().alias("kn"), "h", "t")  # the same columns for both uses, so that one shuffle serves them
     link = before.select(F.coalesce("k", F.lit(0)).alias("kk"), F.col("k").isNull().alias("kn"), "h", "pk", "ph", "pn")
     # each document, once, sends what its predecessor needs
-    sent = held.join(link, ["kk", "kn", "h"]).select("pk", "ph", F.expr("substring(t, 1, cast(floor(pn / 4) as int))").alias("start"), F.array_distinct(leaves(tree(F.col("t")))).alias("next_set"))
-    sent = sent.groupBy(F.coalesce("pk", F.lit(0)).alias("kk"), F.col("pk").isNull().alias("kn"), F.col("ph").alias("h")).agg(F.first(F.struct("start", "next_set")).alias("s"))
+    sent = held.join(link, ["kk", "kn", "h"]).select("pk", "ph", F.expr("substring(t, 1, cast(floor(pn / 4) as int))").alias("start"), tree(F.col("t")).alias("next_tree"))
+    sent = sent.groupBy(F.coalesce("pk", F.lit(0)).alias("kk"), F.col("pk").isNull().alias("kn"), F.col("ph").alias("h")).agg(F.first(F.struct("start", "next_tree")).alias("s"))
     x = held.join(sent, ["kk", "kn", "h"])
     n = F.length("t")
-    x = x.select(F.when(~F.col("kn"), F.col("kk")).alias("k"), "t", n.cast("long").alias("n_chars"), F.concat(F.expr("substring(t, 1, length(t) - cast(floor(length(t) / 4) as int))"), F.col("s.start")).alias("edited"), F.col("s.next_set").alias("next_set"))
-    x = x.select("k", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("t")).alias("a"), tree(F.col("edited")).alias("b"), "next_set")
-    x = x.select("k", "n_chars", "edited_sha256", root(F.col("a")).alias("ra"), root(F.col("b")).alias("rb"), leaves(F.col("a")).alias("la"), leaves(F.col("b")).alias("lb"), "next_set")
-    x = x.withColumn("sa", F.array_distinct("la")).withColumn("sb", F.array_distinct("lb"))
+    x = x.select(F.when(~F.col("kn"), F.col("kk")).alias("k"), "t", n.cast("long").alias("n_chars"), F.concat(F.expr("substring(t, 1, length(t) - cast(floor(length(t) / 4) as int))"), F.col("s.start")).alias("edited"), F.col("s.next_tree").alias("c"))
+    x = x.select("k", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("t")).alias("a"), tree(F.col("edited")).alias("b"), "c")
+    x = x.select("k", "n_chars", "edited_sha256", "a", "b", leaves(F.col("a")).alias("la"), differing(F.col("a"), F.col("b")).alias("ab"), differing(F.col("a"), F.col("c")).alias("ac"))
     return x.select(
-        F.col("k").alias(id_col), "n_chars", "edited_sha256", rendered(F.col("ra"), F.col("la")).alias("fingerprint"), rendered(F.col("rb"), F.col("lb")).alias("edited_fingerprint"),
-        F.when(F.col("ra") == F.col("rb"), 1.0).otherwise(likeness(F.col("sa"), F.col("sb"))).alias("near_edited"), likeness(F.col("sa"), F.col("next_set")).alias("near_next"),
+        F.col("k").alias(id_col), "n_chars", "edited_sha256", rendered(root(F.col("a")), F.col("la")).alias("fingerprint"), rendered(root(F.col("b")), leaves(F.col("b"))).alias("edited_fingerprint"),
+        likeness(F.size("la"), F.col("ab")).alias("near_edited"), likeness(F.size("la"), F.col("ac")).alias("near_next"),
     )

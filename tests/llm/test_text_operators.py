@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 from helper import same_rows
@@ -356,6 +357,56 @@ def test_merkle_query(spark, data):
     assert np.mean([g["near_edited"] for g in got.values()]) > 0.6 and np.mean([g["near_next"] for g in got.values()]) < 0.1
 
 
+def brute_tree(t):
+    pattern = r"(?s).{1,4}" if len(t) <= merkle.SHORT else r"[^.!?]{1,32}[.!?]*|[.!?]+"
+    own = lambda x, seed=42: xxhash.xxh64(x, seed).intdigest()
+    sections = re.findall(r"(?s).+?(?:\n{2,}|\Z)", t)
+    return [[[own(x.encode()) for x in re.findall(pattern, p)] for p in re.findall(r"[^\n]*\n+|[^\n]+", s)] for s in sections]
+
+
+def brute_digest(numbers):
+    h = 42
+    for x in numbers:
+        h = xxhash.xxh64(x.to_bytes(8, "little"), h).intdigest()
+    return h
+
+
+def brute_fingerprint(tree):
+    root = hashlib.sha256(",".join(f"{brute_digest([brute_digest(p) for p in s]):X}" for s in tree).encode()).hexdigest()
+    return root + ":" + "".join(f"{x & 0xFFFFFFFF:08x}" for s in tree for p in s for x in p)
+
+
+def brute_likeness(a, b):
+    left, right, same = [], [], 0
+    for k in range(max(len(a), len(b))):
+        s, u = (x[k] if k < len(x) else [] for x in (a, b))
+        for j in range(max(len(s), len(u))):
+            p, q = (x[j] if j < len(x) else [] for x in (s, u))
+            if p == q:
+                same += len(p)
+            else:
+                left, right = left + p, right + q
+    left, right = set(left), set(right)
+    return 2 * (same + len(left & right)) / d if (d := 2 * same + len(left) + len(right)) else 1.0
+
+
+def test_merkle_against_brute_force(spark, data):
+    texts = [r["text"] for r in documents(spark, data).orderBy("doc_id").collect()]
+    moved = "\n".join(f"Line {k} of a longer text that someone else edits." for k in range(12))
+    texts += ["abcdefgh", "", "a\n\n\nb", moved, "A new first line that was not there before.\n" + moved, moved.replace("Line 5", "Line V"), "x. " * 400, "é" * 129 + "\n\n" + "ü" * 64, moved]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in merkle.with_edits(df).collect()}
+    for k, t in enumerate(texts):
+        following = texts[(k + 1) % len(texts)]
+        cut = len(t) // 4
+        a, b, c = brute_tree(t), brute_tree(t[: len(t) - cut] + following[:cut]), brute_tree(following)
+        r = got[k]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (brute_fingerprint(a), brute_fingerprint(b))
+        assert (r["near_edited"], r["near_next"]) == (pytest.approx(brute_likeness(a, b)), pytest.approx(brute_likeness(a, c)))
+    first = len(texts) - 9
+    assert got[first]["near_edited"] >= 0.5 and got[first + 3]["near_next"] > 0.8 and got[first + 8]["near_next"] < 0.1
+
+
 def test_merkle_locates_edits(spark):
     a = "One. Two.\nThree.\n\nFour.\nFive.\n"
     df = spark.createDataFrame([(a, a.replace("Three", "3")), (a, a)], "a string, b string").select(merkle.tree(F.col("a")).alias("a"), merkle.tree(F.col("b")).alias("b"))
