@@ -1,6 +1,8 @@
 """Operators on pages, vectors, conversations and files, and the pipeline."""
 
+import math
 import random
+from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
@@ -146,7 +148,7 @@ def test_html_edges(spark):
 
 
 def brute_top(rows, k, every):
-    q = [(i, np.floor(64.0 * np.array(v, np.float64)).astype(int)) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    q = [(i, np.array([math.floor(64 * Fraction(x)) for x in v], object)) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for i, v in q:
         if i is not None and i % every == 0:
@@ -158,14 +160,17 @@ def brute_top(rows, k, every):
 def test_top_k(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(k, [rng.gauss(0, 0.2) if k % 3 else 0.25 * rng.randrange(3) for _ in range(6)]) for k in range(150)]
-    rows += [(None, [0.1] * 6), (151, None), (152, []), (160, []), (153, [1.0, None] + [0.0] * 4), (154, [float("nan")] * 6), (155, [float("inf")] * 6), (156, [3.5] * 2), (180, [-1.0, 2.0]), (157, [1e30] * 6), (190, [100.0, -77.3, 0.0, 5.0, 1.0, -0.001])]
+    rows += [(None, [0.1] * 6), (151, None), (152, []), (160, []), (153, [1.0, None] + [0.0] * 4), (154, [float("nan")] * 6), (155, [float("inf")] * 6), (156, [3.5] * 2), (180, [-1.0, 2.0]), (190, [100.0, -77.3, 0.0, 5.0, 1.0, -0.001])]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, score int, rank int")
-    rows = [(i, None if v is None or 1e30 in v else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
+    rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     for size in (32_768, 40):
         monkeypatch.setattr(bitsliced, "INDEX_ROWS", size)
         monkeypatch.setattr(bitsliced, "QUERY_ROWS", size // 10)
         got = sorted([tuple(r) for r in bitsliced.top_k(df, F.col("vec_id") % 10 == 0, k=7).collect()], key=str)
         assert got == brute_top(rows, 7, 10)
+    for tasks in (1, 50):  # runs of one and of many query blocks
+        monkeypatch.setattr(bitsliced, "TASKS", tasks)
+        assert sorted([tuple(r) for r in bitsliced.top_k(df, F.col("vec_id") % 10 == 0, k=7).collect()], key=str) == brute_top(rows, 7, 10)
     assert bitsliced.top_k(df.where("false"), F.col("vec_id") % 10 == 0).collect() == []
 
 
@@ -180,6 +185,10 @@ def test_top_k_of_wide_components(spark, monkeypatch):
         monkeypatch.setattr(bitsliced, "WIDE_ROWS", wide)
         got = sorted([tuple(r) for r in bitsliced.top_k(df, F.col("vec_id") % 10 == 0, k=7).collect()], key=str)
         assert got == brute_top(rows, 7, 10)
+    # huge components, where all results fit
+    rows = [(k, [0.5 if k % 3 else 0.0, k / 16, -1.0]) for k in range(40)] + [(41, [-1e30, 2.0, 0.25]), (43, [-3e38, 2.0, 0.25]), (47, [-(2.0**57), 70.0, 0.0]), (50, [0.0, -(2.0**80), 0.0]), (60, [0.0, 0.5, 0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted([tuple(r) for r in bitsliced.top_k(df, (F.col("vec_id") % 10 == 0) & (F.col("vec_id") != 50), k=7).collect()], key=str) == [r for r in brute_top(rows, 7, 10) if r[0] != 50]
     block = bitsliced.SlicedBlock(np.arange(9), np.ones(9, bool), np.array([[2**60 - j, -(2**61), j] for j in range(9)]))
     for q in ([3, 1, -5], [2**61, 2**60, 7], [-1, 0, 2**40]):
         want = sorted(((sum(a * b for a, b in zip(q, [2**60 - j, -(2**61), j])), -j) for j in range(9)), reverse=True)[:4]
