@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from folioframe.runtime import ship
 
-__all__ = ["checkpointed", "dealt", "ship", "spread", "table"]
+__all__ = ["checkpointed", "dealt", "mapped", "ship", "spread", "table"]
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the folder in spark.checkpoint.dir and cut its lineage there.
@@ -25,6 +28,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def mapped(shared: Broadcast, size: int) -> np.ndarray:
+    """The bytes of a broadcast bytearray of ``size``, in a worker.
+
+    Spark gives an executor one file for each broadcast variable; its workers share the file's pages instead of reading a copy each. Where
+    there is no such file (encrypted sessions) or its bytes are not found, the value is read as usual.
+    """
+    path = getattr(shared, "_path", None)
+    if path and os.path.exists(path) and size:
+        raw = np.memmap(path, np.uint8, "r")
+        at = raw[:64].tobytes().find(b"\x96" + size.to_bytes(8, "little")) + 9  # pickle's code for a bytearray, and its length
+        if at >= 9 and len(raw) >= at + size:
+            return raw[at : at + size]
+    return np.frombuffer(shared.value, np.uint8)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm._spark import checkpointed, ship, spread
+from folioframe.llm._spark import checkpointed, mapped, ship, spread
 from folioframe.llm._words import mix, steps, word_hashes
 
 #: Bits for each entry of the filter, and probes.
@@ -39,8 +39,8 @@ ENTRY_BITS, PROBES = 10, 4
 #: The least level at which pairs are entered; pairs seen once have level 0.
 LEAST = 0
 #: Bytes of text that one range of hashes stands for, tokens that a batch sends at once, and the most ranges (beyond 200 TB of text a range grows).
-RANGE_BYTES, BATCH_TOKENS, MOST_RANGES = 12_000_000, 2_000_000, 1 << 24
-#: Bytes of the filter up to which it is broadcast; each Python worker holds a copy.
+RANGE_BYTES, BATCH_TOKENS, MOST_RANGES = 12_000_000, 1_500_000, 1 << 24
+#: Bytes of the filter up to which it is broadcast.
 BROADCAST_BYTES = 1 << 28
 #: Keys that are entered at once.
 STEP_KEYS = 1 << 17
@@ -115,7 +115,7 @@ def segment(words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray, pair_
 class Model:
     """Corpus sums, and the filter, unless it stays in its segments (``held`` is None)."""
 
-    def __init__(self, total: int, distinct: int, once: int, least: int, first: np.ndarray, bits: np.ndarray, held: bytes | bytearray | None):
+    def __init__(self, total: int, distinct: int, once: int, least: int, first: np.ndarray, bits: np.ndarray, held: bytes | bytearray | np.ndarray | None):
         """``first``, ``bits``: where each range's segment begins in ``held``, and its size, in bits."""
         self.total, self.distinct, self.once, self.least = total, distinct, once, least
         self.unknown = min(max(once / total, 1 / (total + 1)), 0.5) if total else 1.0
@@ -407,14 +407,15 @@ def score(df: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str
     if model.held is None:
         scored = docs.select("id", "held_out", "rk").join(level_sums(docs.select("rk", "t"), counts, ranges, model, -(-size // RANGE_BYTES) or 1), "rk")
         return scored.join(sums, "rk").select(cols)
-    shared = spark.sparkContext.broadcast(model)
-    del model
+    size, shared = len(model.held), spark.sparkContext.broadcast(model.held)
+    model.held = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model.held = mapped(shared, size)
         for batch in batches:
             n, s = [], []
             for _, texts in steps(x or b"" for x in batch.column(3).cast(pa.binary()).to_pylist()):
-                a, b = shared.value.scores(texts)
+                a, b = model.scores(texts)
                 n.append(a)
                 s.append(b)
             cols = [np.concatenate(x) if x else np.zeros(0) for x in (n, s)]
