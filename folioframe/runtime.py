@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -27,3 +27,13 @@ def ship(spark: SparkSession) -> None:
     Path(path).write_bytes(held.getvalue())
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as the session has cores.
+
+    A table of a few small files is read in fewer splits than that, and costly functions would run in one or two
+    tasks. Larger tables have more splits than cores and stay as they are read, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
