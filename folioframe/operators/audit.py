@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioframe.functions import text as t
+from folioframe.operators import tables as tb
+from folioframe.operators import tokens as tk
 
 
 def volume(pages: DataFrame, keys: list[str], text: str = "text", least: int = 20) -> DataFrame:
@@ -84,3 +86,73 @@ def original_of(files: DataFrame) -> DataFrame:
     keyed = files.select("path", stem.alias("stem"), F.length("content").alias("size"), F.md5("content").alias("digest"))
     first = keyed.groupBy("stem", "size", "digest").agg(F.min("path").alias("original"))
     return keyed.join(first, ["stem", "size", "digest"]).select("path", "original")
+
+
+# fixed values: labels of a statement's provenance
+VERIFIED, UNVERIFIED = "已回原件核实", "仅据转录、待核"
+
+
+def provenance(findings: DataFrame, verified: DataFrame) -> DataFrame:
+    """Adds ``provenance`` to findings (doc_id, page, ...): whether their page is among those looked at in the original (doc_id, page)."""
+    seen = verified.select("doc_id", "page").distinct().withColumn("_seen", F.lit(True))
+    return findings.join(seen, ["doc_id", "page"], "left").withColumn("provenance", F.when(F.col("_seen"), VERIFIED).otherwise(UNVERIFIED)).drop("_seen")
+
+
+def transcription_pages(pages: DataFrame, md: DataFrame, tables: DataFrame, few_pages: int = 30, least: int = 20) -> DataFrame:
+    """``doc_id, page, tier``: pages of originals to look at, from token deficits, tables and formulas.
+
+    ``pages``: doc_id, page, text of the original; ``md``: doc_id, text of its transcription; ``tables``: doc_id, page, tbl_no, n_rows, n_cols of the original.
+    """
+    state, (src, shown) = _table_state(pages, md, tables, few_pages, least)
+    layered = pages.join(state.where(~F.col("scanned")).select("doc_id"), "doc_id", "left_semi")
+    lacking = tk.deficit(tk.multiset(layered, ["doc_id", "page"], F.col("text")), tk.multiset(md, ["doc_id"], t.normalised_markdown(F.col("text"))))
+    pairs = tb.pair(src, shown)
+    every = pages.select("doc_id", "page").join(state.select("doc_id", "pages_to"), "doc_id")
+    held = src.select("doc_id", "page").distinct().join(state.select("doc_id", "pages_to"), "doc_id")
+    must = lacking.select("doc_id", "page").union(every.where("pages_to = 'A'").select("doc_id", "page")).union(held.where("pages_to = 'source_pages'").select("doc_id", "page")).union(pairs.where("NOT same").select("doc_id", "page"))
+    second = every.where("pages_to = 'B'").select("doc_id", "page").union(held.where("pages_to IN ('paired', 'none')").select("doc_id", "page"))
+    return tiers(must, second, pages.where(t.is_formula(F.col("text"))))
+
+
+def _table_state(pages: DataFrame, md: DataFrame, tables: DataFrame, few_pages: int, least: int):
+    """Volume and table findings by document; tables of originals with a text layer, and of transcriptions."""
+    sizes = volume(pages, ["doc_id"], least=least)
+    src = tables.join(sizes.where(~F.col("scanned")).select("doc_id"), "doc_id", "left_semi")
+    shown = md.select("doc_id", F.posexplode(tb.shapes(F.col("text"))).alias("p", "s")).select("doc_id", F.col("p").alias("tbl_no"), "s.n_rows", "s.n_cols")
+    count = lambda rows, name: rows.groupBy("doc_id").agg(F.count("*").alias(name))
+    both = sizes.join(count(src, "n_src"), "doc_id", "left").join(count(shown, "n_md"), "doc_id", "left").na.fill(0, ["n_src", "n_md"])
+    return tb.findings(both, few_pages), (src, shown)
+
+
+def transcription(pages: DataFrame, md: DataFrame, tables: DataFrame, second: DataFrame | None = None, few_pages: int = 30, least: int = 20, least_chars: int = 50, red_below: float = 0.7, share: float = 0.5, cap: int = 25) -> DataFrame:
+    """The whole audit, one row a document of ``md``.
+
+    ``doc_id, n_pages, n_chars, md_chars, scanned, ratio, n_src_tables, n_md_tables, n_disagreements, must, tables, formulas, too_many, red, exit_code``: volumes and their
+    ratio, tables of either side, tokens on which a ``second`` rendition (doc_id, text) disagrees (null without one), pages to look at by tier, whether
+    these are more than ``share`` of all, and the red findings, joined by commas.
+    """
+    state, _ = _table_state(pages, md, tables, few_pages, least)
+    listed = transcription_pages(pages, md, tables, few_pages, least)
+    by_tier = listed.groupBy("doc_id").agg(F.count("*").alias("n_listed"), *[F.sort_array(F.collect_list(F.when(F.col("tier") == x, F.col("page")))).alias(x) for x in "ABC"])
+    faults = glitches(md, ["doc_id"]).groupBy("doc_id").agg(F.collect_set("glitch").alias("faults"))
+    out = md.select("doc_id", F.length("text").cast("long").alias("md_chars")).join(state, "doc_id").join(by_tier, "doc_id", "left").join(faults, "doc_id", "left")
+    if second is not None:
+        tokens = [tk.multiset(x, ["doc_id"], t.normalised_markdown(F.col("text"))) for x in (md.join(second.select("doc_id"), "doc_id", "left_semi"), second)]
+        differ = tk.difference(*tokens, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("differ"))
+        out = out.join(second.select("doc_id", F.lit(True).alias("compared")), "doc_id", "left").join(differ, "doc_id", "left")
+        n = F.when(F.col("compared"), F.coalesce("differ", F.lit(0)))
+    else:
+        n = F.lit(None).cast("long")
+    ratio = volume_verdict(F.col("md_chars"), F.col("n_chars"), red_below)[0]
+    nothing = F.array().cast("array<string>")
+    red = F.concat(
+        F.when(F.col("md_chars") < least_chars, F.array(F.lit("nearly_empty"))).otherwise(nothing),
+        F.when(~F.col("scanned") & (ratio < red_below), F.array(F.lit("content_lost"))).otherwise(nothing),
+        F.coalesce(F.transform(F.sort_array("faults"), lambda x: F.concat(F.lit("glitch_"), x)), nothing),
+        F.when(F.col("red"), F.array(F.lit("table_count"))).otherwise(nothing),
+    )
+    lists = [F.coalesce(capped_list(F.col(x), cap), F.lit("none")).alias(name) for x, name in zip("ABC", ("must", "tables", "formulas"))]
+    return out.withColumn("r", red).select(
+        "doc_id", "n_pages", "n_chars", "md_chars", "scanned", F.round(ratio, 6).alias("ratio"), F.col("n_src").alias("n_src_tables"), F.col("n_md").alias("n_md_tables"), n.alias("n_disagreements"), *lists,
+        (F.coalesce("n_listed", F.lit(0)) > F.col("n_pages") * share).alias("too_many"), F.array_join("r", ",").alias("red"), F.when(F.size("r") > 0, 1).otherwise(0).alias("exit_code"),
+    )

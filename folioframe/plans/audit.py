@@ -145,39 +145,6 @@ def table_findings(spark, d):
     return tb.findings(COUNTS.df(spark))
 
 
-# documents stand for pages of their source; long ones must be seen, those with digits hold tables
-_TIERS = r"""tiers AS (SELECT source AS doc_id, doc_id AS page, CASE WHEN length(text) > 8000 THEN 'A' WHEN regexp_matches(text, '[0-9]') THEN 'B' ELSE 'C' END AS tier FROM documents
-WHERE length(text) > 8000 OR regexp_matches(text, '[0-9]') OR regexp_matches(text, '[=＝].*[a-zA-Zαβγφσ]|[∑∫√]'))"""
-
-
-def _tiers(spark, d):
-    p = table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), "text")
-    return p, au.tiers(p.where(F.length("text") > 8000), p.where(F.rlike("text", F.lit("[0-9]"))), p.where(t.is_formula(F.col("text"))))
-
-
-@query("page_tiers", f"WITH {_TIERS} SELECT * FROM tiers")
-def page_tiers(spark, d):
-    return _tiers(spark, d)[1]
-
-
-@query("coverage_warning", f"WITH {_TIERS} SELECT doc_id, coalesce(n, 0) AS n_listed, n_pages, coalesce(n, 0) > n_pages * 0.1 AS too_many FROM (SELECT source AS doc_id, count(*) AS n_pages FROM documents GROUP BY 1) LEFT JOIN (SELECT doc_id, count(*) AS n FROM tiers GROUP BY 1) USING (doc_id)")
-def coverage_warning(spark, d):
-    p, tiers = _tiers(spark, d)
-    return au.coverage(tiers, p.groupBy("doc_id").agg(F.count("*").alias("n_pages")), share=0.1)
-
-
-@query("page_lists", f"""WITH {_TIERS}, l AS (SELECT doc_id, tier, list(page ORDER BY page) AS p FROM tiers GROUP BY ALL)
-SELECT doc_id, tier, CASE WHEN len(p) <= 25 THEN array_to_string(p, ',') ELSE array_to_string(p[1:25], ',') || ' +' || (len(p) - 25) END AS pages FROM l""")
-def page_lists(spark, d):
-    return _tiers(spark, d)[1].groupBy("doc_id", "tier").agg(au.capped_list(F.sort_array(F.collect_list("page"))).alias("pages"))
-
-
-@query("doc_verdict", r"""SELECT doc_id, CASE WHEN length(text) < 50 OR regexp_matches(text, '[IⅠ]{3,}|\p{Nd}\.\.\p{Nd}|\x{FFFD}') THEN 1 ELSE 0 END AS exit_code, CASE WHEN length(text) < 50 OR regexp_matches(text, '[IⅠ]{3,}|\p{Nd}\.\.\p{Nd}|\x{FFFD}') THEN 'red' ELSE 'passed' END AS verdict FROM documents""")
-def doc_verdict(spark, d):
-    red = (F.length("text") < 50) | F.rlike("text", F.lit("|".join(p for _, p in t.GLITCHES)))
-    return table(spark, d, "documents").select("doc_id", F.when(red, 1).otherwise(0).alias("exit_code"), F.when(red, "red").otherwise("passed").alias("verdict"))
-
-
 @query("page_title_guess", r"""SELECT page_id, CASE WHEN lower(x) IN ('书名页','封面','扉页','版权页','cover','titlepage','title page','copyright','unknown','') THEN stem ELSE x END AS title FROM (
 SELECT page_id, regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[\s\p{Z}]+', ' ', 'g'), '^ | $', '', 'g') AS x, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '(.)\.[^.]*$', '\1') AS stem FROM pages)""")
 def page_title_guess(spark, d):
