@@ -5,13 +5,14 @@
    than that share, shingles are counted over all classes; a class whose slice has more than D(n) shingles that no other class has
    cannot link and goes no further.
 3. For the rest, all shingles are counted. Sorted by rising count, two linked sets share one of their first D(n) + 1
-   shingles (their prefixes). Classes with a common prefix shingle meet at the smallest of them, their leader, so a pair that
-   shares many shingles meets at few leaders.
+   shingles (their prefixes). Classes of like sizes with a common prefix shingle meet at the smallest of them, their leader, so a pair that
+   shares many shingles meets at few leaders, and a long text meets no short ones: sizes fall into classes a factor 1 / t wide, and linked
+   sets lie in the same or in neighbouring ones.
 4. At a leader, the sets stand in a trie in one global order, frequent shingles first, so that long runs are shared. Each set
    walks down the trie; overlaps of a shared run are counted once, and a subtree is cut when the shingles that remain on either side, or the
    set sizes below, cannot reach the needed overlap. A pair counts at the least leader that both have.
-   A leader with many classes is dealt into chunks, and every pair of chunks meets in a task of its own, so no task holds more
-   than two chunks. Only linked components and link counts leave a task, no lists of pairs.
+   A leader with many classes is dealt into chunks, bounded in classes and in shingles, and every pair of chunks meets in a task of its
+   own, so no task holds more than two chunks. Only linked components and link counts leave a task, no lists of pairs.
 5. Components of the links are found by star contractions.
 
 Shingles and classes are compared by 64-bit hashes; a false match of two has a chance of about 2**-64.
@@ -23,6 +24,7 @@ result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +38,9 @@ from folioframe.llm._words import mix, shingles, steps, word_hashes
 
 #: Shingles that one counting task takes, and that a reading task sends at once.
 COUNTED, SENT = 1_000_000, 1_000_000
-#: Classes of a chunk at a leader.
-CHUNK = 128
-#: Bits of the filter that tells which documents go on: 16 for each class, up to this bound (16 MB); beyond it, more pass needlessly.
+#: Least and most classes of a chunk at a leader, the chunks that it is dealt into before they grow, and the shingles of a chunk.
+CHUNK, CHUNK_MOST, CHUNKS, CHUNK_SHINGLES = 128, 1_024, 16, 1_000_000
+#: Bits of the filter that tells which documents go on: 16 for each class. Where these are more than this bound (16 MB), a join tells it.
 FILTER_BITS = 1 << 27
 FILTER_PARTS = 64
 
@@ -238,7 +240,7 @@ def join_group(sets: list[np.ndarray], sizes: np.ndarray, sim: Similarity) -> It
 
 def _id_filter(ids: DataFrame, count: int) -> np.ndarray:
     """A Bloom filter (bytes) of the column ``h`` of ``ids``, put together from ranges of its bits."""
-    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(16, (16 * count).bit_length()))
+    bits = 1 << max(16, (16 * count - 1).bit_length())
     size = bits // FILTER_PARTS
 
     def fill(key: tuple, t: pa.Table) -> pa.Table:
@@ -278,12 +280,13 @@ def link(df: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: str
 
     keyed = docs.select("id", F.xxhash64("t").alias("text_hash"), "t")
     rows = checkpointed(keyed.mapInArrow(fingerprint, f"id {kind}, text_hash long, fp long, n long").withColumn("_salt", salt("id", "text_hash")))
-    classes = checkpointed(summed(rows.where("n > 0"), "fp", [F.min("id").alias("id"), F.count("*").alias("c"), F.first("n").alias("n")], [F.min("id").alias("least"), F.sum("c").alias("members"), F.first("n").alias("n")]))
+    classes = checkpointed(summed(rows.where("n > 0"), "fp", [F.min("id").alias("id"), F.min(F.xxhash64("id", "text_hash")).alias("k"), F.count("*").alias("c"), F.first("n").alias("n")], [F.min("id").alias("least"), F.min("k").alias("one"), F.sum("c").alias("members"), F.first("n").alias("n")]))
 
     lacking = F.floor(F.col("n") * (den - num) / den)
     part_of = min(1.0, 2.5 * (den - num) / den)
-    alive = classes.join(_slice_counts(keyed, classes, words, part_of), "fp", "left")
-    alive = checkpointed(alive.where(F.coalesce("shared", F.lit(0)) >= F.coalesce("held", F.lit(0)) - lacking).select("fp", "least", "members", "n"))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    alive = classes.join(_slice_counts(keyed, total, words, part_of), "fp", "left")
+    alive = checkpointed(alive.where(F.coalesce("shared", F.lit(0)) >= F.coalesce("held", F.lit(0)) - lacking).select("fp", "one", "members", "n"))
     live = checkpointed(_ordered_sets(keyed, alive, words, sim))
     found = checkpointed(_meet(live, sim))
 
@@ -297,9 +300,11 @@ def link(df: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: str
     return linked.union(rows.where("n = 0").select("id", "text_hash", "n", F.col("id"), F.lit(0).cast("long"), F.lit(None).cast("long")))
 
 
-def _slice_counts(keyed: DataFrame, classes: DataFrame, words: int, part_of: float) -> DataFrame:
-    """(fp, held, shared): of the shingles in the slice, how many a class has, and how many of them another class has too."""
-    total = classes.agg(F.sum("n")).first()[0] or 0
+def _slice_counts(keyed: DataFrame, total: int, words: int, part_of: float) -> DataFrame:
+    """(fp, held, shared): of the shingles in the slice, how many a class has, and how many of them another class has too.
+
+    Every task sends the classes that it reads, copies in other tasks too, so ranges are sized by the ``total`` of the rows' shingles.
+    """
     edge = int(part_of * 2**64) if part_of < 1 else 2**64
     parts = max(1, round(total * part_of / COUNTED) + 1)
     width = edge // parts + 1
@@ -350,10 +355,14 @@ def _told(fps: np.ndarray, held: np.ndarray, shared: np.ndarray, tasks: int) ->
 
 
 def _ordered_sets(keyed: DataFrame, alive: DataFrame, words: int, sim: Similarity) -> DataFrame:
-    """(fp, n, members, prefix, shingles) of the classes that share a prefix shingle with another."""
+    """(fp, n, members, prefix, shingles) of the classes that share a prefix shingle with another; one of a class's rows sends its shingles."""
     spark = keyed.sparkSession
     size = alive.agg(F.count("*").alias("c"), F.sum("n").alias("n")).first()
-    shared = spark.sparkContext.broadcast(_id_filter(alive.select(F.xxhash64("least").alias("h")), size["c"]))
+    keyed = keyed.select(F.xxhash64("id", "text_hash").alias("one"), "t")
+    small = 16 * size["c"] <= FILTER_BITS
+    shared = spark.sparkContext.broadcast(_id_filter(alive.select(F.col("one").alias("h")), size["c"]) if small else None)
+    if not small:
+        keyed = keyed.join(alive.select("one"), "one", "left_semi")
     parts = max(1, round((size["n"] or 0) / COUNTED) + 1)
     width = 2**64 // parts + 1
     sets = max(parts, spread(spark))
@@ -363,8 +372,10 @@ def _ordered_sets(keyed: DataFrame, alive: DataFrame, words: int, sim: Similarit
 
         bits = shared.value
         for batch in batches:
-            a, b = batch.column(0).to_numpy() & (8 * len(bits) - 1), batch.column(1).to_numpy() & (8 * len(bits) - 1)
-            keep = np.flatnonzero((bits[a >> 3] >> (a & 7).astype(np.uint8) & 1) & (bits[b >> 3] >> (b & 7).astype(np.uint8) & 1))
+            keep = None
+            if bits is not None:
+                a, b = batch.column(0).to_numpy() & (8 * len(bits) - 1), batch.column(1).to_numpy() & (8 * len(bits) - 1)
+                keep = np.flatnonzero((bits[a >> 3] >> (a & 7).astype(np.uint8) & 1) & (bits[b >> 3] >> (b & 7).astype(np.uint8) & 1))
             for row in m._sent(m.text_sets(batch.column(2), words, keep), parts, width, 2**64):
                 yield pa.RecordBatch.from_pylist([row], m._DEALT)
 
@@ -399,7 +410,7 @@ def _ordered_sets(keyed: DataFrame, alive: DataFrame, words: int, sim: Similarit
                 out.append({"fp": int(fps[a]), "prefix": hashes[a : a + prefix].astype(np.int64), "shingles": hashes[a:b].tobytes()})
         return pa.Table.from_pylist(out, pa.schema([("fp", pa.int64()), ("prefix", pa.list_(pa.int64())), ("shingles", pa.binary())]))
 
-    dealt = keyed.select(F.xxhash64("id").alias("a"), F.xxhash64(F.xxhash64("id")).alias("b"), "t").mapInArrow(deal, _DEALT_SQL)
+    dealt = keyed.select(F.col("one").alias("a"), F.xxhash64("one").alias("b"), "t").mapInArrow(deal, _DEALT_SQL)
     kept = dealt.groupBy("p").applyInArrow(common, "q int, fps binary, sizes binary, hashes binary, numbers binary")
     ordered = kept.groupBy("q").applyInArrow(order_sets, "fp long, prefix array<long>, shingles binary")
     return ordered.join(alive, "fp").select("fp", "n", "members", "prefix", "shingles")
@@ -407,12 +418,18 @@ def _ordered_sets(keyed: DataFrame, alive: DataFrame, words: int, sim: Similarit
 
 def _meet(live: DataFrame, sim: Similarity) -> DataFrame:
     """(fp, root, links): for each leader, the linked classes, the least of their component there, and the rows they link with there."""
-    prefix = live.select("fp", F.explode("prefix").alias("key")).withColumn("_salt", salt("fp"))
+    # a hair wider than the factor, so that rounding parts no linked sets
+    scale = F.floor(F.log(F.col("n").cast("double")) / (math.log(sim.den / sim.num) + 1e-9)) if sim.num < sim.den else F.col("n")
+    near = F.array(scale, scale + 1) if sim.num < sim.den else F.array(scale)
+    prefix = live.select("fp", "n", F.explode("prefix").alias("x"), near.alias("near")).select("fp", "n", "x", F.explode("near").alias("size"))
+    prefix = prefix.select("fp", "n", F.xxhash64("x", "size").alias("key")).withColumn("_salt", salt("fp"))
     leaders = summed(prefix, "key", [F.min("fp").alias("m"), F.count("*").alias("c")], [F.min("m").alias("leader"), F.sum("c").alias("c")]).where("c > 1")
-    met = beside(prefix, "key", leaders).select("fp", "leader").distinct().withColumn("_salt", salt("fp"))
+    met = beside(prefix, "key", leaders).select("fp", "n", "leader").distinct().withColumn("_salt", salt("fp"))
     met = checkpointed(met)
-    sizes = summed(met, "leader", [F.count("*").alias("c")], [F.sum("c").alias("c")])
-    chunks = F.when(F.col("c") <= 2 * CHUNK, 1).otherwise(F.ceil(F.col("c") / CHUNK)).cast("int")
+    sizes = summed(met, "leader", [F.count("*").alias("c"), F.sum("n").alias("n")], [F.sum("c").alias("c"), F.sum("n").alias("all_n")])
+    width = F.greatest(F.lit(CHUNK), F.least(F.lit(CHUNK_MOST), F.ceil(F.col("c") / CHUNKS)))
+    by_shingles = F.ceil(F.col("all_n") / CHUNK_SHINGLES)
+    chunks = F.when((F.col("c") <= 2 * CHUNK) & (by_shingles <= 2), 1).otherwise(F.greatest(F.ceil(F.col("c") / width), F.least(by_shingles, F.col("c")))).cast("int")
     placed = beside(met, "leader", sizes).select("fp", "leader", chunks.alias("g")).withColumn("ci", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("g")).cast("int"))
     all_of = met.groupBy("fp").agg(F.sort_array(F.collect_set("leader")).alias("leaders"))
     dealt = placed.withColumn("cj", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))

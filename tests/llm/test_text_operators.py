@@ -193,7 +193,28 @@ def test_join_deals_a_large_group_into_chunks(spark, monkeypatch):
             t[rng.randrange(60)] = f"e{rng.randrange(40)}"
         rows.append((k, " ".join(t)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_links(rows, 3, 9, 10)
     monkeypatch.setattr(ngram_join, "CHUNK", 16)
+    assert joined(df, 3, 9, 10) == want
+    monkeypatch.setattr(ngram_join, "CHUNK_SHINGLES", 500)
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", 64)  # more classes than the filter has room for
+    assert joined(df, 3, 9, 10) == want
+
+
+def test_join_of_sizes_at_the_edge(spark):
+    """Sets whose sizes differ by exactly the factor that links still allow."""
+    rows = []
+    for n in (10, 20, 40, 100, 250):
+        words = [f"s{n}w{k}" for k in range(n + 4)]
+        rows += [(len(rows) + k, " ".join(words[: m + 4])) for k, m in enumerate((n, n * 8 // 10, n * 8 // 10 - 1))]
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string"), 5, 8, 10) == brute_links(rows, 5, 8, 10)
+
+
+def test_join_sends_copies_once(spark):
+    """Copies of every text, with ids of their own, null ids and repeated ids."""
+    texts = [" ".join(f"c{k}w{j % (17 + k)}" for j in range(30)) for k in range(12)] + [" ".join(f"c0w{j % 17}" for j in range(29))]
+    rows = [(k * 100 + c if k % 3 else None if c % 2 else k, t) for k, t in enumerate(texts) for c in range(25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     assert joined(df, 3, 9, 10) == brute_links(rows, 3, 9, 10)
 
 
