@@ -97,6 +97,17 @@ FROM c""",
     "op4_licenses": licenses.sql(
         "documents", "concat_ws('/', source, lang, doc_id || '.txt')", "text", r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) <= 40", 0.75, "doc_id"
     ),
+    "op5_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),
+n AS (SELECT r, doc_id, len(s) AS n FROM s),
+e AS (SELECT r, unnest(s) AS x FROM s),
+o AS (SELECT a.r, b.r AS q, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.r <> b.r GROUP BY ALL),
+l AS (SELECT o.r, o.q FROM o JOIN n a ON a.r = o.r JOIN n b ON b.r = o.q WHERE 100 * o.c >= 90 * (a.n + b.n - o.c)),
+reach(r, q) AS (SELECT r, q FROM l UNION SELECT reach.r, l.q FROM reach JOIN l ON l.r = reach.q),
+c AS (SELECT reach.r, min(n.doc_id) AS c FROM reach JOIN n ON n.r = reach.q GROUP BY 1),
+d AS (SELECT r, count(*) AS n_links FROM l GROUP BY 1)
+SELECT doc_id, n::BIGINT AS n_shingles, coalesce(least(doc_id, c), doc_id) AS component_id, coalesce(n_links, 0)::BIGINT AS n_links FROM n LEFT JOIN c USING (r) LEFT JOIN d USING (r)""",
     "op6_bit_sliced_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64.0 * x::DOUBLE)) AS q FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 20 = 0)
