@@ -1,20 +1,24 @@
 """License scans in DataFrame functions: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-A file's statements are its sentences and lines that hold one of ANCHORS; every template holds one, so a statement without an
-anchor has no business with a template. A file that ``is_licence`` marks is a statement as a whole too. Statements become term
-counts, joined with the templates' term weights (a constant table): idf over the templates, terms that no template has
-weigh as the rarest, and the cosine of a statement with each template follows from sums. A file has the license of its best statement with a
-cosine of at least ``threshold``; published headers and licence texts, wrapped or commented as they may be, are compared by the same
-cosine (idf over PUBLISHED) with the run of words that follows each place where one may begin, and go before single statements. A file without one gets that of the nearest ancestor directory that holds a licence file with a license. Directories
-are resolved once each, then given to their files, with large directories dealt in parts.
+Templates are published notices, headers and licence texts (or their first paragraphs). A text becomes its sequence of terms, so line breaks, comment
+marks and capitals do not matter. For every template a few of its terms are chosen by rule, the others of which weigh too little together to reach the
+threshold (Cauchy and Schwarz): a window without a chosen term cannot match. Each place of a chosen term gives a window of the template's length, laid so that the
+term stands where it does in the template; windows that share too few terms are left at once. The others become term counts, joined with
+the templates' term weights (a constant table): idf over the templates, terms that no template has weigh as the rarest, and the cosine follows from
+sums. A file has the license of its best window with a cosine of at least ``threshold``; headers and licence texts (``PUBLISHED``) go before short notices (``TEMPLATES``), and these before mere names (``NAMED``).
+
+A file is a licence file by its name, or because the matched window is at least half of its terms. A file without a license of its own gets that of the nearest ancestor
+directory that holds a licence file with one. Directories are resolved once each by path joins, salted for directories that many others lie
+below, then given to their files, with large directories dealt in parts.
 
 Edge cases: null text states nothing; a null path has no directory and inherits nothing; ties between templates go to the first name, between
-statements to the higher cosine, between licence files of a directory to the higher cosine, then the first license; very long texts are
+windows to the higher cosine, between licence files of a directory to the higher cosine, then the first license; very long texts are
 scanned whole; repeated rows repeat their result; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -22,7 +26,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm._groups import beside, salt, summed
+from folioframe.llm._groups import SALTS, beside, salt, summed
 from folioframe.llm._spark import checkpointed
 
 # fixed values: statements of public licenses, by SPDX name; the first lines of their texts and usual notices
@@ -32,11 +36,14 @@ TEMPLATES: list[tuple[str, str]] = [
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Licensed under the MIT License"),
@@ -47,7 +54,7 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 _DEAL = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
 _AS_IS = ". THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"
-_BSD_2 = TEMPLATES[2][1] + ": 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_2 = next(t for n, t in TEMPLATES if n == "BSD-3-Clause") + ": 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
 _BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
 _BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"
 _ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
@@ -83,10 +90,10 @@ PUBLISHED: list[tuple[str, str]] = [
     *[(name, f"SPDX-License-Identifier: {name}") for name in _SPDX],
     *[(name, f"SPDX-License-Identifier: {name}{more}") for name in _SPDX_GNU for more in ("", "-only", "-or-later", "+")],
 ]
-#: Words at the start of a published text at which it is looked for.
-FIRST_WORDS = 5
-# fixed values: what a statement must hold, as a regular expression over lower-case text
-ANCHORS = r"licen[cs]e|all rights reserved|permission is hereby granted|redistribution and use|public domain"
+# fixed values: names of licences without a version, by the SPDX name for any version; they count where nothing else is found
+NAMED: list[tuple[str, str]] = [("GPL-1.0-or-later", "GNU General Public License"), ("LGPL-2.0-or-later", "GNU Lesser General Public License"), ("MIT", "The MIT License")]
+# fixed values: the commonest English words
+_COMMON = frozenset("a an and any are as at be by can for from has in is it may of on only or other that the this to use which will with you".split())
 #: Names of licence files.
 LICENCE_FILE = r"(?i)(?:^|/)(?:un)?(?:licen[cs]e|copying|notice)[^/]*$"
 _TERM = r"[a-z0-9]+"
@@ -104,59 +111,74 @@ def weights(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[dict[str, flo
     return idf, math.log(1 + len(bags)) + 1, rows
 
 
-def statements(text: Column) -> Column:
-    """Lines and sentences that hold an anchor, in lower case."""
-    cut = F.split(F.regexp_replace(F.lower(text), r"([.!?])[ \t\r]+", "$1\n"), "\n")
-    return F.filter(cut, lambda s: F.rlike(s, F.lit(ANCHORS)))
-
-
-def windows(text: Column) -> Column:
-    """(template, s): the words from each place where a published text may begin, as many as it has, in lower case.
+def chosen_terms(threshold: float, templates: list[tuple[str, str]]) -> list[list[tuple[str, int]]]:
+    """For each template, terms of which a matching window holds one, with their first place in the template.
 
-    Line breaks and comment marks are no words, so wrapped and commented texts read like plain ones.
+    Terms are chosen by falling weight, the commonest words last, short ones and numbers before these, until the rest weighs less than the threshold.
     """
-    found = []
-    for k, (_, published) in enumerate(PUBLISHED):
-        words = re.findall(_TERM, published.lower())
-        first = words[: FIRST_WORDS if len(words) > 12 else 3]
-        pattern = rf"(?<![a-z0-9])(?=({' '.join(first)}(?: [a-z0-9]++){{0,{len(words) - len(first)}}}+))"
-        at = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        found.append(F.arrays_zip(F.array_repeat(F.lit(k), F.size(at)).alias("template"), at.alias("s")))
-    return F.concat(*found)
-
-
-def _openings() -> str:
-    """What a text that holds a published one must hold, as a regular expression over words."""
-    return "|".join(sorted({" ".join(re.findall(_TERM, t.lower())[:3]) for _, t in PUBLISHED}))
+    idf, _, rows = weights(templates)
+    out = []
+    for k, (_, text) in enumerate(templates):
+        words = re.findall(_TERM, text.lower())
+        own = sorted((t in _COMMON, len(t) <= 4 or t.isdigit(), -w, t) for j, _, t, w in rows if j == k)
+        rest, picked = sum(w * w for *_, w, _ in own), []
+        for *_, w, t in own:
+            if rest < (threshold - 1e-9) ** 2:
+                break
+            picked.append((t, words.index(t)))
+            rest -= w * w
+        out.append(picked)
+    return out
+
+
+#: All templates; headers and texts go before notices, and notices before names.
+ALL, TIERS = [*PUBLISHED, *TEMPLATES, *NAMED], (len(PUBLISHED), len(PUBLISHED) + len(TEMPLATES))
+
+
+def terms(text: Column) -> Column:
+    """The terms of a text, in order, as one string with a space around each."""
+    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, "[^a-z0-9]+", " ")), F.lit(" "))
+
+
+def windows(words: Column, threshold: float) -> Column:
+    """array<struct<template, s>>: the windows of an array of terms that may match a template."""
+    places: dict[str, list[dict]] = {}
+    for k, ((_, text), picked) in enumerate(zip(ALL, chosen_terms(threshold, ALL))):
+        for t, at in picked:
+            places.setdefault(t, []).append({"t": k, "k": at, "m": len(re.findall(_TERM, text.lower()))})
+    of_term = F.from_json(F.lit(json.dumps(places)), "map<string, array<struct<t: int, k: int, m: int>>>")
+    # as many of a template's terms as the heaviest of them need to reach the threshold, a window has to hold
+    own: list[list[tuple[float, str]]] = [[] for _ in ALL]
+    for k, _, t, w in weights(ALL)[2]:
+        own[k].append((w * w, t))
+    least = [next(n for n in range(1, len(x) + 1) if sum(sorted((w for w, _ in x), reverse=True)[:n]) >= (threshold - 1e-9) ** 2) for x in own]
+    of_template = F.from_json(F.lit(json.dumps([{"terms": [t for _, t in x], "least": n} for x, n in zip(own, least)])), "array<struct<terms: array<string>, least: int>>")
+
+    def here(i: Column) -> Column:
+        return F.transform(F.element_at(of_term, F.get(words, i)), lambda x: F.struct(x["t"].alias("template"), F.slice(words, F.greatest(i - x["k"], F.lit(0)) + 1, x["m"]).alias("s")))
+
+    at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isin(sorted(places)))
+    return F.filter(F.flatten(F.transform(at, here)), lambda h: F.size(F.array_intersect(h["s"], F.get(of_template, h["template"])["terms"])) >= F.get(of_template, h["template"])["least"])
 
 
-def _best(said: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
-    """(file, license, score): the best of the statements (file, at, s, and template, if only that one is meant)."""
-    spark = said.sparkSession
-    idf, other, rows = weights(templates)
+def own_licenses(files: DataFrame, threshold: float) -> DataFrame:
+    """(file, license, score, n_matched) of files (file long, text) with a window that reaches the threshold."""
+    spark = files.sparkSession
+    idf, other, rows = weights(ALL)
     table = F.broadcast(spark.createDataFrame(rows, "template int, license string, term string, weight double"))
     known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
-    key = [c for c in said.columns if c != "s"]
-    terms = said.select(*key, F.explode(F.regexp_extract_all("s", F.lit(_TERM), F.lit(0))).alias("term"))
-    bags = terms.groupBy(*key, "term").agg(F.count("*").alias("n")).join(known, "term", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(other)))
-    bags = checkpointed(bags.select(*key, "term", "x"))  # used twice; statements are a small part of the texts
-    norms = bags.groupBy("file", "at").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = bags.join(table, ["term", "template"] if "template" in key else "term").groupBy("file", "at", "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    cosine = dots.join(norms, ["file", "at"]).select("file", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= threshold)
-    best = cosine.groupBy("file", "license").agg(F.max("score").alias("score")).groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("b"))
-    return best.select("file", F.col("b.license").alias("license"), (-F.col("b.minus")).alias("score"))
-
-
-def own_licenses(files: DataFrame, threshold: float) -> DataFrame:
-    """(file, license, score) of files (file long, text, is_licence) with a published text or else a statement that reaches the threshold."""
-    held = files.where(F.rlike(F.lower("text"), F.lit(ANCHORS)))
-    parts = F.concat(statements(F.col("text")), F.when(F.col("is_licence"), F.array(F.lower("text"))).otherwise(F.array().cast("array<string>")))
-    stated = _best(held.select("file", F.posexplode(parts).alias("at", "s")), TEMPLATES, threshold)
-    words = files.select("file", F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ").alias("w")).where(F.rlike("w", F.lit(_openings())))
-    begun = words.select("file", F.posexplode(windows(F.col("w"))).alias("at", "x")).select("file", "at", "x.template", "x.s")
-    published = _best(begun, PUBLISHED, threshold)
-    both = stated.join(published.withColumnsRenamed({"license": "l", "score": "c"}), "file", "full")
-    return both.select("file", F.coalesce("l", "license").alias("license"), F.coalesce("c", "score").alias("score"))
+    needed = sorted({t for picked in chosen_terms(threshold, ALL) for t, _ in picked})
+    held = files.select("file", terms(F.col("text")).alias("w")).where(F.rlike("w", F.lit(f" (?:{'|'.join(needed)}) ")))
+    split = held.select("file", F.split(F.trim("w"), " ").alias("w"))
+    found = split.select("file", F.posexplode(windows(F.col("w"), threshold)).alias("at", "x")).select("file", "at", "x.template", F.explode("x.s").alias("term"))
+    bags = found.groupBy("file", "at", "template", "term").agg(F.count("*").alias("n")).join(known, "term", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(other)))
+    dots = bags.join(table, ["term", "template"], "left").groupBy("file", "at", "template").agg(
+        F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.coalesce(F.sum(F.col("x") * F.col("weight")), F.lit(0.0)).alias("dot"), F.max("license").alias("license"), F.sum("n").alias("m")
+    )
+    cosine = dots.withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("score") >= threshold)
+    best = cosine.groupBy("file").agg(F.min(F.struct(sum((F.col("template") >= k).cast("int") for k in TIERS).alias("late"), (-F.col("score")).alias("minus"), "license", (-F.col("m")).alias("m"))).alias("b"))
+    return best.select("file", F.col("b.license").alias("license"), (-F.col("b.minus")).alias("score"), (-F.col("b.m")).alias("n_matched"))
 
 
 def parent(path: Column) -> Column:
@@ -168,18 +190,21 @@ def scan(df: DataFrame, path: Column, text: Column, is_licence: Column | None =
 
     ``origin`` is 'own', 'inherited' (then ``licence_path`` is the directory it comes from) or 'none'.
     """
-    marked = F.coalesce(is_licence if is_licence is not None else F.rlike(path, F.lit(LICENCE_FILE)), F.lit(False))
-    rows = df.select(path.alias("path"), F.coalesce(text, F.lit("")).alias("text"), marked.alias("is_licence"), *carry)
-    rows = rows.withColumn("file", F.xxhash64("path", "text", "is_licence"))
-    own = own_licenses(rows.select("file", "text", "is_licence"), threshold)
-    rows = checkpointed(rows.drop("text").join(own, "file", "left").withColumn("dir", parent(F.col("path"))).withColumn("_salt", salt("file")))  # without texts
+    rows = df.select(path.alias("path"), F.coalesce(text, F.lit("")).alias("text"), *carry)
+    rows = rows.withColumn("file", F.xxhash64("path", "text"))
+    own = own_licenses(rows.select("file", "text").distinct(), threshold)
+    n_terms = F.size(F.filter(F.split(terms(F.col("text")), " "), lambda t: t != ""))
+    rows = rows.join(own, "file", "left").withColumn("is_licence", F.coalesce(is_licence if is_licence is not None else F.rlike("path", F.lit(LICENCE_FILE)), F.lit(False)) | F.coalesce(2 * F.col("n_matched") >= n_terms, F.lit(False)))
+    rows = checkpointed(rows.drop("text", "n_matched").withColumn("dir", parent(F.col("path"))).withColumn("_salt", salt("file")))  # without texts
     given = rows.where(F.col("is_licence") & F.col("license").isNotNull() & F.col("path").isNotNull())
     given = given.groupBy(F.col("dir").alias("above")).agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("g"))
     folders = summed(rows.where("path IS NOT NULL"), "dir", [F.count("*").alias("c")], [F.sum("c").alias("c")])
     steps = F.split("dir", "/")
     up = folders.select("dir", F.explode(F.sequence(F.lit(1), F.size(steps))).alias("depth"))
     up = up.withColumn("above", F.array_join(F.slice(F.split("dir", "/"), F.lit(1), F.col("depth")), "/"))
-    nearest = up.join(given, "above").groupBy("dir").agg(F.max(F.struct("depth", "above", (F.col("g.license")).alias("license"), (-F.col("g.minus")).alias("score"))).alias("near"))
+    up = up.withColumn("_salt", salt("dir"))
+    given = given.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    nearest = up.join(given, ["above", "_salt"]).groupBy("dir").agg(F.max(F.struct("depth", "above", (F.col("g.license")).alias("license"), (-F.col("g.minus")).alias("score"))).alias("near"))
     resolved = folders.join(nearest, "dir", "left").select("dir", "near", "_salts")
     out = beside(rows.where("path IS NOT NULL"), "dir", resolved)
     alone = rows.where("path IS NULL").withColumn("near", F.lit(None).cast(resolved.schema["near"].dataType))
@@ -191,24 +216,24 @@ def scan(df: DataFrame, path: Column, text: Column, is_licence: Column | None =
     )
 
 
-def sql(view: str, path: str, text: str, is_licence: str, threshold: float, carry: str) -> str:
+def sql(view: str, path: str, text: str, threshold: float, carry: str) -> str:
     """The same scan for DuckDB."""
-    idf, other, rows = weights()
+    idf, other, rows = weights(ALL)
     table = ", ".join(f"({k}, '{name}', '{t}', {w!r}::DOUBLE)" for k, name, t, w in rows)
     known = ", ".join(f"('{t}', {x!r}::DOUBLE)" for t, x in sorted(idf.items()))
+    places = ", ".join(f"('{t}', {k}, {at}, {len(re.findall(_TERM, ALL[k][1].lower()))})" for k, picked in enumerate(chosen_terms(threshold, ALL)) for t, at in picked)
     return rf"""
-WITH f AS (SELECT {carry}, {path} AS path, coalesce({text}, '') AS txt, coalesce({is_licence}, false) AS lic, row_number() OVER () AS file FROM {view}),
+WITH f AS (SELECT {carry}, {path} AS path, regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') AS w, row_number() OVER () AS file FROM {view}),
 tpl(template, license, term, weight) AS (VALUES {table}),
 known(term, idf) AS (VALUES {known}),
-cut AS (SELECT file, unnest(string_split(regexp_replace(lower(txt), '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), chr(10))) AS s FROM f UNION ALL SELECT file, lower(txt) FROM f WHERE lic),
-said AS (SELECT file, row_number() OVER () AS pos, s FROM cut WHERE regexp_matches(s, '{ANCHORS}')),
-terms AS (SELECT file, pos, unnest(regexp_extract_all(s, '{_TERM}')) AS term FROM said),
-bags AS (SELECT file, pos, term, count(*) * coalesce(any_value(idf), {other!r}) AS x FROM terms LEFT JOIN known USING (term) GROUP BY ALL),
-norms AS (SELECT file, pos, sqrt(sum(x * x)) AS norm FROM bags GROUP BY ALL),
-dots AS (SELECT file, pos, template, license, sum(x * weight) AS dot FROM bags JOIN tpl USING (term) GROUP BY ALL),
-cosine AS (SELECT file, license, max(round(dot / norm, 9)) AS score FROM dots JOIN norms USING (file, pos) GROUP BY ALL HAVING max(round(dot / norm, 9)) >= {threshold}),
-own AS (SELECT file, license, score FROM cosine QUALIFY row_number() OVER (PARTITION BY file ORDER BY score DESC, license) = 1),
-r AS (SELECT f.*, own.license, own.score, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM f LEFT JOIN own USING (file)),
+places(term, template, k, m) AS (VALUES {places}),
+hit AS (SELECT file, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS i FROM f),
+win AS (SELECT DISTINCT hit.file, template, greatest(i - k, 0) AS pos, m FROM hit JOIN places USING (term)),
+cut AS (SELECT win.file, template, pos, unnest(w[pos + 1 : pos + m]) AS term FROM win JOIN f USING (file)),
+bags AS (SELECT file, template, pos, term, count(*) AS n, count(*) * coalesce(any_value(idf), {other!r}) AS x FROM cut LEFT JOIN known USING (term) GROUP BY ALL),
+dots AS (SELECT file, template, pos, sqrt(sum(x * x)) AS norm, coalesce(sum(x * weight), 0) AS dot, max(license) AS license, sum(n)::BIGINT AS m FROM bags LEFT JOIN tpl USING (term, template) GROUP BY ALL),
+own AS (SELECT file, license, round(dot / norm, 9) AS score, m FROM dots WHERE round(dot / norm, 9) >= {threshold} QUALIFY row_number() OVER (PARTITION BY file ORDER BY (template >= {TIERS[0]})::INT + (template >= {TIERS[1]})::INT, round(dot / norm, 9) DESC, license, m DESC) = 1),
+r AS (SELECT f.*, own.license, own.score, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, coalesce(2 * own.m >= len(w), false) OR coalesce(regexp_matches(path, '{LICENCE_FILE}'), false) AS lic FROM f LEFT JOIN own USING (file)),
 given AS (SELECT dir AS above, license, score FROM r WHERE lic AND license IS NOT NULL AND path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1),
 up AS (SELECT dir, unnest(range(1, len(string_split(dir, '/')) + 1)) AS depth FROM (SELECT DISTINCT dir FROM r WHERE path IS NOT NULL)),
 near AS (SELECT up.dir, given.* FROM up JOIN given ON given.above = array_to_string(string_split(up.dir, '/')[1:depth], '/') QUALIFY row_number() OVER (PARTITION BY up.dir ORDER BY depth DESC) = 1)

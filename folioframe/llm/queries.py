@@ -28,10 +28,9 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: ``source/lang/doc_id.txt``; a document of at most 40 words stands for a licence file of its folder."""
+    """Documents as files: ``source/lang/doc_id.txt``."""
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    short = mixing.words(F.col("text")) <= 40
-    return licenses.scan(table(spark, sf_dir, "documents"), path, F.col("text"), short, threshold=0.75, carry=("doc_id",))
+    return licenses.scan(table(spark, sf_dir, "documents"), path, F.col("text"), threshold=0.75, carry=("doc_id",))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,9 +93,7 @@ c AS (SELECT d.doc_id, d.size, p.total, p.target, p.n, p.target - p.n * p.total
 SELECT doc_id, size, total AS source_size, target,
        size * (n + CASE WHEN upto <= rest OR (upto - here <= rest AND abs(upto - rest) < abs(upto - here - rest)) THEN 1 ELSE 0 END) AS taken
 FROM c""",
-    "op4_licenses": licenses.sql(
-        "documents", "concat_ws('/', source, lang, doc_id || '.txt')", "text", r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) <= 40", 0.75, "doc_id"
-    ),
+    "op4_licenses": licenses.sql("documents", "concat_ws('/', source, lang, doc_id || '.txt')", "text", 0.75, "doc_id"),
     "op5_ngram_join": r"""
 WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT r, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),

@@ -209,7 +209,7 @@ def test_top_k_query(spark, data):
 def test_licenses_inherit_from_the_nearest_folder(spark):
     rows = [
         ("a/LICENSE", "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software)"), ("a/b/x.py", "code"), ("a/b/c/COPYING", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007 GNU General Public License"),
-        ("a/b/c/d/y.py", "code"), ("a/b/c/z.py", "# Licensed under the Apache License, Version 2.0.\ncode"), ("q/x.py", None), (None, "All rights reserved."), (None, None), ("a/b/x.py", "code"), ("top.txt", "This licence is something else entirely and says so in many words"),
+        ("a/b/c/d/y.py", "code"), ("a/b/c/z.py", "# Licensed under the Apache License, Version 2.0.\n" + "code " * 20), ("q/x.py", None), (None, "All rights reserved."), (None, None), ("a/b/x.py", "code"), ("top.txt", "This licence is something else entirely and says so in many words"),
     ]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "p string, t string, file int, dir string")
     got = sorted([(r["path"], r["license"], r["origin"], r["licence_path"]) for r in licenses.scan(df, F.col("p"), F.col("t")).collect()], key=str)
@@ -220,6 +220,12 @@ def test_licenses_inherit_from_the_nearest_folder(spark):
     assert licenses.scan(df.where("false"), F.col("p"), F.col("t")).collect() == []
 
 
+def test_licenses_of_files_that_are_hardly_more_than_their_statement(spark):
+    rows = [("r/info.txt", "This work is licensed under a Creative Commons Attribution 4.0 International License."), ("r/a.txt", "text " * 30), ("r/d/e/f.txt", "deep"), ("s/b.txt", "Released under the MIT License. " + "word " * 30), ("s/c.txt", "x")]
+    got = {r["path"]: (r["license"], r["origin"], r["licence_path"]) for r in licenses.scan(spark.createDataFrame(rows, "p string, t string"), F.col("p"), F.col("t")).collect()}
+    assert got == {"r/info.txt": ("CC-BY-4.0", "own", None), "r/a.txt": ("CC-BY-4.0", "inherited", "r"), "r/d/e/f.txt": ("CC-BY-4.0", "inherited", "r"), "s/b.txt": ("MIT", "own", None), "s/c.txt": (None, "none", None)}
+
+
 # preference formatting
 
 
@@ -242,6 +248,9 @@ int main() {}"""
 // license that can be found in the LICENSE file.
 package x"""
     rows = [("a.c", "\n".join(f" * {x}" for x in gpl.split("\n")), "GPL-3.0"), ("b.c", gpl.replace("\n", " "), "GPL-3.0"), ("c.c", mpl, "MPL-2.0"), ("d.go", go, "BSD-3-Clause"), ("e.py", "# SPDX-License-Identifier: MIT\nx = 1", "MIT"), ("f.py", "# SPDX-License-Identifier: LGPL-2.1-or-later\nx = 1", "LGPL-2.1"), ("g.py", "# SPDX-License-Identifier: Frob-7\nx = 1", None)]
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    rows += [("j.c", "// Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"), ("k.c", "GNU GENERAL PUBLIC LICENSE", "GPL-1.0-or-later"), ("l.c", bsd, "BSD-3-Clause"), ("m.c", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above", "ISC")]
+    rows += [("n.c", "x " * 400 + "and this text is released under\n * the MIT\n * License, as we said " + "y " * 400, "MIT"), ("o.c", "nothing " * 50 + "rights and licenses of all kinds", None), ("p.c", "All rights reserved" + " word" * 20_000, "Proprietary")]
     rows += [("h.c", gpl.replace("version 3", "version 2"), "GPL-2.0"), ("i.c", gpl.replace("GNU General", "GNU Lesser General"), "LGPL-3.0")]
     common = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause"}
     found = [(Path("/usr/share/common-licenses", f), name) for f, name in common.items()]
