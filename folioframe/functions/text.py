@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,7 +92,9 @@ def has_leader(line: Column) -> Column:
 
 
 def is_formula(t: Column) -> Column:
-    return F.rlike(t, F.lit(FORMULA))
+    """Whether a line holds a formula; texts without one of its signs pass after a plain search."""
+    signs = [t.contains(x) for x in "=＝∑∫√"]
+    return reduce(lambda a, b: a | b, signs) & F.rlike(t, F.lit(FORMULA))
 
 
 def fragments(t: Column) -> Column:
@@ -158,14 +162,21 @@ def selected_pages(selector: Column, pages: Column) -> Column:
     return F.when(selector == "all", every).otherwise(F.sort_array(F.array_distinct(F.filter(chosen, lambda p: (p >= 1) & (p <= pages)))))
 
 
-def output_path(path: Column, kind: Column) -> Column:
+# fixed values: endings of default outputs by kind (that of PDF conversions is the converter's name, a parameter), and of a converter's debug files
+OUTPUT_ENDINGS = {"epub": "_epub", "mobi": "_mobi", "docx": "_带目录.docx"}
+BY_PRODUCTS = ["_layout.pdf", "_span.pdf", "_origin.pdf", "_middle.json", "_model.json", "_content_list.json"]
+
+
+def output_path(path: Column, kind: Column, pdf_ending: str = "_converted") -> Column:
     """Where a converter puts its output by default, beside the input."""
     base = F.regexp_replace(path, r"\.[^./]*$", "")
-    tail = F.when(kind == "pdf", "_converted").when(kind == "epub", "_epub").when(kind == "mobi", "_mobi").when(kind == "docx", "_带目录.docx")
+    tail = F.when(kind == "pdf", pdf_ending)
+    for name, ending in OUTPUT_ENDINGS.items():
+        tail = tail.when(kind == name, ending)
     return F.concat(base, tail)
 
 
 def is_by_product(path: Column, keep_layout: bool) -> Column:
     """Debug files of a converter; a batch keeps the layout lists."""
-    kinds = "layout|span|origin|middle|model" + ("" if keep_layout else "|content_list")
-    return F.rlike(path, F.lit(rf"_({kinds})[.]"))
+    kinds = [x for x in BY_PRODUCTS if not (keep_layout and "content_list" in x)]
+    return reduce(lambda a, b: a | b, [F.endswith(path, F.lit(x)) for x in kinds])

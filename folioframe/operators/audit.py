@@ -31,6 +31,14 @@ def without_running_heads(lines: DataFrame, keys: list[str], order: str = "line_
     return kept.where(F.col(order).between(F.col("_a"), F.col("_z"))).drop("_a", "_z")
 
 
+def body_lines(lines: Column) -> Column:
+    """struct<first, last, lines> of an array of lines: numbers of the first and the last that is no running head, and the lines from one to the other."""
+    heads = F.transform(lines, lambda x: ~t.is_running_head(x))
+    first = F.array_position(heads, True)
+    last = F.size(lines) + 1 - F.array_position(F.reverse(heads), True)
+    return F.when(first > 0, F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"), F.slice(lines, first.cast("int"), (last - first + 1).cast("int")).alias("lines")))
+
+
 def contents_pages(lines: DataFrame, keys: list[str], text: str = "text", least_lines: int = 6, least_leaders: int = 5) -> DataFrame:
     """``keys, n_lines, n_leaders, is_contents`` of pages, from their lines."""
     out = lines.groupBy(*keys).agg(F.count("*").alias("n_lines"), F.count_if(t.has_leader(F.col(text))).alias("n_leaders"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # fixed values: an image embedded in Markdown, and the first bytes of image formats
-EMBEDDED = r"!\[([^\]]*)\]\(data:image/([a-zA-Z0-9.+-]+);base64,([A-Za-z0-9+/=\s]+)\)"
+EMBEDDED = r"!\[([^\]]*)\]\(\s*data:image/([a-zA-Z0-9.+-]+);base64,([A-Za-z0-9+/=\s]+)\)"
 MAGICS = [("FFD8FF", "jpg"), ("89504E47", "png"), ("47494638", "gif"), ("424D", "bmp"), ("3C737667", "svg")]
 
 
@@ -28,6 +28,22 @@ def embedded_images(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return rows.join(named.select(key, "digest", "name"), [key, "digest"]).select(key, "pos", "ext", "digest", "size", "name")
 
 
+def rewritten(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str = "images") -> DataFrame:
+    """``key, text, n_images, saved``: texts with references to files instead of embedded images, and the bytes that this saves.
+
+    Images that cannot be decoded stay as they are. ``embedded_images`` gives the files.
+    """
+    rows = docs.select(key, text)
+    named = embedded_images(rows, key, text).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("pos", "name"))).alias("_names"))
+    group = lambda n: F.regexp_extract_all(F.col(text), F.lit(EMBEDDED), F.lit(n))
+    put = F.transform(F.arrays_zip(group(0).alias("whole"), group(1).alias("alt")), lambda x, i: F.coalesce(F.concat(F.lit("!["), x["alt"], F.lit(f"]({folder}/"), F.try_element_at(F.col("_names"), i), F.lit(")")), x["whole"]))
+    between = F.split(F.col(text), EMBEDDED)
+    new = F.array_join(F.flatten(F.transform(between, lambda x, i: F.array(x, F.coalesce(F.get(F.col("_put"), i), F.lit(""))))), "")
+    out = rows.join(named, key, "left").withColumn("_put", put).withColumn("_new", F.when(F.col("_names").isNull(), F.col(text)).otherwise(new))
+    saved = (F.octet_length(text) - F.octet_length("_new")).cast("long")
+    return out.select(key, F.col("_new").alias(text), F.coalesce(F.size(F.array_distinct(F.map_values("_names"))), F.lit(0)).cast("long").alias("n_images"), saved.alias("saved"))
+
+
 def dedupe(rows: DataFrame, content: Column, order: str) -> DataFrame:
     """``digest, first, copies, size``: one row for each distinct content."""
     return rows.groupBy(F.md5(content).alias("digest")).agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first(F.length(content)).cast("long").alias("size"))
@@ -57,6 +73,6 @@ def hotwords(lines: DataFrame, order: str = "line_no", text: str = "text") -> Da
 
 
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Sentences of transcripts that are one line, cut after the ideographic full stop."""
-    cut = F.regexp_extract_all(F.col(text), F.lit("[^。]+。?"), F.lit(0))
+    """Sentences of transcripts: one that is a single line is cut after the ideographic full stop, others have a line each."""
+    cut = F.when(F.col(text).contains("\n"), F.split(text, "\n")).otherwise(F.regexp_extract_all(F.col(text), F.lit("[^。]+。?"), F.lit(0)))
     return docs.select(key, F.posexplode(cut).alias("sentence_no", "sentence"))

@@ -54,16 +54,28 @@ def with_outliers(sets: DataFrame) -> DataFrame:
 
 def with_missing(sets: DataFrame) -> DataFrame:
     """Adds ``missing`` between the least and the largest ordinal that is no outlier; ends are not judged."""
+    kept = with_holes(sets)
+    return kept.withColumn("missing", F.flatten(F.transform("holes", lambda h: F.sequence(h["lo"], h["hi"]))))
+
+
+def with_holes(sets: DataFrame) -> DataFrame:
+    """Adds ``kept`` (ordinals that are no outliers), ``hi`` (the largest) and ``holes``: array<struct<lo, hi>> of the runs that lack between neighbours."""
     kept = with_outliers(sets).withColumn("kept", F.array_except("seq", "outliers"))
-    holes = F.array_except(F.sequence(F.array_min("kept"), F.array_max("kept")), F.col("kept"))
-    return kept.withColumn("missing", F.when(F.size("seq") >= 2, holes).otherwise(F.array().cast("array<int>"))).withColumn("hi", F.array_max("kept"))
+    pairs = F.zip_with(F.col("kept"), F.slice("kept", F.lit(2), F.greatest(F.size("kept"), F.lit(1))), lambda a, b: F.struct((a + 1).alias("lo"), (b - 1).alias("hi")))
+    return kept.withColumn("holes", F.filter(pairs, lambda h: h["lo"] <= h["hi"])).withColumn("hi", F.array_max("kept"))
+
+
+def shown(holes: Column, long: int = 1_000) -> Column:
+    """Missing ordinals joined by commas; a run of ``long`` or more as its ends."""
+    ends = lambda h: F.concat(h["lo"].cast("string"), F.lit("-"), h["hi"].cast("string"))
+    return F.array_join(F.transform(holes, lambda h: F.when(h["hi"] - h["lo"] >= long - 1, ends(h)).otherwise(F.array_join(F.sequence(h["lo"], h["hi"]), ","))), ",")
 
 
 def issues(rows: DataFrame, keys: list[str], ordinal: str = "last") -> DataFrame:
     """``keys, type, ordinals, lo, hi``: 'suspect' (outliers) and 'missing' rows; ordinals joined by commas."""
-    found = with_missing(ordinal_sets(rows, keys, ordinal))
+    found = with_holes(ordinal_sets(rows, keys, ordinal))
     suspect = found.where(F.size("outliers") > 0).select(*keys, F.lit("suspect").alias("type"), F.array_join("outliers", ",").alias("ordinals"), "lo", "run_end")
-    missing = found.where(F.size("missing") > 0).select(*keys, F.lit("missing").alias("type"), F.array_join("missing", ",").alias("ordinals"), "lo", "hi")
+    missing = found.where(F.size("holes") > 0).select(*keys, F.lit("missing").alias("type"), shown(F.col("holes")).alias("ordinals"), "lo", "hi")
     return suspect.union(missing).toDF(*keys, "type", "ordinals", "lo", "hi")
 
 

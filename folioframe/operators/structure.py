@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioframe.operators.order import numbered
+
 # fixed values: a numbered heading, heading style names, outline numbering
 NUMBERED = r"(?U)^\s*(\d+(?:\.\d+)*)[\s、\.．]+\S"
 OUTLINE = r"^\s*\d{1,2}(?:\.\d{1,2}){0,2}\s+\S"
@@ -63,9 +65,8 @@ def anchored(blocks: DataFrame, group: str, order: str, page: str) -> DataFrame:
 
 def numbered_tree(nodes: DataFrame, top: str, below: str) -> DataFrame:
     """``number``: 1, 1.1, ... of a two-level tree in order of its keys."""
-    a = F.dense_rank().over(W.orderBy(top))
-    tops = nodes.select(top).distinct().withColumn("a", a)
-    rows = nodes.join(F.broadcast(tops), top).withColumn("b", F.row_number().over(W.partitionBy(top).orderBy(below)))
+    tops = numbered(nodes.select(top).distinct(), [], [top], "a")
+    rows = numbered(nodes, [top], [below], "b").join(tops, top)
     return rows.withColumn("number", F.concat_ws(".", "a", "b")).drop("a", "b")
 
 
@@ -77,12 +78,13 @@ def outline_lint(lines: DataFrame) -> DataFrame:
     return lines.where(s != "").withColumn("fault", fault).where("fault IS NOT NULL").select("doc_id", "line_no", "fault")
 
 
-def triggered_acts(turns: DataFrame, phrases: DataFrame) -> DataFrame:
-    """``conv_id, turn, act`` of user turns: the first phrase that they hold, by order; a conversation's first user turn opens act 0."""
+def triggered_acts(turns: DataFrame, phrases: list[tuple[int, str]] = ACTS) -> DataFrame:
+    """``conv_id, turn, act`` of user turns: the act of the first of ``phrases`` (act, phrase) that they hold; a conversation's first user turn opens act 0."""
     users = turns.where("role = 'user'").withColumn("rn", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")))
-    hit = users.join(F.broadcast(phrases), F.col("text").contains(F.col("phrase")), "left")
-    best = hit.groupBy("conv_id", "turn", "rn").agg(F.min_by("act", "ord").alias("act"))
-    return best.select("conv_id", "turn", F.when(F.col("rn") == 1, 0).otherwise(F.col("act")).alias("act")).where("act IS NOT NULL")
+    act = F.when(F.col("rn") == 1, 0)
+    for number, phrase in phrases:
+        act = act.when(F.col("text").contains(phrase), number)
+    return users.select("conv_id", "turn", act.alias("act")).where("act IS NOT NULL")
 
 
 def first_speakers(turns: DataFrame) -> DataFrame:
@@ -137,3 +139,34 @@ def split_tables(blocks: DataFrame) -> DataFrame:
     """Blocks marked 'table' or 'narrative'; tables must be confirmed at the source."""
     table = F.rlike("text", F.lit(r"(?s)<table|^\s*\|.*\|\s*$"))
     return blocks.withColumn("part", F.when(table, "table").otherwise("narrative")).withColumn("confirm", table)
+
+
+# fixed values: the seven blocks of a draft on a book and the sections of the reading archive that they are put together from; the longest hook; characters of a block in
+# the one-page and in the full form (about 3,000 in seven blocks)
+DRAFT_BLOCKS = [
+    (1, "hook", ["hook"]), (2, "why", ["interview"]), (3, "skeleton", ["compression"]), (4, "concepts", ["concept"]), (5, "agree_or_refute", ["debate"]),
+    (6, "me_and_it", ["life", "fragment"]), (7, "changes", ["decision", "rule", "checklist", "experiment"]),
+]
+HOOK_CHARS, BLOCK_CHARS = 30, {"page": 200, "full": 430}
+
+
+def _in_blocks(archive: DataFrame) -> DataFrame:
+    block, title = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for n, name, sections in DRAFT_BLOCKS:
+        block, title = F.when(F.col("section").isin(sections), n).otherwise(block), F.when(F.col("section").isin(sections), name).otherwise(title)
+    rows = archive.withColumn("block", block).withColumn("title", title)
+    return rows.where(F.col("block").isNotNull() & ((F.col("section") != "hook") | (F.length("text") <= HOOK_CHARS)))
+
+
+def draft(archive: DataFrame, form: str = "page") -> DataFrame:
+    """``book_id, block, title, body, n_chars, too_long``: the blocks of a draft, from the archive (book_id, section, seq, text) alone; ``form`` is 'page' or 'full'."""
+    lines = F.sort_array(F.collect_list(F.struct("section", "seq", "text")))
+    out = _in_blocks(archive).groupBy("book_id", "block", "title").agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("body"))
+    return out.withColumn("n_chars", F.length("body").cast("long")).withColumn("too_long", F.col("n_chars") > BLOCK_CHARS[form])
+
+
+def draft_gaps(archive: DataFrame) -> DataFrame:
+    """``book_id, block, title`` of blocks that the archive has nothing for."""
+    every = F.explode(F.array(*[F.struct(F.lit(n).alias("block"), F.lit(name).alias("title")) for n, name, _ in DRAFT_BLOCKS])).alias("b")
+    held = _in_blocks(archive).select("book_id", "block").distinct()
+    return archive.select("book_id").distinct().select("book_id", every).select("book_id", "b.block", "b.title").join(held, ["book_id", "block"], "left_anti")

@@ -9,18 +9,16 @@ from pyspark.sql import functions as F
 from folioframe.functions.text import COMPARATORS, NUMBER, ROMANS, UNITS, fold_width
 
 
-def _symbol_kind(c: Column) -> Column:
-    return F.when(F.lit(COMPARATORS).contains(c), "cmp").when(F.lit(ROMANS).contains(c), "rom").otherwise("unit")
+def _kind(token: Column) -> Column:
+    return F.when(F.lit(COMPARATORS).contains(token), "cmp").when(F.lit(ROMANS).contains(token), "rom").when(F.lit(UNITS).contains(token), "unit").otherwise("num")
 
 
 def multiset(rows: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """``keys, kind, tok, cnt``: numbers, and single comparators, roman numerals and unit signs, of the width-folded text."""
     # texts without digits and symbols have no tokens; full-width digits are digits too
     held = rows.select(*keys, text.alias("_text")).where(F.rlike("_text", F.lit(rf"[\p{{Nd}}{COMPARATORS}{ROMANS}{UNITS}]"))).select(*keys, fold_width(F.col("_text")).alias("_text"))
-    numbers = F.transform(F.regexp_extract_all("_text", F.lit(NUMBER), F.lit(0)), lambda x: F.struct(F.lit("num").alias("kind"), x.alias("tok")))
-    symbols = F.transform(F.regexp_extract_all("_text", F.lit(f"[{COMPARATORS}{ROMANS}{UNITS}]"), F.lit(0)), lambda x: F.struct(_symbol_kind(x).alias("kind"), x.alias("tok")))
-    found = held.select(*keys, F.explode(F.concat(numbers, symbols)).alias("x"))
-    return found.groupBy(*keys, F.col("x.kind").alias("kind"), F.col("x.tok").alias("tok")).agg(F.count("*").alias("cnt"))
+    found = held.select(*keys, F.explode(F.regexp_extract_all("_text", F.lit(f"{NUMBER}|[{COMPARATORS}{ROMANS}{UNITS}]"), F.lit(0))).alias("tok"))
+    return found.groupBy(*keys, "tok").agg(F.count("*").alias("cnt")).select(*keys, _kind(F.col("tok")).alias("kind"), "tok", "cnt")
 
 
 def deficit(page_tokens: DataFrame, doc_tokens: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from folioframe.operators import audit as au
 from folioframe.operators import media as me
 from folioframe.operators import skeleton as sk
 from folioframe.operators import tables as tb
+from folioframe.operators.order import numbered
 from folioframe.plans.registry import Literal, query, table
 
 HEADS = Literal("fx", "doc_id int, line_no int, text string", [
@@ -68,7 +69,9 @@ def running_head_fixture(spark, d):
 
 @query("running_head_strip", f"SELECT doc_id, count(*) AS kept, min(line_no)::INT AS first, max(line_no)::INT AS last FROM ({_heads_sql(_LINES)}) GROUP BY doc_id")
 def running_head_strip(spark, d):
-    return au.without_running_heads(_lines(spark, d), ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("kept"), F.min("line_no").alias("first"), F.max("line_no").alias("last"))
+    body = au.body_lines(F.split("text", "\n"))
+    rows = table(spark, d, "documents").select("doc_id", body.alias("b")).where("b.first IS NOT NULL")
+    return rows.select("doc_id", (F.col("b.last") - F.col("b.first") + 1).cast("long").alias("kept"), "b.first", "b.last")
 
 
 @query("dot_leader_strip", rf"WITH {HEADS.sql} SELECT doc_id, line_no, regexp_replace(text, '[.·…]{{3,}}\s*\p{{Nd}}+\s*$', '') AS text FROM fx UNION ALL SELECT doc_id, line_no, regexp_replace(text, '[.·…]{{3,}}\s*\p{{Nd}}+\s*$', '') FROM {_LINES}")
@@ -173,10 +176,8 @@ def dedupe_saving(spark, d):
 
 @query("first_seen_numbering", "SELECT source, digest, format('img_{:03d}.png', row_number() OVER (PARTITION BY source ORDER BY first)) AS name FROM (SELECT source, md5(text) AS digest, min(doc_id) AS first FROM documents GROUP BY ALL)")
 def first_seen_numbering(spark, d):
-    from pyspark.sql import Window as W
-
     g = table(spark, d, "documents").groupBy("source", F.md5(F.encode("text", "utf-8")).alias("digest")).agg(F.min("doc_id").alias("first"))
-    return g.select("source", "digest", F.format_string("img_%03d.png", F.row_number().over(W.partitionBy("source").orderBy("first"))).alias("name"))
+    return numbered(g, ["source"], ["first"], "n").select("source", "digest", F.format_string("img_%03d.png", F.col("n")).alias("name"))
 
 
 @query("audit_sample", "SELECT source, doc_id, rn FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('audit:' || source || ':' || doc_id), doc_id) AS rn FROM documents) WHERE rn <= 5")
@@ -212,7 +213,7 @@ def base64_extract(spark, d):
     return me.embedded_images(IMAGES.df(spark))
 
 
-ASR = Literal("fx", "doc_id int, text string", [(1, "<|zh|><|NEUTRAL|>你好。"), (2, "  plain  "), (3, "<|en|>Hi <|x|> there<|>"), (4, "一。二。三")])
+ASR = Literal("fx", "doc_id int, text string", [(1, "<|zh|><|NEUTRAL|>你好。"), (2, "  plain  "), (3, "<|en|>Hi <|x|> there<|>"), (4, "一。二。三"), (5, "行一。行二。\n第二行。还是它"), (6, "")])
 
 
 @query("asr_tag_strip", rf"WITH {ASR.sql} SELECT doc_id, regexp_replace(regexp_replace(text, '<\|[^|]+\|>', '', 'g'), '^\s+|\s+$', '', 'g') AS text FROM fx")
@@ -220,7 +221,7 @@ def asr_tag_strip(spark, d):
     return ASR.df(spark).select("doc_id", t.without_asr_tags(F.col("text")).alias("text"))
 
 
-@query("transcript_sentences", f"WITH {ASR.sql} SELECT doc_id, unnest(regexp_extract_all(text, '[^。]+。?')) AS sentence, generate_subscripts(regexp_extract_all(text, '[^。]+。?'), 1)::INT - 1 AS sentence_no FROM fx")
+@query("transcript_sentences", f"WITH {ASR.sql}, s AS (SELECT doc_id, CASE WHEN contains(text, chr(10)) THEN string_split(text, chr(10)) ELSE regexp_extract_all(text, '[^。]+。?') END AS s FROM fx) SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1)::INT - 1 AS sentence_no FROM s")
 def transcript_sentences(spark, d):
     return me.sentences(ASR.df(spark))
 
@@ -233,6 +234,36 @@ def hotwords(spark, d):
     return me.hotwords(HOT.df(spark))
 
 
+EMBEDDED = Literal("fx", "doc_id int, text string", [*IMAGES.rows, (4, "![a b]( data:image/gif;base64,QUJD ) ![](data:image/PNG;base64,QUJD)"), (5, "![x](images/x.png) base64, but no image")])
+
+
+@query("base64_rewrite", rf"""WITH {EMBEDDED.sql}, g AS (SELECT doc_id, text, regexp_split_to_array(text, '{me.EMBEDDED}') AS rest, regexp_extract_all(text, '{me.EMBEDDED}', 0) AS whole, regexp_extract_all(text, '{me.EMBEDDED}', 1) AS alt, regexp_extract_all(text, '{me.EMBEDDED}', 2) AS k, regexp_extract_all(text, '{me.EMBEDDED}', 3) AS dd FROM fx WHERE contains(text, 'base64,')),
+u AS (SELECT doc_id, unnest(whole) AS whole, unnest(alt) AS alt, unnest(k) AS k, regexp_replace(unnest(dd), '\s', '', 'g') AS b, generate_subscripts(k, 1) AS pos FROM g),
+r AS (SELECT *, CASE lower(k) WHEN 'jpeg' THEN 'jpg' WHEN 'svg+xml' THEN 'svg' ELSE lower(k) END AS ext FROM u WHERE length(b) % 4 = 0),
+f AS (SELECT doc_id, b, min(pos) AS first, arg_min(ext, pos) AS fext FROM r GROUP BY ALL), n AS (SELECT *, format('img_{{:03d}}.{{}}', row_number() OVER (PARTITION BY doc_id ORDER BY first), fext) AS name FROM f),
+p AS (SELECT u.doc_id, pos, coalesce('![' || alt || '](images/' || name || ')', whole) AS put FROM u LEFT JOIN n ON u.doc_id = n.doc_id AND u.b = n.b),
+l AS (SELECT doc_id, list(put ORDER BY pos) AS put FROM p GROUP BY 1), t AS (SELECT g.doc_id, text AS before, rest[1] || array_to_string(list_transform(range(1, len(put) + 1), lambda i: put[i] || rest[i + 1]), '') AS text FROM g JOIN l USING (doc_id))
+SELECT fx.doc_id, coalesce(t.text, fx.text) AS text, coalesce((SELECT count(*) FROM n WHERE n.doc_id = fx.doc_id), 0) AS n_images, strlen(fx.text)::BIGINT - strlen(coalesce(t.text, fx.text))::BIGINT AS saved FROM fx LEFT JOIN t USING (doc_id)""")
+def base64_rewrite(spark, d):
+    return me.rewritten(EMBEDDED.df(spark))
+
+
+RECORDS = Literal("fx", "book int, rec int, data string", [(1, 1, "89504E470D"), (1, 2, "00112233"), (1, 3, "FFD8FFE0"), (1, 4, "424D"), (2, 1, "3C73766720"), (2, 2, "47494638"), (2, 3, ""), (2, 4, "474946")])
+
+
+@query("image_records", f"""WITH {RECORDS.sql}, s AS (SELECT *, CASE {' '.join(f"WHEN starts_with(data, '{m}') THEN '{e}'" for m, e in me.MAGICS)} END AS ext FROM fx)
+SELECT book, rec, format('img{{:04d}}.{{}}', row_number() OVER (PARTITION BY book ORDER BY rec), ext) AS name FROM s WHERE ext IS NOT NULL""")
+def image_records(spark, d):
+    rows = RECORDS.df(spark).withColumn("ext", me.sniffed(F.unhex("data"))).where("ext IS NOT NULL")
+    return numbered(rows, ["book"], ["rec"], "n").select("book", "rec", F.format_string("img%04d.%s", "n", "ext").alias("name"))
+
+
+@query("book_headers", "SELECT n_name, '# ' || n_name || chr(10) || chr(10) || CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE '**作者：** ' || r_name || chr(10) || chr(10) END || '---' AS header FROM nation JOIN region ON n_regionkey = r_regionkey")
+def book_headers(spark, d):
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.select("n_name", t.book_header(F.col("n_name"), F.when(F.col("n_nationkey") % 3 == 0, "").otherwise(F.col("r_name"))).alias("header"))
+
+
 REFS = Literal("fx", "doc_id int, html string", [(1, '<img src="kindle:embed:000Z?mime=image/jpg"/><img recindex="12" alt="x"/>'), (2, "<IMG SRC='kindle:embed:1'>"), (3, '<image recindex=7 />')])
 NAMES = Literal("im", "doc_id int, recindex int, name string", [(1, 35, "img0035.jpg"), (1, 12, "img0012.png"), (2, 1, "img0001.gif")])
 
@@ -264,10 +295,10 @@ def page_select(spark, d):
     return SELECTORS.df(spark).select("s", "n", F.array_join(t.selected_pages(F.col("s"), F.col("n")), ",").alias("pages"))
 
 
-PATHS = Literal("fx", "path string, kind string", [("a/b.pdf", "pdf"), ("c.epub", "epub"), ("d.e.mobi", "mobi"), ("f.docx", "docx"), ("g_layout.pdf", "pdf"), ("h_content_list.json", "json"), ("i_middle.json", "json")])
+PATHS = Literal("fx", "path string, kind string", [("a/b.pdf", "pdf"), ("c.epub", "epub"), ("d.e.mobi", "mobi"), ("f.docx", "docx"), ("g_layout.pdf", "pdf"), ("h_content_list.json", "json"), ("i_middle.json", "json"), ("x_layout.md", "md"), ("j_model.pdf", "pdf"), ("k_span.pdf", "pdf")])
 
 
-@query("output_paths", rf"WITH {PATHS.sql} SELECT path, regexp_replace(path, '\.[^./]*$', '') || CASE kind WHEN 'pdf' THEN '_converted' WHEN 'epub' THEN '_epub' WHEN 'mobi' THEN '_mobi' WHEN 'docx' THEN '_带目录.docx' END AS output, regexp_matches(path, '_(layout|span|origin|middle|model|content_list)[.]') AS prune_single, regexp_matches(path, '_(layout|span|origin|middle|model)[.]') AS prune_batch FROM fx")
+@query("output_paths", rf"WITH {PATHS.sql} SELECT path, regexp_replace(path, '\.[^./]*$', '') || CASE kind WHEN 'pdf' THEN '_converted' WHEN 'epub' THEN '_epub' WHEN 'mobi' THEN '_mobi' WHEN 'docx' THEN '_带目录.docx' END AS output, regexp_matches(path, '_(?:(?:layout|span|origin)\.pdf|(?:middle|model|content_list)\.json)$') AS prune_single, regexp_matches(path, '_(?:(?:layout|span|origin)\.pdf|(?:middle|model)\.json)$') AS prune_batch FROM fx")
 def output_paths(spark, d):
     return PATHS.df(spark).select("path", t.output_path(F.col("path"), F.col("kind")).alias("output"), t.is_by_product(F.col("path"), False).alias("prune_single"), t.is_by_product(F.col("path"), True).alias("prune_batch"))
 

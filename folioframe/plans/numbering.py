@@ -33,7 +33,7 @@ def _sets(spark, d):
 
 @query("skeleton_gaps", f"WITH {_SETS} SELECT parent, array_to_string(missing, ',') AS missing, lo, list_max(kept) AS hi FROM m WHERE n >= 2 AND len(missing) > 0")
 def skeleton_gaps(spark, d):
-    return sk.with_missing(_sets(spark, d)).where(F.size("missing") > 0).select("parent", F.array_join("missing", ",").alias("missing"), "lo", "hi")
+    return sk.with_holes(_sets(spark, d)).where(F.size("holes") > 0).select("parent", sk.shown(F.col("holes")).alias("missing"), "lo", "hi")
 
 
 @query("skeleton_runs", f"WITH {_SETS} SELECT parent, n, lo, hi, run_end FROM r")

@@ -83,6 +83,15 @@ def monotonic_check(spark, d):
     return ru.monotonic(table(spark, d, "orders"), "o_custkey", "o_orderkey", "o_totalprice").select("o_orderkey", "falls")
 
 
+BORING = Literal("fx", "hole int, layer int, bottom double, thickness double", [(1, 1, 3.5, 1.5), (1, 2, 1.2, 2.3), (1, 3, -0.8, 1.9), (1, 4, -0.5, 0.3), (2, 1, 4.0, 1.0), (2, 2, 2.995, 1.0), (2, 3, None, 2.0), (2, 4, 1.0, 1.0)])
+
+
+@query("thickness_check", f"""WITH {BORING.sql}, b AS (SELECT *, lag(bottom) OVER (PARTITION BY hole ORDER BY layer) AS before FROM fx)
+SELECT hole, layer, before IS NULL OR bottom < before AS falls, before IS NULL OR abs(before - bottom - thickness) <= 0.01 AS fits FROM b""")
+def thickness_check(spark, d):
+    return ru.monotonic(BORING.df(spark), "hole", "layer", "bottom", "thickness").select("hole", "layer", "falls", "fits")
+
+
 @query("same_layer_conflicts", "SELECT l_partkey, l_suppkey, count(DISTINCT l_tax) AS n_values FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_tax) > 1")
 def same_layer_conflicts(spark, d):
     return ru.conflicting(table(spark, d, "lineitem"), ["l_partkey", "l_suppkey"], "l_tax")
@@ -130,7 +139,7 @@ PHRASES = Literal("ph", "ord int, act int, phrase string", [(i, a, p) for i, (a,
 @query("act_trigger", f"""WITH {PHRASES.sql}, u AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations WHERE role = 'user')
 SELECT * FROM (SELECT conv_id, turn, CASE WHEN rn = 1 THEN 0 ELSE (SELECT arg_min(act, ord) FROM ph WHERE contains(u.text, phrase)) END AS act FROM u) WHERE act IS NOT NULL""")
 def act_trigger(spark, d):
-    return st.triggered_acts(table(spark, d, "conversations"), PHRASES.df(spark))
+    return st.triggered_acts(table(spark, d, "conversations"), [(a, p) for _, a, p in PHRASES.rows])
 
 
 @query("fragment_numbering", "SELECT conv_id, turn, '#' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS label FROM conversations WHERE role = 'assistant'")
@@ -144,6 +153,10 @@ def fragment_numbering(spark, d):
 CHAPTERS = Literal("ch", "book_id int, chapter int", [(1, 1), (1, 2), (1, 3), (2, 1)])
 SAID = Literal("sd", "book_id int, chapter int", [(1, 2), (1, 2), (2, 1)])
 RECORDS = Literal("rc", "book_id int, kind string, text string", [(1, "decision", "x"), (1, "note", "y"), (2, "note", "z"), (3, "hook", "短句"), (3, "hook", "很" * 31), (3, "compression", "a"), (3, "compression", "b")])
+ARCHIVE = Literal("ar", "book_id int, section string, seq int, text string", [
+    (1, "hook", 1, "它改变了我对时间的看法"), (1, "hook", 2, "很" * 31), (1, "interview", 1, "为" * 150), (1, "compression", 2, "第二章" + "乙" * 80), (1, "compression", 1, "第一章" + "甲" * 120), (1, "concept", 1, "概念一"), (1, "concept", 2, "概念二"), (1, "debate", 1, "反驳"),
+    (1, "life", 1, "一次经历"), (1, "fragment", 1, "碎片"), (1, "decision", 1, "决定"), (1, "experiment", 2, "试一次"), (2, "compression", 1, "短"), (2, "debate", 1, "认同"), (2, "other", 1, "不进稿"), (3, "hook", 1, "很" * 31),
+])
 
 
 @query("recall_check", f"WITH {CHAPTERS.sql}, {SAID.sql} SELECT book_id, chapter, CASE WHEN EXISTS (SELECT 1 FROM sd WHERE (sd.book_id, sd.chapter) = (ch.book_id, ch.chapter)) THEN 'remembered' ELSE 'forgotten' END AS state FROM ch")
@@ -156,13 +169,27 @@ def closing_check(spark, d):
     return st.closing(RECORDS.df(spark))
 
 
-BLOCKS = Literal("bk", "block int, title string, kind string", [(1, "hook", "hook"), (3, "skeleton", "compression"), (7, "actions", "decision")])
+BLOCKS = Literal("bk", "block int, title string, section string", [(n, title, section) for n, title, sections in st.DRAFT_BLOCKS for section in sections])
+
 
+def _draft(most):
+    return f"""WITH {ARCHIVE.sql}, {BLOCKS.sql}, b AS (SELECT book_id, block, title, string_agg(text, chr(10) ORDER BY section, seq) AS body FROM ar JOIN bk USING (section) WHERE section <> 'hook' OR length(text) <= 30 GROUP BY ALL)
+SELECT book_id, block, title, body, length(body)::BIGINT AS n_chars, length(body) > {most} AS too_long FROM b"""
 
-@query("draft_blocks", f"WITH {RECORDS.sql}, {BLOCKS.sql} SELECT book_id, block, title, string_agg(text, '；' ORDER BY text) AS body FROM rc JOIN bk USING (kind) WHERE kind <> 'hook' OR length(text) <= 30 GROUP BY ALL")
+
+@query("draft_blocks", _draft(200))
 def draft_blocks(spark, d):
-    j = RECORDS.df(spark).join(F.broadcast(BLOCKS.df(spark)), "kind").where((F.col("kind") != "hook") | (F.length("text") <= 30))
-    return j.groupBy("book_id", "block", "title").agg(F.array_join(F.sort_array(F.collect_list("text")), "；").alias("body"))
+    return st.draft(ARCHIVE.df(spark), "page")
+
+
+@query("draft_blocks_full", _draft(430))
+def draft_blocks_full(spark, d):
+    return st.draft(ARCHIVE.df(spark), "full")
+
+
+@query("draft_gaps", f"WITH {ARCHIVE.sql}, {BLOCKS.sql}, b AS (SELECT DISTINCT book_id, block FROM ar JOIN bk USING (section) WHERE section <> 'hook' OR length(text) <= 30) SELECT x.book_id, y.block, y.title FROM (SELECT DISTINCT book_id FROM ar) x, (SELECT DISTINCT block, title FROM bk) y WHERE NOT EXISTS (SELECT 1 FROM b WHERE (b.book_id, b.block) = (x.book_id, y.block))")
+def draft_gaps(spark, d):
+    return st.draft_gaps(ARCHIVE.df(spark))
 
 
 @query("outline_numbering", "SELECT n_name, dense_rank() OVER (ORDER BY n_regionkey) || '.' || row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS number FROM nation")

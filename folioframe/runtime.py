@@ -29,11 +29,31 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the folder in spark.checkpoint.dir and cut its lineage there.
+
+    A session without that setting gets a temporary folder, on a local master only.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if not where and not (sc.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="folioframe-checkpoints"))
+    return df.checkpoint(eager=True)
+
+
+#: Bytes of a table from which on it is worth dealing.
+DEAL_BYTES = 1 << 20
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as the session has cores.
 
-    A table of a few small files is read in fewer splits than that, and costly functions would run in one or two
-    tasks. Larger tables have more splits than cores and stay as they are read, without a shuffle.
+    A table of a few files is read in fewer splits than that, and its work would fall to one or two tasks. Larger tables have
+    more splits than cores and stay as they are read, without a shuffle; tiny ones stay too.
     """
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < DEAL_BYTES:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
