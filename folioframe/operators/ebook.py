@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioframe.functions.text import GENERIC_TITLES
+from folioframe.operators import media
 from folioframe.operators.html_md import blocks_of
 from folioframe.runtime import ship
 
-# fixed values: first bytes of image formats, generic titles, field offsets of the record header
-MAGICS = [(b"\xff\xd8\xff", ".jpg"), (b"\x89PNG", ".png"), (b"GIF8", ".gif"), (b"BM", ".bmp"), (b"<svg", ".svg")]
-GENERIC = {"书名页", "封面", "扉页", "版权页", "cover", "titlepage", "title page", "copyright", "unknown", ""}
+MAGICS = [(bytes.fromhex(first), f".{ext}") for first, ext in media.MAGICS]
+# fixed values: field offsets of the record header, compression kinds, encoding
 COMPRESSION, LENGTH, RECORDS, MARK, ENCODING, FIRST_IMAGE, BOUNDARY, FLAGS = 0, 4, 8, 16, 28, 112, 208, 242
 HUFF, STORED, LZ77, UTF8 = 17480, 1, 2, 65001
 
@@ -140,7 +141,7 @@ def mobi_book(path: str, data: bytes) -> dict:
     md = _finished("\n\n".join(blocks_of(with_image_names(book["html"], {k: n for k, (n, _) in book["images"].items()}))))
     found = re.search(r"(?is)<title[^>]*>(.*?)</title>", book["html"])
     title = re.sub(r"\s+", " ", found[1]).strip() if found else ""
-    if title.lower() in GENERIC:
+    if title.lower() in GENERIC_TITLES:
         title = posixpath.splitext(posixpath.basename(path))[0]
     return {"path": path, "title": title, "creator": "", "md": f"# {title}\n\n---\n\n{md}", "section": book["section"], "parts": book["text_records"], "images": len(book["images"]), **_counts(md)}
 
@@ -244,3 +245,127 @@ def docx_cells(xml: Column) -> Column:
 
     rows = F.regexp_extract_all(xml, F.lit(r"(?s)<w:tr[ >].*?</w:tr>"), F.lit(0))
     return F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?s)<w:tc[ >].*?</w:tc>"), F.lit(0)), cell))
+
+
+# fixed values: names of WordprocessingML, the field of a table of contents, and the text that stands in it until it is updated
+WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+CONTENTS_FIELD, CONTENTS_HINT = ' TOC \\o "1-{}" \\h \\z \\u ', "右键此处选“更新域”，或按 Ctrl+A 再按 F9 生成目录"
+NUMBERED_HEADING = r"^\s*(\d+(?:\.\d+)*)[\s、\.．]+\S"
+
+
+def _element(name: str, parent=None, text: str | None = None, **values: str):
+    e = ElementTree.Element(f"{{{WORD}}}{name}", {f"{{{WORD}}}{k}": v for k, v in values.items()})
+    e.text = text
+    if parent is not None:
+        parent.append(e)
+    return e
+
+
+def _contents(title: str, levels: int) -> list:
+    """Paragraphs: a bold, centred title in no heading style, the field, and a page break."""
+    head, field, end = (_element("p") for _ in range(3))
+    _element("jc", _element("pPr", head), val="center")
+    run = _element("r", head)
+    look = _element("rPr", run)
+    _element("b", look)
+    _element("sz", look, val="32")
+    _element("t", run, title)
+    run = _element("r", field)
+    for kind, text in (("begin", None), (None, CONTENTS_FIELD.format(levels)), ("separate", None), ("", CONTENTS_HINT), ("end", None)):
+        if kind:
+            _element("fldChar", run, fldCharType=kind)
+        else:
+            e = _element("instrText" if kind is None else "t", run, text)
+            e.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
+    _element("br", _element("r", end), type="page")
+    return [head, field, end]
+
+
+def with_contents(data: bytes, title: str = "目录", levels: int = 3, apply: bool = False, longest: int = 60) -> tuple[bytes | None, int, int, int]:
+    """A DOCX with a table-of-contents field before its first paragraph; how many paragraphs have heading styles, could be headings, and were given a style.
+
+    Unstyled paragraphs that begin with a number, of at most ``longest`` characters, could be headings of the level that the number has parts. With ``apply`` those of a level up
+    to ``levels`` get that heading style, if the document has it under its English or else its Chinese name. Without headings nothing is inserted (null).
+    """
+    q = lambda name: f"{{{WORD}}}{name}"
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+    tree = ElementTree.fromstring(parts["word/document.xml"])
+    body = next(tree.iter(q("body")))
+    ids = {}
+    if "word/styles.xml" in parts:
+        for s in ElementTree.fromstring(parts["word/styles.xml"]).iter(q("style")):
+            name = s.find(q("name"))
+            if name is not None:
+                ids[(name.get(q("val")) or "").lower()] = s.get(q("styleId"))
+    names = {v: k for k, v in ids.items()}
+    styled, could, applied = 0, 0, 0
+    paragraphs = [p for p in body if p.tag == q("p")]
+    for p in paragraphs:
+        look = p.find(q("pPr"))
+        style = look.find(q("pStyle")) if look is not None else None
+        name = names.get(style.get(q("val")), style.get(q("val")) or "") if style is not None else ""
+        if name.lower().startswith("heading") or name.startswith("标题"):
+            styled += 1
+            continue
+        text = "".join(t.text or "" for t in p.iter(q("t"))).strip()
+        found = re.match(NUMBERED_HEADING, text)
+        if not found or len(text) > longest:
+            continue
+        could += 1
+        level = found[1].count(".") + 1
+        wanted = next((ids[n] for n in (f"heading {level}", f"标题 {level}") if n in ids), None)
+        if apply and level <= levels and wanted is not None:
+            if look is None:
+                look = ElementTree.Element(q("pPr"))
+                p.insert(0, look)
+            if style is None:
+                style = ElementTree.Element(q("pStyle"))
+                look.insert(0, style)
+            style.set(q("val"), wanted)
+            applied += 1
+    if styled + applied == 0:
+        return None, styled, could, applied
+    at = list(body).index(paragraphs[0])
+    for k, p in enumerate(_contents(title, levels)):
+        body.insert(at + k, p)
+    ElementTree.register_namespace("w", WORD)
+    parts["word/document.xml"] = ElementTree.tostring(tree, "utf-8", xml_declaration=True)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content in parts.items():
+            z.writestr(name, content)
+    return out.getvalue(), styled, could, applied
+
+
+_CONTENTS = pa.schema([("path", pa.string()), ("content", pa.binary()), ("n_styled", pa.int32()), ("n_candidates", pa.int32()), ("n_applied", pa.int32()), ("error", pa.string())])
+
+
+def insert_contents(files: DataFrame, title: str = "目录", levels: int = 3, apply: bool = False) -> DataFrame:
+    """``path, content, n_styled, n_candidates, n_applied, error`` of DOCX files (path, content); ``content`` is null where there are no headings."""
+    ship(files.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    content, styled, could, applied = with_contents(data, title, levels, apply)
+                    out.append({"path": path, "content": content, "n_styled": styled, "n_candidates": could, "n_applied": applied})
+                except (ValueError, KeyError, StopIteration, zipfile.BadZipFile, ElementTree.ParseError, TypeError) as e:
+                    out.append({"path": path, "error": str(e) or type(e).__name__})
+            yield pa.RecordBatch.from_pylist(out, _CONTENTS)
+
+    return files.select("path", "content").mapInArrow(run, "path string, content binary, n_styled int, n_candidates int, n_applied int, error string")
+
+
+def unpacked(rows: DataFrame, key: str, packed: str) -> DataFrame:
+    """``key, text``: bytes of ``packed`` after PalmDOC decompression, each as the character of its number."""
+    ship(rows.sparkSession)
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else lz77(x).decode("latin-1") for x in b.column(1).to_pylist()], pa.string())], [key, "text"])
+
+    return rows.select(key, packed).mapInArrow(run, f"`{key}` {kind}, text string")

@@ -27,16 +27,43 @@ def epub_bytes(title: str, author: str, chapters: list[str]) -> bytes:
     return out.getvalue()
 
 
-def mobi_bytes(html: str, images: list[bytes], others: int = 1) -> bytes:
-    """A stored MOBI: header record, one text record, then records of which only images take a number."""
-    text = html.encode()
+def _mobi_head(size: int, records: int, packed: bool, flags: int, boundary: int = 0xFFFFFFFF) -> bytes:
     head = bytearray(260)
-    struct.pack_into(">H", head, 0, 1)
-    struct.pack_into(">IH", head, 4, len(text), 1)
+    struct.pack_into(">H", head, 0, 2 if packed else 1)
+    struct.pack_into(">IH", head, 4, size, records)
     head[16:20] = b"MOBI"
     struct.pack_into(">I", head, 28, 65001)
-    struct.pack_into(">I", head, 208, 0xFFFFFFFF)
-    records = [bytes(head), text, *[b"junk"] * others, *images]
+    struct.pack_into(">I", head, 208, boundary)
+    struct.pack_into(">H", head, 242, flags)
+    return bytes(head)
+
+
+def _packed(text: bytes) -> bytes:
+    """PalmDOC data of ``text``: runs of literals, and a back-reference for every repeat of the eight bytes before."""
+    out, at = bytearray(), 0
+    while at < len(text):
+        if at >= 8 and text[at - 8 : at] == text[at : at + 8]:
+            out += struct.pack(">H", 0x8000 | 8 << 3 | 8 - 3)
+            at += 8
+        else:
+            run = text[at : at + 4]
+            out += bytes([len(run)]) + run
+            at += len(run)
+    return bytes(out)
+
+
+def mobi_bytes(html: str, images: list[bytes], others: int = 1, newer: str | None = None) -> bytes:
+    """A stored MOBI: header record, one text record, then records of which only images take a number.
+
+    With ``newer`` a second, compressed section follows, whose text records end in a trailing entry and a multibyte tail.
+    """
+    text = html.encode()
+    records = [_mobi_head(len(text), 1, False, 0), text, *[b"junk"] * others, *images]
+    if newer is not None:
+        raw = newer.encode()
+        pieces = [_packed(raw[k : k + 4096]) + b"\x00" + b"tail\x85" for k in range(0, len(raw), 4096)]
+        records[0] = _mobi_head(len(text), 1, False, 0, boundary=len(records) + 1)
+        records += [b"BOUNDARY", _mobi_head(len(raw), len(pieces), True, 0b11), *pieces]
     start, offsets = 78 + 8 * len(records), []
     for r in records:
         offsets.append(start)
@@ -61,30 +88,86 @@ def html_md_stats(spark, d):
     return to_md(table(spark, d, "pages"), "page_id").select("page_id", F.length(md).alias("chars"), t.headings(md).alias("headings"), t.footnote_refs(md).alias("footnote_refs"))
 
 
-@query("epub_convert")
+_NAMES = "FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"
+_BREAK = "chr(10) || chr(10)"
+
+
+@query("epub_convert", f"""SELECT '/books/' || r_name AS path, r_name AS title, 'author' AS creator, md, 'EPUB' AS section, n AS parts, 0 AS images, length(md)::BIGINT AS chars, n + 1 AS headings, n AS footnote_refs, NULL::VARCHAR AS error
+FROM (SELECT r_name, count(*)::INT AS n, '# ' || r_name || {_BREAK} || '**作者：** author' || {_BREAK} || '---' || {_BREAK} || string_agg('# ' || n_name || {_BREAK} || n_name || ' text[^1]', {_BREAK} ORDER BY n_name) || chr(10) AS md {_NAMES})""")
 def epub_convert(spark, d):
     return eb.convert(_books(spark, d, lambda title, names: epub_bytes(title, "author", [f"<html><body><h1>{x}</h1><p>{x} text<sup>[1]</sup></p></body></html>" for x in names])))
 
 
-@query("mobi_convert")
+def _mobi_page(title: str, names: list[str]) -> str:
+    return f"<html><head><title>{title}</title></head><body>" + "".join(f'<h2>{x}</h2><p>x</p><img recindex="1"/>' for x in names) + "</body></html>"
+
+
+def _mobi_sql(section: str, warning: str) -> str:
+    return f"""SELECT '/books/' || r_name AS path, r_name AS title, '' AS creator, '# ' || r_name || {_BREAK} || '---' || {_BREAK} || body AS md, '{section}' AS section, 1 AS parts, 2 AS images, length(body)::BIGINT AS chars, n AS headings, 0 AS footnote_refs, NULL::VARCHAR AS error, '{warning}' AS warning
+FROM (SELECT r_name, count(*)::INT AS n, string_agg('## ' || n_name || {_BREAK} || 'x' || {_BREAK} || '![img0001](images/img0001.png)', {_BREAK} ORDER BY n_name) || chr(10) AS body {_NAMES})"""
+
+
+@query("mobi_convert", _mobi_sql("MOBI6", "old_section"))
 def mobi_convert(spark, d):
-    page = lambda title, names: mobi_bytes(f"<html><head><title>{title}</title></head><body>" + "".join(f'<h2>{x}</h2><p>x</p><img recindex="1"/>' for x in names) + "</body></html>", [b"\x89PNG..", b"GIF89a"])
+    page = lambda title, names: mobi_bytes(_mobi_page(title, names), [b"\x89PNG..", b"GIF89a"])
+    return eb.convert(_books(spark, d, page)).withColumn("warning", eb.sanity(F.col("section"), F.col("chars")))
+
+
+@query("mobi_newer_section", _mobi_sql("KF8", "short"))
+def mobi_newer_section(spark, d):
+    page = lambda title, names: mobi_bytes("<p>the old section</p>", [b"\x89PNG..", b"GIF89a"], newer=_mobi_page(title, names))
     return eb.convert(_books(spark, d, page)).withColumn("warning", eb.sanity(F.col("section"), F.col("chars")))
 
 
-@query("book_images")
+@query("book_images", f"SELECT '/books/' || r_name AS path, format('img{{:04d}}.png', row_number() OVER (PARTITION BY r_name ORDER BY n_name)) AS name, length(n_name)::INT + 4 AS size, md5('\\x89PNG'::BLOB || encode(n_name)) AS digest FROM nation JOIN region ON n_regionkey = r_regionkey")
 def book_images(spark, d):
     page = lambda title, names: mobi_bytes("<p>x</p>", [b"\x89PNG" + x.encode() for x in names])
     return eb.images(_books(spark, d, page)).select("path", "name", F.length("content").alias("size"), F.md5("content").alias("digest"))
 
 
-@query("lz77_fixture")
+PACKED = Literal("fx", "packed string, text string", [("414243", "ABC"), ("E1", " a"), ("4142438018", "ABCABC"), ("027879", "xy"), ("8018", ""), ("41C0", "A @"), ("0461626364801F", "abcdbcdbcdbcdb"), ("4142800D", "AB" + "B" * 8), ("", "")])
+
+
+@query("lz77_fixture", f"WITH {PACKED.sql} SELECT packed, text FROM fx")
 def lz77_fixture(spark, d):
-    rows = [(h, eb.lz77(bytes.fromhex(h)).decode("latin-1")) for h in ("414243", "E1", "4142438018", "027879", "00", "8018", "41C0")]
-    return spark.createDataFrame(rows, "packed string, text string")
+    return eb.unpacked(PACKED.df(spark).select("packed", F.unhex("packed").alias("data")), "packed", "data")
+
+
+DOCX_STYLES = '<w:styles xmlns:w="{0}"><w:style w:styleId="h1"><w:name w:val="heading 1"/></w:style><w:style w:styleId="z2"><w:name w:val="标题 2"/></w:style></w:styles>'
+
+
+def docx_bytes(paragraphs: list[tuple[str, str]]) -> bytes:
+    """A DOCX of paragraphs (style id, text)."""
+    styled = lambda s: f'<w:pPr><w:pStyle w:val="{s}"/></w:pPr>' if s else ""
+    body = "".join(f"<w:p>{styled(s)}<w:r><w:t>{x}</w:t></w:r></w:p>" for s, x in paragraphs)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{eb.WORD}"><w:body>{body}</w:body></w:document>')
+        z.writestr("word/styles.xml", DOCX_STYLES.format(eb.WORD))
+    return out.getvalue()
+
+
+@query("docx_contents", f"""WITH n AS (SELECT r_name, r_regionkey, n_name, row_number() OVER (PARTITION BY r_name ORDER BY n_name) AS k FROM nation JOIN region ON n_regionkey = r_regionkey),
+p AS (SELECT r_name, 0 AS o, 0 AS k, 'Normal' AS style, '目录' AS text FROM region UNION ALL SELECT r_name, 1, 0, 'Normal', '{eb.CONTENTS_HINT}' FROM region UNION ALL SELECT r_name, 2, 0, 'Normal', '' FROM region
+UNION ALL SELECT r_name, 3, 0, 'Heading 1', '1 ' || r_name FROM region UNION ALL SELECT r_name, 4, k * 2, '标题 2', '1.' || k || ' ' || n_name FROM n UNION ALL SELECT r_name, 4, k * 2 + 1, 'Normal', 'text of ' || n_name FROM n)
+SELECT '/books/' || r_name AS path, row_number() OVER (PARTITION BY r_name ORDER BY o, k)::INT AS para_no, style, text FROM p""")
+def docx_contents(spark, d):
+    make = lambda title, names: docx_bytes([("", f"1 {title}"), *[x for k, n in enumerate(names) for x in (("", f"1.{k + 1} {n}"), ("", f"text of {n}"))]])
+    return files.docx(eb.insert_contents(_books(spark, d, make), levels=2, apply=True).where("content IS NOT NULL"))
+
+
+@query("docx_contents_state", """SELECT '/books/' || r_name AS path, CASE WHEN r_regionkey % 2 = 0 THEN 1 ELSE 0 END AS n_styled, count(*)::INT AS n_candidates, 0 AS n_applied, r_regionkey % 2 = 0 AS inserted, NULL::VARCHAR AS error FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, r_regionkey""")
+def docx_contents_state(spark, d):
+    even = {r["r_name"] for r in table(spark, d, "region").where("r_regionkey % 2 = 0").collect()}  # of five
+    make = lambda title, names: docx_bytes([("h1" if title in even else "", title), *[("", f"{k + 1}、{n}") for k, n in enumerate(names)], ("", "9 " + "x" * 80)])
+    return eb.insert_contents(_books(spark, d, make)).select("path", "n_styled", "n_candidates", "n_applied", F.col("content").isNotNull().alias("inserted"), "error")
+
+
+# the third has an odd number of bytes and a cut-off character, so only what fits is read; the fourth fits nothing
+DECODED = Literal("fx", "path string, text string", [("a", "中文"), ("b", ""), ("c", "hi"), ("d", "")])
 
 
-@query("decode_fallback")
+@query("decode_fallback", f"WITH {DECODED.sql} SELECT path, text FROM fx")
 def decode_fallback(spark, d):
     rows = [("a", bytearray("中文".encode())), ("b", bytearray("中文字".encode("gb18030")[:5])), ("c", bytearray("hi".encode("utf-16"))), ("d", bytearray(b"\xff\xff\xff"))]
     return files.with_fallback(spark.createDataFrame(rows, "path string, content binary"))

@@ -29,17 +29,20 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder in spark.checkpoint.dir and cut its lineage there.
-
-    A session without that setting gets a temporary folder, on a local master only.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's folder for checkpoints: that in spark.checkpoint.dir, or a temporary one, on a local master only."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = sc.getConf().get("spark.checkpoint.dir")
         if not where and not (sc.master or "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="folioframe-checkpoints"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the folder for checkpoints and cut its lineage there."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
