@@ -3,30 +3,15 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from folioframe.runtime import ship
+from folioframe.runtime import checkpointed, dealt, ship
 
 __all__ = ["checkpointed", "dealt", "mapped", "ship", "spread", "table"]
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder in spark.checkpoint.dir and cut its lineage there.
-
-    A session without that setting gets a temporary folder, on a local master only.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        where = sc.getConf().get("spark.checkpoint.dir")
-        if not where and not (sc.master or "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="folioframe-checkpoints"))
-    return df.checkpoint(eager=True)
-
 
 def mapped(shared: Broadcast, size: int) -> np.ndarray:
     """The bytes of a broadcast bytearray of ``size``, in a worker.
@@ -44,19 +29,9 @@ def mapped(shared: Broadcast, size: int) -> np.ndarray:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def spread(spark: SparkSession) -> int:
     """Partitions for keyed groups: what the session sets for its shuffles."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def dealt(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as the session has cores.
-
-    A table of a few small files is read in fewer splits than that, and the models' CPU time would fall to one or two
-    tasks. Larger tables have more splits than cores and stay as they are read, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
