@@ -14,6 +14,10 @@ from folioframe.llm import bpe, convnet, mixing, ngram_join
 from folioframe.llm._spark import checkpointed, table
 
 
+#: Keys of rows to drop or to keep once (25 bytes each) up to which they are broadcast; beyond it the planner joins.
+BROADCAST_KEYS = 1_000_000
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte-level network does not reject."""
     carried = docs.select("doc_id", "text", F.struct("*").alias("_row"))
@@ -27,14 +31,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that equal each other in id and text are one document; of equal ids with different texts in a group, the one of smallest text hash stays.
     """
     found = ngram_join.link(docs, words=5, num=8, den=10)
-    key = F.coalesce(F.col("id"), F.lit(0)), F.col("id").isNull()
+    key = F.coalesce(F.col("id"), F.lit(0)).alias("_k"), F.col("id").isNull().alias("_n"), F.col("text_hash").alias("_h")
     alone = found.where("n_shingles = 0").select("id", "text_hash")
     first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("f"))
-    kept = first.select("f.id", "f.text_hash").union(alone).distinct()
-    kept = checkpointed(kept.select(key[0].alias("_k"), key[1].alias("_n"), F.col("text_hash").alias("_h")))
+    kept = first.select("f.id", "f.text_hash").union(alone).distinct().select(*key, F.lit(True).alias("_kept"))
+    # most rows are kept and occur once; keys of the others are few, and only these meet the texts
+    number = found.select(*key).groupBy("_k", "_n", "_h").agg(F.count("*").alias("_c"))
+    other = number.join(kept, ["_k", "_n", "_h"], "left").where("_kept IS NULL OR _c > 1").select("_k", "_n", "_h", F.coalesce("_kept", F.lit(False)).alias("_one"))
+    other = checkpointed(other)
+    size = other.agg(F.count("*").alias("n"), F.count_if("_one").alias("repeated")).first()
     rows = docs.select(F.struct("*").alias("_row"), F.coalesce("doc_id", F.lit(0)).alias("_k"), F.col("doc_id").isNull().alias("_n"), F.xxhash64("text").alias("_h"))
-    one = rows.join(kept, ["_k", "_n", "_h"]).dropDuplicates(["_k", "_n", "_h"])
-    return one.select("_row.*")
+    marked = rows.join(F.broadcast(other) if size["n"] <= BROADCAST_KEYS else other, ["_k", "_n", "_h"], "left")
+    out = marked.where("_one IS NULL").select("_row.*")
+    return out.unionByName(marked.where("_one").dropDuplicates(["_k", "_n", "_h"]).select("_row.*")) if size["repeated"] else out
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
