@@ -49,12 +49,12 @@ def fold_width(t: Column) -> Column:
     return _only(t, f"[{FULL_WIDTH}]", F.translate(t, FULL_WIDTH, HALF_WIDTH))
 
 
-def latex_symbols(t: Column) -> Column:
-    return _only(t, r"\\", _symbols(t))
+def latex_symbols(t: Column, commands: list[tuple[str, str]] = LATEX) -> Column:
+    return _only(t, r"\\", _symbols(t, commands))
 
 
-def _symbols(t: Column) -> Column:
-    for name, symbol in LATEX:
+def _symbols(t: Column, commands: list[tuple[str, str]] = LATEX) -> Column:
+    for name, symbol in commands:
         t = F.regexp_replace(t, rf"\\{name}(?![a-zA-Z])", symbol)
     return t
 

@@ -51,9 +51,9 @@ def lines_from_words(words: DataFrame, keys: list[str], height: float = 3.0) ->
     return rows.select(*keys, "line", F.array_join(F.transform("w", lambda x: x["text"]), " ").alias("text"))
 
 
-def glitches(docs: DataFrame, keys: list[str], text: str = "text", samples: int = 5) -> DataFrame:
-    """``keys, glitch, hits, samples``: each fault pattern that occurs, with its first few matches."""
-    found = F.array(*[F.struct(F.lit(name).alias("glitch"), F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)).alias("m")) for name, p in t.GLITCHES])
+def glitches(docs: DataFrame, keys: list[str], text: str = "text", samples: int = 5, patterns: list[tuple[str, str]] = t.GLITCHES) -> DataFrame:
+    """``keys, glitch, hits, samples``: each fault pattern (name, regular expression) that occurs, with its first few matches."""
+    found = F.array(*[F.struct(F.lit(name).alias("glitch"), F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)).alias("m")) for name, p in patterns])
     rows = docs.select(*keys, F.explode(found).alias("g")).where(F.size("g.m") > 0)
     return rows.select(*keys, "g.glitch", F.size("g.m").cast("long").alias("hits"), F.array_join(F.slice("g.m", 1, samples), " ").alias("samples"))
 

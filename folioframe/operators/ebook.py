@@ -8,6 +8,7 @@ import re
 import struct
 import zipfile
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -369,3 +370,57 @@ def unpacked(rows: DataFrame, key: str, packed: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else lz77(x).decode("latin-1") for x in b.column(1).to_pylist()], pa.string())], [key, "text"])
 
     return rows.select(key, packed).mapInArrow(run, f"`{key}` {kind}, text string")
+
+
+def record_spans(files: DataFrame) -> DataFrame:
+    """``path, rec, start, stop, ext``: records of PalmDB files (path, content); each ends where the next begins, the last with the file. ``ext`` names image records.
+
+    Offsets are read with byte functions; no record's bytes leave the row.
+    """
+    def number(at: Column, size: int) -> Column:
+        return F.conv(F.hex(F.substring(F.col("content"), at, F.lit(size))), 16, 10).cast("long")
+
+    n = F.coalesce(number(F.lit(77), 2), F.lit(0))
+    starts = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: number((k * 8 + 79).cast("int"), 4)))
+    stops = F.concat(F.slice(F.col("starts"), F.lit(2), F.size("starts")), F.array(F.length("content").cast("long")))
+    head = F.transform(F.col("starts"), lambda a: media.sniffed(F.substring(F.col("content"), (a + 1).cast("int"), F.lit(4))))
+    rows = files.withColumn("starts", starts).select("path", F.posexplode(F.arrays_zip(F.col("starts").alias("start"), stops.alias("stop"), head.alias("ext"))).alias("rec", "x"))
+    return rows.select("path", "rec", "x.start", "x.stop", "x.ext")
+
+
+_ENTRIES = pa.schema([("path", pa.string()), ("kind", pa.string()), ("ord", pa.int32()), ("id", pa.string()), ("href", pa.string()), ("content", pa.binary())])
+
+
+def epub_entries(files: DataFrame) -> DataFrame:
+    """``path, kind, ord, id, href, content`` of EPUB files: manifest items ('item'), spine references ('ref') and files ('file')."""
+    ship(files.sparkSession)
+
+    def of(path: str, data: bytes) -> Iterator[dict]:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            local = lambda e: e.tag.rpartition("}")[2]
+            where = next(e.get("full-path") for e in ElementTree.fromstring(z.read("META-INF/container.xml")).iter() if local(e) == "rootfile")
+            package = list(ElementTree.fromstring(z.read(where)).iter())
+            for k, e in enumerate(e for e in package if local(e) == "item"):
+                yield {"path": path, "kind": "item", "ord": k, "id": e.get("id"), "href": posixpath.normpath(posixpath.join(posixpath.dirname(where), unquote(e.get("href"))))}
+            for k, e in enumerate(e for e in package if local(e) == "itemref"):
+                yield {"path": path, "kind": "ref", "ord": k, "id": e.get("idref")}
+            for k, n in enumerate(z.namelist()):
+                yield {"path": path, "kind": "file", "ord": k, "href": n, "content": z.read(n)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    yield pa.RecordBatch.from_pylist(list(of(path, data)), _ENTRIES)
+                except (ValueError, KeyError, StopIteration, zipfile.BadZipFile, ElementTree.ParseError, TypeError):
+                    continue  # ``convert`` reports the error
+
+    return files.select("path", "content").mapInArrow(run, "path string, kind string, ord int, id string, href string, content binary")
+
+
+def spine(entries: DataFrame) -> DataFrame:
+    """``path, ord, href, content``: parts of books in reading order, from ``epub_entries``. References without a manifest item or a file drop out; of equal item ids the last stands."""
+    of = lambda kind: entries.where(F.col("kind") == kind)
+    items = of("item").groupBy("path", "id").agg(F.max_by("href", "ord").alias("href"))
+    parts = of("file").groupBy("path", "href").agg(F.max_by("content", "ord").alias("content"))
+    return of("ref").select("path", "ord", "id").join(items, ["path", "id"]).join(parts, ["path", "href"]).select("path", "ord", "href", "content")

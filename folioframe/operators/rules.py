@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,7 +79,3 @@ def monotonic(rows: DataFrame, group: str, order: str, bottom: str, thickness: s
     if thickness:
         out = out.withColumn("fits", F.col("before").isNull() | (F.abs(F.col("before") - F.col(bottom) - F.col(thickness)) <= tolerance))
     return out.drop("before")
-
-
-def any_of(flags: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, flags)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,8 +23,12 @@ ERROR_KINDS = [("merged_cell_shift", 3), ("comparator_loss", 3), ("roman_numeral
 TIERS_BY_CLASS = [("standard", "advanced"), ("general", "standard"), ("index_only", "flash"), ("private", "basic")]
 
 
-def is_heading_style(style: Column) -> Column:
-    return F.startswith(style, F.lit("Heading")) | F.startswith(style, F.lit("标题"))
+# fixed values: how names of heading styles begin, in English and in Chinese
+HEADING_STYLES = ("Heading", "标题")
+
+
+def is_heading_style(style: Column, names: tuple[str, ...] = HEADING_STYLES) -> Column:
+    return reduce(lambda a, b: a | b, [F.startswith(style, F.lit(n)) for n in names])
 
 
 def heading_level(text: Column, longest: int = 60) -> Column:

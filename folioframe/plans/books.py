@@ -182,3 +182,17 @@ SELECT doc_id, row_no, col_no, array_to_string(regexp_extract_all(c, '<w:t(?:\s[
 def docx_cells(spark, d):
     rows = DOCX.df(spark).select("doc_id", F.posexplode(eb.docx_cells(F.col("xml"))).alias("row_no", "r"))
     return rows.select("doc_id", "row_no", F.posexplode("r").alias("col_no", "c")).select("doc_id", "row_no", "col_no", "c.text", "c.merged")
+
+
+@query("palm_records", """WITH n AS (SELECT r_name, n_name, row_number() OVER (PARTITION BY r_name ORDER BY n_name) AS k, count(*) OVER (PARTITION BY r_name) AS n FROM nation JOIN region ON n_regionkey = r_regionkey),
+r AS (SELECT r_name, k + 2 AS rec, length(n_name) + 4 AS size, n, 'png' AS ext FROM n UNION ALL SELECT r_name, x.rec, x.size, n, NULL FROM n, (VALUES (0, 260), (1, 8), (2, 4)) x(rec, size) WHERE k = 1)
+SELECT '/books/' || r_name AS path, rec::INT AS rec, (78 + 8 * (n + 3) + sum(size) OVER (PARTITION BY r_name ORDER BY rec) - size)::BIGINT AS start, (78 + 8 * (n + 3) + sum(size) OVER (PARTITION BY r_name ORDER BY rec))::BIGINT AS stop, ext FROM r""")
+def palm_records(spark, d):
+    page = lambda title, names: mobi_bytes("<p>x</p>", [b"\x89PNG" + x.encode() for x in names])
+    return eb.record_spans(_books(spark, d, page))
+
+
+@query("epub_spine", "SELECT '/books/' || r_name AS path, row_number() OVER (PARTITION BY r_name ORDER BY n_name)::INT - 1 AS ord, 'OPS/c' || (row_number() OVER (PARTITION BY r_name ORDER BY n_name) - 1) || '.xhtml' AS href, '<p>' || n_name || '</p>' AS text FROM nation JOIN region ON n_regionkey = r_regionkey")
+def epub_spine(spark, d):
+    books = _books(spark, d, lambda title, names: epub_bytes(title, "", [f"<p>{x}</p>" for x in names]))
+    return eb.spine(eb.epub_entries(books)).select("path", "ord", "href", F.decode("content", "utf-8").alias("text"))

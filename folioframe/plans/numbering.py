@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioframe.operators import skeleton as sk
 from folioframe.plans.registry import Literal, query, table
+from folioframe.sources.sinks import report_text
 
 LINES = Literal("fx", "doc_id int, line_no int, text string", [
     (1, 1, "4.1.1 a"), (1, 2, "4.1.2 b"), (1, 3, "4.1.4 d"),
@@ -103,3 +104,12 @@ FROM (SELECT DISTINCT doc_id FROM fx) d""")
 def skeleton_verdict(spark, d):
     parsed = sk.parse_lines(LINES.df(spark))
     return sk.verdicts(LINES.df(spark), parsed, sk.issues(parsed, ["doc_id", "kind", "parent"]))
+
+
+@query("issue_report", """SELECT doc_id, report FROM (VALUES (1, '4.1 missing 3'), (2, '11.9 suspect 28'), (3, '6.2 suspect 15'), (4, '6.2 missing 12,13,14'), (9, 'A.0 missing 2'), (20, '10.1 missing 2' || chr(10) || '2.1 missing 2' || chr(10) || '2.1.1 suspect 4')) t(doc_id, report)""")
+def issue_report(spark, d):
+    """Reports in order of parents as lists of strings: 10 before 2, 2.1 before 2.1.1."""
+    more = spark.createDataFrame([(20, k, x) for k, x in enumerate(["2.1.1 a", "2.1.3 b", "10.1.1 a", "10.1.3 b", "2.1.1.1 x", "2.1.1.4 y"])], "doc_id int, line_no int, text string")
+    found = sk.issues(sk.parse_lines(LINES.df(spark).union(more)), ["doc_id", "kind", "parent"])
+    lines = found.select("doc_id", F.split("parent", r"\.").alias("section"), F.lit(1).alias("ord"), F.concat_ws(" ", "parent", "type", "ordinals").alias("line"))
+    return report_text(lines)
