@@ -80,18 +80,22 @@ def differing(a: Column, b: Column) -> Column:
     return F.filter(paragraphs, lambda p: p["x"].isNull() | p["y"].isNull() | (F.xxhash64(p["x"]) != F.xxhash64(p["y"])))
 
 
-def likeness(pieces: Column, pairs: Column) -> Column:
-    """Of two trees: ``pieces`` is the first one's number of pieces, ``pairs`` what ``differing`` says of both."""
-    def side(name: str) -> Column:
-        return F.flatten(F.transform(pairs, lambda p: F.coalesce(p[name], F.array().cast("array<bigint>"))))
+def side(pairs: Column, name: str) -> Column:
+    """Pieces of the differing branches of one tree ('x' or 'y')."""
+    return F.flatten(F.transform(pairs, lambda p: F.coalesce(p[name], F.array().cast("array<bigint>"))))
 
-    def of(x: Column, y: Column) -> Column:
-        same = pieces - F.size(x)
-        dx, dy = F.array_distinct(x), F.array_distinct(y)
-        both = 2.0 * same + F.size(dx) + F.size(dy)
-        return F.when(both == 0, 1.0).otherwise(2.0 * (same + F.size(F.array_intersect(dx, dy))) / both)
 
-    return of(side("x"), side("y"))
+def with_likeness(df: DataFrame, pieces: Column, trees: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Adds, by name, the likeness of two trees each, of which the first has ``pieces``. Every step has columns of its own, so that none is worked out twice."""
+    df = df.withColumns({f"_{n}": differing(a, b) for n, (a, b) in trees.items()})
+    df = df.withColumns({f"_{n}_{s}": side(F.col(f"_{n}"), s) for n in trees for s in "xy"})
+    df = df.withColumns({f"_{n}_same": pieces - F.size(f"_{n}_x") for n in trees} | {f"_{n}_d{s}": F.array_distinct(f"_{n}_{s}") for n in trees for s in "xy"})
+    out = {}
+    for n in trees:
+        same, x, y = F.col(f"_{n}_same"), F.col(f"_{n}_dx"), F.col(f"_{n}_dy")
+        both = 2.0 * same + F.size(x) + F.size(y)
+        out[n] = F.when(both == 0, 1.0).otherwise(2.0 * (same + F.size(F.array_intersect(x, y))) / both)
+    return df.withColumns(out)
 
 
 def edited_paragraphs(a: Column, b: Column) -> Column:
@@ -144,8 +148,7 @@ def with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     n = F.length("t")
     x = x.select(F.when(~F.col("kn"), F.col("kk")).alias("k"), "t", n.cast("long").alias("n_chars"), F.concat(F.expr("substring(t, 1, length(t) - cast(floor(length(t) / 4) as int))"), F.col("s.start")).alias("edited"), F.col("s.next_tree").alias("c"))
     x = x.select("k", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("t")).alias("a"), tree(F.col("edited")).alias("b"), "c")
-    x = x.select("k", "n_chars", "edited_sha256", "a", "b", leaves(F.col("a")).alias("la"), differing(F.col("a"), F.col("b")).alias("ab"), differing(F.col("a"), F.col("c")).alias("ac"))
-    return x.select(
-        F.col("k").alias(id_col), "n_chars", "edited_sha256", rendered(root(F.col("a")), F.col("la")).alias("fingerprint"), rendered(root(F.col("b")), leaves(F.col("b"))).alias("edited_fingerprint"),
-        likeness(F.size("la"), F.col("ab")).alias("near_edited"), likeness(F.size("la"), F.col("ac")).alias("near_next"),
-    )
+    x = x.withColumn("la", leaves(F.col("a")))
+    x = with_likeness(x, F.size("la"), {"near_edited": (F.col("a"), F.col("b")), "near_next": (F.col("a"), F.col("c"))})
+    prints = rendered(root(F.col("a")), F.col("la")).alias("fingerprint"), rendered(root(F.col("b")), leaves(F.col("b"))).alias("edited_fingerprint")
+    return x.select(F.col("k").alias(id_col), "n_chars", "edited_sha256", *prints, "near_edited", "near_next")
