@@ -5,7 +5,7 @@ marks and capitals do not matter. For every template a few of its terms are chos
 threshold (Cauchy and Schwarz): a window without a chosen term cannot match. Each place of a chosen term gives a window of the template's length, laid so that the
 term stands where it does in the template; windows that share too few terms are left at once. The others become term counts, joined with
 the templates' term weights (a constant table): idf over the templates, terms that no template has weigh as the rarest, and the cosine follows from
-sums. A file has the license of its best window with a cosine of at least ``threshold``; headers and licence texts (``PUBLISHED``) go before short notices (``TEMPLATES``), and these before mere names (``NAMED``).
+sums. A file has the license of its best window with a cosine of at least ``threshold``; headers and licence texts (``PUBLISHED``) go before short notices and identifier lines (``TEMPLATES``, ``IDENTIFIERS``), and these before mere names (``NAMED``).
 
 A file is a licence file by its name, or because the matched window is at least half of its terms. A file without a license of its own gets that of the nearest ancestor
 directory that holds a licence file with one. Directories are resolved once each by path joins, salted for directories that many others lie
@@ -87,6 +87,9 @@ PUBLISHED: list[tuple[str, str]] = [
     ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES"),
     *[(name, _GNU.format(what, kind, version)) for what in ("This program", "This library") for name, kind, version in [("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3")]],
     *[(name, f"GNU {kind}General Public License Version {version}" + _FSF.format(site)) for name, kind, version, site in _GNU_FILES],
+]
+# fixed values: identifier lines of source files
+IDENTIFIERS: list[tuple[str, str]] = [
     *[(name, f"SPDX-License-Identifier: {name}") for name in _SPDX],
     *[(name, f"SPDX-License-Identifier: {name}{more}") for name in _SPDX_GNU for more in ("", "-only", "-or-later", "+")],
 ]
@@ -132,7 +135,7 @@ def chosen_terms(threshold: float, templates: list[tuple[str, str]]) -> list[lis
 
 
 #: All templates; headers and texts go before notices, and notices before names.
-ALL, TIERS = [*PUBLISHED, *TEMPLATES, *NAMED], (len(PUBLISHED), len(PUBLISHED) + len(TEMPLATES))
+ALL, TIERS = [*PUBLISHED, *TEMPLATES, *IDENTIFIERS, *NAMED], (len(PUBLISHED), len(PUBLISHED) + len(TEMPLATES) + len(IDENTIFIERS))
 
 
 def terms(text: Column) -> Column:

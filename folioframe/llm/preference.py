@@ -72,18 +72,19 @@ def with_next_answer(turns: DataFrame, conv: str = "conv_id", turn: str = "turn"
     """Pairs for ``pairs``: every conversation as it is (chosen), and with its last assistant turn given by the next conversation (rejected).
 
     The rejected side has the turns before its last assistant turn, then, under that number, the last assistant turn of the next conversation by id (after the
-    last: the first) that has one. Conversations without an assistant turn are left out: they have no completion.
+    last: the first) that has one. Conversations without an assistant turn have two equal sides. Turns with a null id belong to no conversation.
     """
     from folioframe.llm.merkle import successors
 
     rows = turns.where(F.col(conv).isNotNull()).select(F.col(conv).cast("long").alias("pair_id"), F.coalesce(F.col(turn).cast("long"), F.lit(_LAST)).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).withColumn("_salt", salt("turn"))
     answer = F.when(F.col("role") == LEARNED, F.struct("turn", "text"))
-    answers = checkpointed(summed(rows, "pair_id", [F.max(answer).alias("m")], [F.max("m").alias("last")]).where("last IS NOT NULL"))
+    every = checkpointed(summed(rows, "pair_id", [F.max(answer).alias("m")], [F.max("m").alias("last")]))
+    answers = every.where("last IS NOT NULL")
     link = successors(answers.select(F.col("pair_id").alias("k"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("n")))
     other = answers.select(F.col("pair_id").alias("k"), F.col("last.text").alias("given")).join(link, "k").select(F.col("pk").alias("pair_id"), "given")
-    ends = checkpointed(answers.join(other, "pair_id").select("pair_id", F.col("last.turn").alias("end"), "given", "_salts"))
-    laid = beside(rows, "pair_id", ends.select("pair_id", "end", "_salts"))
-    sides = F.when(F.col("turn") < F.col("end"), F.array(F.lit("chosen"), F.lit("rejected"))).otherwise(F.array(F.lit("chosen")))
+    ends = checkpointed(answers.join(other, "pair_id").select("pair_id", F.col("last.turn").alias("end"), "given"))
+    laid = beside(rows, "pair_id", every.select("pair_id", F.col("last.turn").alias("end"), "_salts"))
+    sides = F.when(F.col("end").isNull() | (F.col("turn") < F.col("end")), F.array(F.lit("chosen"), F.lit("rejected"))).otherwise(F.array(F.lit("chosen")))
     shared = laid.select("pair_id", F.explode(sides).alias("side"), "turn", "role", "text")
     swapped = ends.select("pair_id", F.lit("rejected").alias("side"), F.col("end").alias("turn"), F.lit(LEARNED).alias("role"), F.col("given").alias("text"))
     return shared.unionByName(swapped)
@@ -94,8 +95,8 @@ SQL = r"""
 WITH t AS (SELECT DISTINCT conv_id AS pair_id, coalesce(turn, 4611686018427387904) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 a AS (SELECT pair_id, turn AS ending, text AS answer FROM t WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY turn DESC, text DESC) = 1),
 n AS (SELECT pair_id, ending, coalesce(lead(answer) OVER (ORDER BY pair_id), first(answer) OVER (ORDER BY pair_id)) AS given FROM a),
-s AS (SELECT t.pair_id, 'chosen' AS side, turn, role, text FROM t JOIN n USING (pair_id)
-      UNION ALL SELECT t.pair_id, 'rejected', turn, role, text FROM t JOIN n USING (pair_id) WHERE turn < ending
+s AS (SELECT t.pair_id, 'chosen' AS side, turn, role, text FROM t
+      UNION ALL SELECT t.pair_id, 'rejected', turn, role, text FROM t LEFT JOIN n USING (pair_id) WHERE ending IS NULL OR turn < ending
       UNION ALL SELECT pair_id, 'rejected', ending, 'assistant', given FROM n),
 b AS (SELECT pair_id, turn, list((role, text) ORDER BY role, text) FILTER (side = 'chosen') AS c, list((role, text) ORDER BY role, text) FILTER (side = 'rejected') AS r FROM s GROUP BY ALL),
 f AS (SELECT pair_id, min(turn) FILTER (c IS DISTINCT FROM r) AS cut FROM b GROUP BY ALL),

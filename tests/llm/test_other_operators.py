@@ -220,6 +220,13 @@ def test_licenses_inherit_from_the_nearest_folder(spark):
     assert licenses.scan(df.where("false"), F.col("p"), F.col("t")).collect() == []
 
 
+def test_licenses_of_very_long_texts_and_ties(spark):
+    long = "word " * 60_000 + "Licensed under CC BY 4.0. " + "word " * 60_000
+    tied = "Licensed under the MIT License. Licensed under CC BY 4.0."
+    got = {r["path"]: (r["license"], r["score"]) for r in licenses.scan(spark.createDataFrame([("1/a", long), ("2/b", tied), ("3/c", ""), ("4/d", tied + " " + tied)], "p string, t string"), F.col("p"), F.col("t")).collect()}
+    assert got == {"1/a": ("CC-BY-4.0", 1.0), "2/b": ("CC-BY-4.0", 1.0), "3/c": (None, None), "4/d": ("CC-BY-4.0", 1.0)}
+
+
 def test_licenses_of_files_that_are_hardly_more_than_their_statement(spark):
     rows = [("r/info.txt", "This work is licensed under a Creative Commons Attribution 4.0 International License."), ("r/a.txt", "text " * 30), ("r/d/e/f.txt", "deep"), ("s/b.txt", "Released under the MIT License. " + "word " * 30), ("s/c.txt", "x")]
     got = {r["path"]: (r["license"], r["origin"], r["licence_path"]) for r in licenses.scan(spark.createDataFrame(rows, "p string, t string"), F.col("p"), F.col("t")).collect()}
@@ -278,6 +285,14 @@ def test_preference_pairs(spark):
     assert preference.pairs(df.where("false"), *(F.col(x) for x in ("pair_id", "side", "turn", "role", "text"))).collect() == []
 
 
+def test_preference_of_all_conversations(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a1"), (2, 0, "system", "s"), (2, 1, "user", "no answer"), (3, 0, "user", "q3"), (3, 1, "assistant", "a3"), (None, 0, "user", "lost"), (4, 0, "assistant", "x" * 300_000), (4, 0, "assistant", "x" * 300_000)]
+    turns = preference.with_next_answer(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r["pair_id"]: r for r in preference.pairs(turns, *(F.col(c) for c in ("pair_id", "side", "turn", "role", "text"))).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[2]["n_prompt_turns"] == 2 and got[2]["chosen"] == got[2]["rejected"] == ""
+    assert ["a3" in got[1]["rejected"], "x" * 300_000 in got[3]["rejected"], "a1" in got[4]["rejected"], len(got[4]["chosen"])] == [True, True, True, 300_000 + len("<|assistant|>\n<|end|>\n")]
+
+
 # components, pipeline
 
 
