@@ -33,15 +33,16 @@ _SHORT_PIECES, _PIECES = r"(?s).{1,4}", r"[^.!?]{1,32}[.!?]*|[.!?]+"
 
 def tree(text: Column) -> Column:
     """Digests of the pieces, by section and paragraph: array<array<array<long>>>."""
-    cut = F.when(F.length(text) <= SHORT, F.lit(_SHORT_PIECES)).otherwise(F.lit(_PIECES))
+    def cut(pattern: str) -> Column:
+        def pieces(p: Column) -> Column:
+            return F.transform(F.regexp_extract_all(p, F.lit(pattern), F.lit(0)), lambda x: F.xxhash64(x))
 
-    def pieces(p: Column) -> Column:
-        return F.transform(F.regexp_extract_all(p, cut, F.lit(0)), lambda x: F.xxhash64(x))
+        def paragraphs(s: Column) -> Column:
+            return F.transform(F.regexp_extract_all(s, F.lit(r"[^\n]*\n+|[^\n]+"), F.lit(0)), pieces)
 
-    def paragraphs(s: Column) -> Column:
-        return F.transform(F.regexp_extract_all(s, F.lit(r"[^\n]*\n+|[^\n]+"), F.lit(0)), pieces)
+        return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?s).+?(?:\n{2,}|\z)"), F.lit(0)), paragraphs)
 
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?s).+?(?:\n{2,}|\z)"), F.lit(0)), paragraphs)
+    return F.when(F.length(text) <= SHORT, cut(_SHORT_PIECES)).otherwise(cut(_PIECES))
 
 
 def section_digests(t: Column) -> Column:
