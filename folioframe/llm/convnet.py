@@ -78,9 +78,12 @@ class ConvNet:
         count = np.array([len(d) for d in docs])
         owner = np.repeat(np.arange(len(docs)), count)
         n = (CHUNK - WIDTH) // 2 + 1
-        z = np.zeros((len(chunks), n, FILTERS), np.float32)
-        for j in range(WIDTH):
-            z += self.kernel[j][chunks[:, j : j + 2 * n : 2]]
+        # responses to two bytes at once, for the pairs that occur
+        pairs, at = np.unique(np.ascontiguousarray(chunks).view("<u2"), return_inverse=True)
+        at = at.reshape(len(chunks), CHUNK // 2)
+        z = np.zeros((len(chunks), n, FILTERS), self.kernel.dtype)
+        for j in range(0, WIDTH, 2):
+            z += (self.kernel[j][pairs & 255] + self.kernel[j + 1][pairs >> 8])[at[:, j // 2 : j // 2 + n]]
         best = z.argmax(1)
         top = np.take_along_axis(z, best[:, None, :], 1)[:, 0] + self.shift
         h = np.maximum(top, 0)
