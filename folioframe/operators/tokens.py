@@ -33,6 +33,13 @@ def fold(deficits: DataFrame, dense: int = 8) -> DataFrame:
     return deficits.groupBy("doc_id", "page").agg(F.count("*").alias("n_missing")).withColumn("finding", F.when(F.col("n_missing") >= dense, "read_whole_page").otherwise("listed"))
 
 
+def listed(deficits: DataFrame, dense: int = 8, shown: int = 12) -> DataFrame:
+    """``doc_id, page, missing``: tokens that a page lacks and how many of each, the first ``shown`` in order of kind and token; pages that lack ``dense`` or more are left to ``fold``."""
+    rows = deficits.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("kind", "tok", "short"))).alias("m")).where(F.size("m") < dense)
+    text = lambda x: F.concat(x["tok"], F.lit(" -"), x["short"].cast("string"))
+    return rows.select("doc_id", "page", F.array_join(F.transform(F.slice("m", 1, shown), text), ", ").alias("missing"))
+
+
 def difference(a: DataFrame, b: DataFrame, keys: list[str], top: int | None = None) -> DataFrame:
     """``keys, kind, tok, a, b`` where two multisets disagree; the first ``top`` of each group in order of kind and token."""
     on = [*keys, "kind", "tok"]

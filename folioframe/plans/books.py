@@ -92,6 +92,19 @@ _NAMES = "FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"
 _BREAK = "chr(10) || chr(10)"
 
 
+# pages by hand, with what the rules for tags make of them
+MARKED = Literal("fx", "html string, md string", [
+    ("<h2>A <i>b</i></h2><p>c<br>d</p>", "## A *b*\n\nc d"), ("<ol><li>x<ol><li>y</li></ol></li><li>z</li></ol><ul><li>u</li></ul>", "1. x\n\n1. y\n\n2. z\n\n- u"), ("<blockquote><blockquote><p>q</p></blockquote><p>r</p></blockquote>s", "> > q\n\n> r\n\ns"),
+    ("<p>a<sup>[12]</sup> b<sup> （3） </sup><sup></sup></p>", "a[^12] b[^3]"), ('x<img src="a/b%20c.tar.gz">y<img data-src="http://h/i.png?"><img src="http://h/">z', "x\n\n![b c.tar](images/b c.tar.gz)\n\ny\n\n![i](images/i.png?)\n\nz"),
+    ("<style>p{}</style><script>s</script>t<hr>u &lt;&#233;&gt;", "t\n\n---\n\nu <é>"), ("<li>loose</li><p> </p><td>1</td><td>2</td>", "- loose\n\n12"), ("<h1>open<p>heading", "# open\n\n# heading"), ("", ""),
+])
+
+
+@query("html_md_fixture", f"WITH {MARKED.sql} SELECT html, md FROM fx")
+def html_md_fixture(spark, d):
+    return to_md(MARKED.df(spark).select("html", F.col("html").alias("page")), "html", "page")
+
+
 @query("epub_convert", f"""SELECT '/books/' || r_name AS path, r_name AS title, 'author' AS creator, md, 'EPUB' AS section, n AS parts, 0 AS images, length(md)::BIGINT AS chars, n + 1 AS headings, n AS footnote_refs, NULL::VARCHAR AS error
 FROM (SELECT r_name, count(*)::INT AS n, '# ' || r_name || {_BREAK} || '**作者：** author' || {_BREAK} || '---' || {_BREAK} || string_agg('# ' || n_name || {_BREAK} || n_name || ' text[^1]', {_BREAK} ORDER BY n_name) || chr(10) AS md {_NAMES})""")
 def epub_convert(spark, d):

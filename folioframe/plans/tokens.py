@@ -74,6 +74,11 @@ def page_deficit_fold(spark, d):
     return tk.fold(_page_deficit(spark, d))
 
 
+@query("page_missing_list", f"WITH {_DEFICIT} SELECT doc_id, page, array_to_string(list(tok || ' -' || short ORDER BY kind, tok, short)[1:12], ', ') AS missing FROM d GROUP BY doc_id, page HAVING count(*) < 8")
+def page_missing_list(spark, d):
+    return tk.listed(_page_deficit(spark, d))
+
+
 @query("rendition_deficit", f"""WITH {RENDITION.sql}, whole AS (SELECT doc_id, {_NORMAL} AS md FROM (SELECT doc_id, first(md ORDER BY page) AS md FROM fx GROUP BY doc_id)),
 p AS {_bag('doc_id, page', 'src', 'fx')}, m AS {_bag('doc_id', 'md', 'whole')}
 SELECT p.doc_id, p.page, p.kind, p.tok, p.cnt - coalesce(m.cnt, 0) AS short FROM p LEFT JOIN m ON (p.doc_id, p.kind, p.tok) = (m.doc_id, m.kind, m.tok) WHERE p.cnt > coalesce(m.cnt, 0)""")
