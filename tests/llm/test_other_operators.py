@@ -329,6 +329,22 @@ def test_pipeline(spark, edge, data):
     assert len(kept) == len(set(kept)) and sum(t == "repeated row text here" for _, t in kept) == 1
     assert {(9, "same id"), (9, "other text of that id"), (None, "null id here"), (2, ""), (1, None), (3, " \t\n ")} <= set(kept)
     assert cp.encode(spark, edge, data).count() == edge.count()
+    assert cp.encode(spark, edge.where("false"), data).collect() == []
+
+
+def test_pipeline_of_edge_cases(spark, edge, tmp_path):
+    """The whole run over nulls, empty and long texts, repeated rows, clashing columns, and over an empty table."""
+    import corpus_pipeline as cp
+
+    for name, docs in (("edge", edge), ("none", edge.where("false"))):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(2, 1), (3, 1), (6, 1), (9, 1), (10, 1)], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+        rows = cp.run(spark, folder).collect()
+        assert (len(rows) > 0) == (name == "edge") and all(r["n_tokens"] >= 0 for r in rows)
+        # one of the rows that are equal or hold the same text is left, as often as the mix takes it
+        taken = [r["doc_id"] for r in rows if r["doc_id"] in (7, 8)]
+        assert set(taken) <= {7} and len(taken) <= 3 and (6 in {r["doc_id"] for r in rows}) == (name == "edge")
 
 
 def test_pipeline_keeps_one_of_each_group(spark, data):
