@@ -1,7 +1,8 @@
 """A training corpus from documents: keep good text, keep one of each group of near copies, mix the sources, encode.
 
-Each stage reads all that its predecessor kept and returns the columns of documents, the last one ids by document. Null
-texts, empty texts and null ids pass through every stage by the rules that the operators state; extra columns are carried.
+Each stage reads all that its predecessor kept, whole texts of any length, and returns the columns of documents, the last one ids by document.
+Null texts, empty texts and null ids pass through every stage by the rules that the operators state. Extra columns are carried, whatever their
+names (a row travels as one struct; ``mix`` needs names that do not begin with ``_mix_``). Every stage returns an empty table for an empty one.
 """
 
 from __future__ import annotations
@@ -19,7 +20,10 @@ BROADCAST_KEYS = 1_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the byte-level network does not reject."""
+    """Documents that the byte-level network does not reject (score of 0.5 or more; equal texts score alike; null and empty texts are scored as no bytes).
+
+    Without labels of both classes all have one score, the share of good labels, 0.5 without labels: all stay, or all go.
+    """
     carried = docs.select("doc_id", "text", F.struct("*").alias("_row"))
     scored = convnet.score(carried, table(spark, sf_dir, "labels"), folds=3, fold=1, carry=("_row",))
     return scored.where("predicted = 1").select("_row.*")
@@ -28,7 +32,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group linked by five-word shingles at a similarity of 0.8 or more.
 
-    Rows that equal each other in id and text are one document; of equal ids with different texts in a group, the one of smallest text hash stays.
+    Rows that equal each other in id and text are one document, of which any row stays; of equal ids with different texts in a group, the one of smallest text hash stays; a
+    null id is larger than others. Texts without words link with nothing: all that differ in id stay.
     """
     found = ngram_join.link(docs, words=5, num=8, den=10)
     key = F.coalesce(F.col("id"), F.lit(0)).alias("_k"), F.col("id").isNull().alias("_n"), F.col("text_hash").alias("_h")
@@ -47,12 +52,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources (weights 5, 2, 1, repeating) takes them."""
+    """Documents as often as the mix of sources (weights 5, 2, 1, repeating) takes them: by hash of id and text, so reruns agree and equal rows go together."""
     return mixing.apply_plan(docs, weights=(5, 2, 1), max_repeats=3)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of the byte-level BPE, as count and digests, with the digest of what they decode to."""
+    """Ids of the byte-level BPE of every row, as count and digests, with the digest of what they decode to; null and empty texts have no ids."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
