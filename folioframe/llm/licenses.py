@@ -147,26 +147,33 @@ def terms(text: Column) -> Column:
 def windows(words: Column, threshold: float) -> Column:
     """array<struct<template, s>>: the windows of an array of terms that may match a template."""
     places: dict[str, list[dict]] = {}
-    for k, ((_, text), picked) in enumerate(zip(ALL, chosen_terms(threshold, ALL))):
+    for k, picked in enumerate(chosen_terms(threshold, ALL)):
         for t, at in picked:
-            places.setdefault(t, []).append({"t": k, "k": at, "m": len(re.findall(_TERM, text.lower()))})
-    of_term = F.from_json(F.lit(json.dumps(places)), "map<string, array<struct<t: int, k: int, m: int>>>")
+            places.setdefault(t, []).append({"t": k, "k": at})
+    of_term = F.from_json(F.lit(json.dumps(places)), "map<string, array<struct<t: long, k: int>>>")
     # as many of a template's terms as the heaviest of them need to reach the threshold, a window has to hold
     own: list[list[tuple[float, str]]] = [[] for _ in ALL]
     for k, _, t, w in weights(ALL)[2]:
         own[k].append((w * w, t))
     least = [next(n for n in range(1, len(x) + 1) if sum(sorted((w for w, _ in x), reverse=True)[:n]) >= (threshold - 1e-9) ** 2) for x in own]
-    of_template = F.from_json(F.lit(json.dumps([{"terms": [t for _, t in x], "least": n} for x, n in zip(own, least)])), "array<struct<terms: array<string>, least: int>>")
+    shape = [{"terms": [t for _, t in x], "least": n, "m": len(re.findall(_TERM, text.lower()))} for x, n, (_, text) in zip(own, least, ALL)]
+    of_template = F.from_json(F.lit(json.dumps(shape)), "array<struct<terms: array<string>, least: int, m: int>>")
 
+    # a window as one number: template in the high bits, first term below; chosen terms of one match name the same window
     def here(i: Column) -> Column:
-        return F.transform(F.element_at(of_term, F.get(words, i)), lambda x: F.struct(x["t"].alias("template"), F.slice(words, F.greatest(i - x["k"], F.lit(0)) + 1, x["m"]).alias("s")))
+        return F.transform(F.element_at(of_term, F.get(words, i)), lambda x: F.shiftleft(x["t"], 40) + F.greatest(i - x["k"], F.lit(0)))
+
+    def cut(n: Column) -> Column:
+        template = F.shiftright(n, 40).cast("int")
+        return F.struct(template.alias("template"), F.slice(words, n.bitwiseAND(F.lit((1 << 40) - 1)).cast("int") + 1, F.get(of_template, template)["m"]).alias("s"))
 
     at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isin(sorted(places)))
-    return F.filter(F.flatten(F.transform(at, here)), lambda h: F.size(F.array_intersect(h["s"], F.get(of_template, h["template"])["terms"])) >= F.get(of_template, h["template"])["least"])
+    found = F.transform(F.array_distinct(F.flatten(F.transform(at, here))), cut)
+    return F.filter(found, lambda h: F.size(F.array_intersect(h["s"], F.get(of_template, h["template"])["terms"])) >= F.get(of_template, h["template"])["least"])
 
 
 def own_licenses(files: DataFrame, threshold: float) -> DataFrame:
-    """(file, license, score, n_matched) of files (file long, text) with a window that reaches the threshold."""
+    """(file, license, score, is_most) of files (file long, text) with a window that reaches the threshold; whether the best is at least half of the file's terms."""
     spark = files.sparkSession
     idf, other, rows = weights(ALL)
     table = F.broadcast(spark.createDataFrame(rows, "template int, license string, term string, weight double"))
@@ -174,14 +181,16 @@ def own_licenses(files: DataFrame, threshold: float) -> DataFrame:
     needed = sorted({t for picked in chosen_terms(threshold, ALL) for t, _ in picked})
     held = files.select("file", terms(F.col("text")).alias("w")).where(F.rlike("w", F.lit(f" (?:{'|'.join(needed)}) ")))
     split = held.select("file", F.split(F.trim("w"), " ").alias("w"))
-    found = split.select("file", F.posexplode(windows(F.col("w"), threshold)).alias("at", "x")).select("file", "at", "x.template", F.explode("x.s").alias("term"))
-    bags = found.groupBy("file", "at", "template", "term").agg(F.count("*").alias("n")).join(known, "term", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(other)))
-    dots = bags.join(table, ["term", "template"], "left").groupBy("file", "at", "template").agg(
-        F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.coalesce(F.sum(F.col("x") * F.col("weight")), F.lit(0.0)).alias("dot"), F.max("license").alias("license"), F.sum("n").alias("m")
+    found = split.select("file", F.size("w").alias("size"), F.posexplode(windows(F.col("w"), threshold)).alias("at", "x"))
+    found = found.select("file", "at", "x.template", F.size("x.s").alias("m"), "size", F.explode("x.s").alias("term"))
+    # rows that repeat a file add to all of its counts alike, which leaves the cosine as it is
+    bags = found.groupBy("file", "at", "template", "m", "size", "term").agg(F.count("*").alias("n")).join(known, "term", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(other)))
+    dots = bags.join(table, ["term", "template"], "left").groupBy("file", "at", "template", "m", "size").agg(
+        F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.coalesce(F.sum(F.col("x") * F.col("weight")), F.lit(0.0)).alias("dot"), F.max("license").alias("license")
     )
     cosine = dots.withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("score") >= threshold)
-    best = cosine.groupBy("file").agg(F.min(F.struct(sum((F.col("template") >= k).cast("int") for k in TIERS).alias("late"), (-F.col("score")).alias("minus"), "license", (-F.col("m")).alias("m"))).alias("b"))
-    return best.select("file", F.col("b.license").alias("license"), (-F.col("b.minus")).alias("score"), (-F.col("b.m")).alias("n_matched"))
+    best = cosine.groupBy("file").agg(F.min(F.struct(sum((F.col("template") >= k).cast("int") for k in TIERS).alias("late"), (-F.col("score")).alias("minus"), "license", (-F.col("m")).alias("m"), "size")).alias("b"))
+    return best.select("file", F.col("b.license").alias("license"), (-F.col("b.minus")).alias("score"), (-2 * F.col("b.m") >= F.col("b.size")).alias("is_most"))
 
 
 def parent(path: Column) -> Column:
@@ -193,12 +202,12 @@ def scan(df: DataFrame, path: Column, text: Column, is_licence: Column | None =
 
     ``origin`` is 'own', 'inherited' (then ``licence_path`` is the directory it comes from) or 'none'.
     """
-    rows = df.select(path.alias("path"), F.coalesce(text, F.lit("")).alias("text"), *carry)
+    named = F.coalesce(is_licence if is_licence is not None else F.rlike(path, F.lit(LICENCE_FILE)), F.lit(False))
+    rows = df.select(path.alias("path"), F.coalesce(text, F.lit("")).alias("text"), named.alias("is_licence"), *carry)
     rows = rows.withColumn("file", F.xxhash64("path", "text"))
-    own = own_licenses(rows.select("file", "text").distinct(), threshold)
-    n_terms = F.size(F.filter(F.split(terms(F.col("text")), " "), lambda t: t != ""))
-    rows = rows.join(own, "file", "left").withColumn("is_licence", F.coalesce(is_licence if is_licence is not None else F.rlike("path", F.lit(LICENCE_FILE)), F.lit(False)) | F.coalesce(2 * F.col("n_matched") >= n_terms, F.lit(False)))
-    rows = checkpointed(rows.drop("text", "n_matched").withColumn("dir", parent(F.col("path"))).withColumn("_salt", salt("file")))  # without texts
+    own = own_licenses(rows.select("file", "text"), threshold)
+    rows = rows.drop("text").join(own, "file", "left").withColumn("is_licence", F.col("is_licence") | F.coalesce("is_most", F.lit(False))).drop("is_most")
+    rows = checkpointed(rows.withColumn("dir", parent(F.col("path"))).withColumn("_salt", salt("file")))  # without texts
     given = rows.where(F.col("is_licence") & F.col("license").isNotNull() & F.col("path").isNotNull())
     given = given.groupBy(F.col("dir").alias("above")).agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("g"))
     folders = summed(rows.where("path IS NOT NULL"), "dir", [F.count("*").alias("c")], [F.sum("c").alias("c")])
