@@ -8,9 +8,12 @@ a corpus share a hash with a chance of about 2**-64 for each pair.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -84,3 +87,18 @@ def steps(texts: Iterable[bytes], most: int = STEP_BYTES) -> Iterator[tuple[int,
         size += len(t) + 1
     if held:
         yield first, held
+
+
+def release() -> None:
+    """Give memory that is free in this process back to the system. Workers outlive their tasks and share an executor's limit with its other processes."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after each, memory that it took is given back."""
+    for batch in batches:
+        yield batch
+        del batch
+        release()

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm._spark import checkpointed, mapped, ship, spread
-from folioframe.llm._words import mix, steps, word_hashes
+from folioframe.llm._words import mix, release, steps, tidied, word_hashes
 
 #: Bits for each entry of the filter, and probes.
 ENTRY_BITS, PROBES = 10, 4
@@ -232,7 +232,7 @@ def count(docs: DataFrame, ranges: int, entry_bits: int = ENTRY_BITS) -> DataFra
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from folioframe.llm import bloom_lm as m
 
-        for batch in batches:
+        for batch in tidied(batches):
             for _, _, tokens, before in m._token_batches(batch.column(0), m.BATCH_TOKENS):
                 tokens, before = np.concatenate(tokens), np.concatenate(before)
                 words, wc, wl = m.packed_counts(tokens)
@@ -246,6 +246,7 @@ def count(docs: DataFrame, ranges: int, entry_bits: int = ENTRY_BITS) -> DataFra
     def add(t: pa.Table) -> pa.Table:
         from folioframe.llm import bloom_lm as m
 
+        release()
         p = t.column("p")[0].as_py()
         rows = t.to_pylist()
 
@@ -287,6 +288,7 @@ def level_sums(docs: DataFrame, counts: DataFrame, ranges: int, model: Model, gr
     def post(t: pa.Table) -> pa.Table:
         from folioframe.llm import bloom_lm as m
 
+        release()
         words, pairs = m.distinct_ngrams([x or b"" for x in t.column("t").cast(pa.binary()).to_pylist()])
         g = t.column("g")[0].as_py()
         rows = [{"p": p, "g": g, "words": words[a:b].tobytes(), "pairs": m.short(pairs[c:d]), "bits": None} for p, a, b, c, d in m.cuts(words, pairs, ranges)]
@@ -295,6 +297,7 @@ def level_sums(docs: DataFrame, counts: DataFrame, ranges: int, model: Model, gr
     def probe(t: pa.Table) -> pa.Table:
         from folioframe.llm import bloom_lm as m
 
+        release()
         rows = t.to_pylist()
         bits = next((r["bits"] for r in rows if r["bits"] is not None), bytes(8))
         one = m.Model(1, 1, 1, model.least, np.zeros(1), np.array([8 * len(bits)]), bits)
@@ -305,6 +308,7 @@ def level_sums(docs: DataFrame, counts: DataFrame, ranges: int, model: Model, gr
         return pa.Table.from_pylist(out, m._TOLD)
 
     def add(texts: pa.Table, told: pa.Table) -> pa.Table:
+        release()
         rows = sorted(told.to_pylist(), key=lambda r: r["p"])
         levels = tuple(np.frombuffer(b"".join(r[c] for r in rows), np.int16).astype(np.int64) for c in ("words", "pairs"))
         n, s = model.scores([x or b"" for x in texts.column("t").cast(pa.binary()).to_pylist()], levels)
@@ -328,7 +332,7 @@ def base_sums(docs: DataFrame, counts: DataFrame, ranges: int, total: int, disti
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from folioframe.llm import bloom_lm as m
 
-        for batch in batches:
+        for batch in tidied(batches):
             keys = batch.column(0).to_numpy()
             for first, sizes, tokens, _ in m._token_batches(batch.column(1), m.BATCH_TOKENS):
                 tokens = np.concatenate(tokens)
@@ -347,6 +351,7 @@ def base_sums(docs: DataFrame, counts: DataFrame, ranges: int, total: int, disti
     def look_up(t: pa.Table) -> pa.Table:
         from folioframe.llm import bloom_lm as m
 
+        release()
         rows = t.to_pylist()
         held = [r for r in rows if r["kind"] == 0]
         known = np.frombuffer(held[0]["words"], np.uint64) if held else np.zeros(0, np.uint64)
@@ -372,6 +377,7 @@ def base_sums(docs: DataFrame, counts: DataFrame, ranges: int, total: int, disti
         return pa.Table.from_pylist([{"q": q, "keys": key[group == q].tobytes(), "sums": np.ascontiguousarray(total[:, group == q]).tobytes()} for q in np.unique(group).tolist()], m._SUMS)
 
     def add(t: pa.Table) -> pa.Table:
+        release()
         rows = t.to_pylist()
         key = np.concatenate([np.frombuffer(r["keys"], np.int64) for r in rows])
         sums = np.concatenate([np.frombuffer(r["sums"], np.float64).reshape(3, -1) for r in rows], axis=1)
@@ -412,7 +418,7 @@ def score(df: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.held = mapped(shared, size)
-        for batch in batches:
+        for batch in tidied(batches):
             n, s = [], []
             for _, texts in steps(x or b"" for x in batch.column(3).cast(pa.binary()).to_pylist()):
                 a, b = model.scores(texts)

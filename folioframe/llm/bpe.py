@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from folioframe.llm._spark import ship
-from folioframe.llm._words import steps
+from folioframe.llm._words import steps, tidied
 
 #: Matches that a worker's cache holds before it is emptied.
 CACHE_MATCHES = 300_000
@@ -230,7 +230,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         from folioframe.llm import bpe
 
         enc = bpe._text_encoder(shared, pattern)
-        for batch in batches:
+        for batch in tidied(batches):
             whole: list[bytes] = []
             for _, held in steps((x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()), STEP_BYTES):
                 whole += enc.encode_all([x.decode("utf-8", "replace") for x in held])
@@ -261,7 +261,7 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", id_col: str = "
         from folioframe.llm import bpe
 
         enc = bpe._text_encoder(shared, "").encoder
-        for batch in batches:
+        for batch in tidied(batches):
             out = [None if x is None else enc.decode(np.array(x, "<u4").tobytes()).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], [id_col, "text"])
 

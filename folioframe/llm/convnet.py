@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm._spark import ship
-from folioframe.llm._words import steps
+from folioframe.llm._words import steps, tidied
 
 CHUNK, OVERLAP, WIDTH, FILTERS = 256, 32, 8, 24
 #: Bounds of the labelled sample: documents of a class, and bytes of all documents; a document that would exceed these is passed over.
@@ -209,7 +209,7 @@ def score(df: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, id_co
     shared = spark.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             p = shared.value.probabilities([x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names[1:], "score", "predicted"])
 

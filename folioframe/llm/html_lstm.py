@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm._spark import ship
-from folioframe.llm._words import word_hashes
+from folioframe.llm._words import tidied, word_hashes
 
 PATH_SLOTS, WORD_SLOTS, PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 1024, 1024, 12, 6, 6, 16
 #: Bounds of the training set: generated pages, and given pages (of at most SAMPLE_CHARS each).
@@ -447,7 +447,7 @@ def extract(df: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url"), html_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from folioframe.llm import html_lstm as m
 
-        for batch in batches:
+        for batch in tidied(batches):
             texts, counts, mains = [], [], []
             held, size = [], 0
             for k, h in enumerate(batch.column(0).to_pylist()):

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from folioframe.llm._groups import SALTS, beside, components, salt, summed
 from folioframe.llm._spark import checkpointed, ship, spread
-from folioframe.llm._words import mix, shingles, steps, word_hashes
+from folioframe.llm._words import mix, release, shingles, steps, tidied, word_hashes
 
 #: Shingles that one counting task takes, and that a reading task sends at once.
 COUNTED, SENT = 1_000_000, 1_000_000
@@ -271,7 +271,7 @@ def link(df: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: str
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from folioframe.llm import ngram_join as m
 
-        for batch in batches:
+        for batch in tidied(batches):
             fp, n = [], []
             for _, s in m.text_sets(batch.column(2), words):
                 fp.append(m.set_fingerprint(s))
@@ -313,19 +313,21 @@ def _slice_counts(keyed: DataFrame, total: int, words: int, part_of: float) -> D
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from folioframe.llm import ngram_join as m
 
-        for batch in batches:
+        for batch in tidied(batches):
             for row in m._sent(m.text_sets(batch.column(0), words), parts, width, edge):
                 yield pa.RecordBatch.from_pylist([row], m._DEALT)
 
     def count(t: pa.Table) -> pa.Table:
         from folioframe.llm import ngram_join as m
 
+        release()
         _, fps, _, number = m._counted(t)
         return m._told(fps, np.ones(len(fps), np.int64), (number > 1).astype(np.int64), tasks)
 
     def add(t: pa.Table) -> pa.Table:
         from folioframe.llm import ngram_join as m
 
+        release()
         return m._per_class(m._joined(t, "fps", np.int64), m._joined(t, "held", np.int32), m._joined(t, "shared", np.int32))
 
     dealt = keyed.select("t").mapInArrow(deal, _DEALT_SQL)
@@ -371,7 +373,7 @@ def _ordered_sets(keyed: DataFrame, alive: DataFrame, words: int, sim: Similarit
         from folioframe.llm import ngram_join as m
 
         bits = shared.value
-        for batch in batches:
+        for batch in tidied(batches):
             keep = None
             if bits is not None:
                 a, b = batch.column(0).to_numpy() & (8 * len(bits) - 1), batch.column(1).to_numpy() & (8 * len(bits) - 1)
@@ -382,6 +384,7 @@ def _ordered_sets(keyed: DataFrame, alive: DataFrame, words: int, sim: Similarit
     def common(t: pa.Table) -> pa.Table:
         from folioframe.llm import ngram_join as m
 
+        release()
         hashes, fps, sizes, number = m._counted(t)
         keep = number > 1
         hashes, fps, sizes, number = hashes[keep], fps[keep], sizes[keep], np.minimum(number[keep], 65535).astype(np.uint16)
@@ -398,6 +401,7 @@ def _ordered_sets(keyed: DataFrame, alive: DataFrame, words: int, sim: Similarit
     def order_sets(t: pa.Table) -> pa.Table:
         from folioframe.llm import ngram_join as m
 
+        release()
         fps, sizes, hashes, number = m._joined(t, "fps", np.int64), m._joined(t, "sizes", np.int32), m._joined(t, "hashes", np.uint64), m._joined(t, "numbers", np.uint16)
         order = np.lexsort((hashes, number, fps))
         fps, sizes, hashes = fps[order], sizes[order], hashes[order]
@@ -441,7 +445,7 @@ def _meet(live: DataFrame, sim: Similarity) -> DataFrame:
         from folioframe.llm import ngram_join as m
 
         held: list[dict] = []
-        for batch in batches:
+        for batch in tidied(batches):
             out: list[tuple[int, int, int]] = []
             for row in batch.to_pylist():
                 if held and (row["leader"], row["i"], row["j"]) != (held[0]["leader"], held[0]["i"], held[0]["j"]):
