@@ -3,8 +3,10 @@
 1. Every text becomes its set of shingle hashes; texts with equal sets form one class, and only classes are compared.
 2. Two linked sets miss at most D(n) = floor((1 - t) n) of each other's shingles. In a fixed slice of the hash space that holds more
    than that share, shingles are counted over all classes; a class whose slice has more than D(n) shingles that no other class has
-   cannot link and goes no further.
-3. For the rest, all shingles are counted. Sorted by rising count, two linked sets share one of their first D(n) + 1
+   cannot link and goes no further. A range of the slice gets 32 bits of a hash: two that agree in them count as one that is shared, so a
+   class may go on for nothing but none is lost. Only classes with shared shingles are told of, so what returns does not grow with the ranges.
+3. For the rest, all shingles are counted, and those of two or more classes get numbers, which stand for them from there on. Sorted by
+   rising count, two linked sets share one of their first D(n) + 1
    shingles (their prefixes). Classes of like sizes with a common prefix shingle meet at the smallest of them, their leader, so a pair that
    shares many shingles meets at few leaders, and a long text meets no short ones: sizes fall into classes a factor 1 / t wide, and linked
    sets lie in the same or in neighbouring ones.
@@ -36,8 +38,10 @@ from folioframe.llm._groups import SALTS, beside, components, salt, summed
 from folioframe.llm._spark import checkpointed, ship, spread
 from folioframe.llm._words import mix, release, shingles, steps, tidied, word_hashes
 
-#: Shingles that one counting task takes, and that a reading task sends at once.
-COUNTED, SENT = 1_000_000, 1_000_000
+#: Shingles that one counting task takes (of whole hashes, of 32 bits), and that a reading task sends at once.
+COUNTED, COUNTED_NARROW, SENT = 1_000_000, 2_000_000, 1_000_000
+#: The largest number of a shingle that is sent in 4 bytes.
+NARROW = 2**32 - 1
 #: Least and most classes of a chunk at a leader, the chunks that it is dealt into before they grow, and the shingles of a chunk.
 CHUNK, CHUNK_MOST, CHUNKS, CHUNK_SHINGLES = 128, 1_024, 16, 1_000_000
 #: Bits of the filter that tells which documents go on: 16 for each class. Where these are more than this bound (16 MB), a join tells it.
@@ -77,8 +81,16 @@ def text_sets(column: pa.Array, words: int, keep: np.ndarray | None = None) -> I
             yield at[first + k], shingles(hashes[off[k] : off[k + 1]], words)
 
 
-def _dealt(found: list[tuple[int, int, np.ndarray]], parts: int, width: int) -> Iterator[dict]:
-    """Sets (fingerprint, size, shingles) as a row for each range of hashes: fingerprints, sizes, counts and shingles, as bytes."""
+def _small(x: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold the largest."""
+    return x.astype(np.min_scalar_type(int(x.max()))).tobytes()
+
+
+def _dealt(found: list[tuple[int, int, np.ndarray]], parts: int, width: int, narrow: bool) -> Iterator[dict]:
+    """Sets (fingerprint, size, shingles) as a row for each range of hashes: fingerprints, sizes, counts and shingles, as bytes.
+
+    ``narrow``: without sizes, and of a shingle the first 32 bits of its place in the range.
+    """
     if not found:
         return
     fps = np.array([f for f, _, _ in found], np.int64)
@@ -86,6 +98,9 @@ def _dealt(found: list[tuple[int, int, np.ndarray]], parts: int, width: int) ->
     hashes = np.concatenate([s for _, _, s in found])
     owner = np.repeat(np.arange(len(found)), [len(s) for _, _, s in found])
     part = np.minimum((hashes // np.uint64(min(width, 2**64 - 1))).astype(np.int64), parts - 1)
+    if narrow:
+        place = hashes - part.astype(np.uint64) * np.uint64(min(width, 2**64 - 1))
+        hashes = (place >> np.uint64(max(0, (width - 1).bit_length() - 32))).astype(np.uint32)
     order = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[order], np.arange(parts + 1))
     for p in range(parts):
@@ -93,10 +108,10 @@ def _dealt(found: list[tuple[int, int, np.ndarray]], parts: int, width: int) ->
         if len(own):
             count = np.bincount(owner[own], minlength=len(found))
             has = np.flatnonzero(count)
-            yield {"p": p, "fps": fps[has].tobytes(), "sizes": sizes[has].tobytes(), "counts": count[has].astype(np.int32).tobytes(), "hashes": hashes[own].tobytes()}
+            yield {"p": p, "fps": fps[has].tobytes(), "sizes": b"" if narrow else sizes[has].tobytes(), "counts": _small(count[has]), "hashes": hashes[own].tobytes()}
 
 
-def _sent(sets: Iterator[tuple[int, np.ndarray]], parts: int, width: int, edge: int) -> Iterator[dict]:
+def _sent(sets: Iterator[tuple[int, np.ndarray]], parts: int, width: int, edge: int, narrow: bool) -> Iterator[dict]:
     """The distinct non-empty sets, cut to hashes below ``edge``, dealt by range; about SENT shingles at a time."""
     found, seen, held = [], set(), 0
     for _, s in sets:
@@ -105,9 +120,9 @@ def _sent(sets: Iterator[tuple[int, np.ndarray]], parts: int, width: int, edge:
             found.append((fp, len(s), s if edge == 2**64 else s[: np.searchsorted(s, np.uint64(edge))].copy()))
             held += len(found[-1][2])
         if held >= SENT:
-            yield from _dealt(found, parts, width)
+            yield from _dealt(found, parts, width, narrow)
             found, held = [], 0
-    yield from _dealt(found, parts, width)
+    yield from _dealt(found, parts, width, narrow)
 
 
 _DEALT = pa.schema([("p", pa.int32()), ("fps", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
@@ -118,19 +133,28 @@ def _joined(t: pa.Table, name: str, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()])
 
 
-def _counted(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (hash, fingerprint) of a range, sorted by hash: hashes, fingerprints, set sizes, and how many classes have the hash."""
-    counts = _joined(t, "counts", np.int32)
-    fps, sizes, hashes = np.repeat(_joined(t, "fps", np.int64), counts), np.repeat(_joined(t, "sizes", np.int32), counts), _joined(t, "hashes", np.uint64)
-    order = np.lexsort((fps, hashes))
-    fps, sizes, hashes = fps[order], sizes[order], hashes[order]
-    new = np.ones(len(fps), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (fps[1:] != fps[:-1])
-    fps, sizes, hashes = fps[new], sizes[new], hashes[new]
-    first = np.ones(len(fps), bool)
+def _joined_small(t: pa.Table, name: str, beside: str, width: int) -> np.ndarray:
+    """A column of ``_small`` counts, one for each ``width`` bytes of another column."""
+    pairs = zip(t.column(name).to_pylist(), t.column(beside).to_pylist())
+    return np.concatenate([np.frombuffer(x, f"u{len(x) // (len(y) // width)}").astype(np.int64) for x, y in pairs])
+
+
+def _counted(t: pa.Table, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of a range, each class's once, sorted by hash: where the hash is new, their classes' places in the range, how many
+    entries have the hash; and the classes' fingerprints by place. Equal classes that came from several tasks have equal shingles."""
+    fps, hashes = _joined(t, "fps", np.int64), _joined(t, "hashes", kind)
+    once = np.zeros(len(fps), bool)
+    once[np.unique(fps, return_index=True)[1]] = True
+    owner = np.repeat(np.arange(len(fps)), _joined_small(t, "counts", "fps", 8))
+    if not once.all():
+        keep = once[owner]
+        owner, hashes = owner[keep], hashes[keep]
+    order = np.argsort(hashes, kind="stable")
+    owner, hashes = owner[order], hashes[order]
+    first = np.ones(len(hashes), bool)
     first[1:] = hashes[1:] != hashes[:-1]
     run = np.cumsum(first) - 1
-    return hashes, fps, sizes, np.bincount(run)[run] if len(run) else run
+    return first, owner, np.bincount(run)[run] if len(run) else run, fps
 
 
 class Trie:
@@ -267,28 +291,30 @@ def link(df: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: str
     sim = Similarity(num, den)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     kind = docs.schema["id"].dataType.simpleString()
+    part_of = min(1.0, 2.5 * (den - num) / den)
+    edge = int(part_of * 2**64) if part_of < 1 else 2**64
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from folioframe.llm import ngram_join as m
 
         for batch in tidied(batches):
-            fp, n = [], []
+            fp, n, held = [], [], []
             for _, s in m.text_sets(batch.column(2), words):
                 fp.append(m.set_fingerprint(s))
                 n.append(len(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(n, pa.int64())], ["id", "text_hash", "fp", "n"])
+                held.append(len(s) if edge == 2**64 else int(np.searchsorted(s, np.uint64(edge))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(held, pa.int64())], ["id", "text_hash", "fp", "n", "held"])
 
     keyed = docs.select("id", F.xxhash64("t").alias("text_hash"), "t")
-    rows = checkpointed(keyed.mapInArrow(fingerprint, f"id {kind}, text_hash long, fp long, n long").withColumn("_salt", salt("id", "text_hash")))
-    classes = checkpointed(summed(rows.where("n > 0"), "fp", [F.min("id").alias("id"), F.min(F.xxhash64("id", "text_hash")).alias("k"), F.count("*").alias("c"), F.first("n").alias("n")], [F.min("id").alias("least"), F.min("k").alias("one"), F.sum("c").alias("members"), F.first("n").alias("n")]))
+    rows = checkpointed(keyed.mapInArrow(fingerprint, f"id {kind}, text_hash long, fp long, n long, held long").withColumn("_salt", salt("id", "text_hash")))
+    classes = checkpointed(summed(rows.where("n > 0"), "fp", [F.min("id").alias("id"), F.min(F.xxhash64("id", "text_hash")).alias("k"), F.count("*").alias("c"), F.first("n").alias("n"), F.first("held").alias("held")], [F.min("id").alias("least"), F.min("k").alias("one"), F.sum("c").alias("members"), F.first("n").alias("n"), F.first("held").alias("held")]))
 
     lacking = F.floor(F.col("n") * (den - num) / den)
-    part_of = min(1.0, 2.5 * (den - num) / den)
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    alive = classes.join(_slice_counts(keyed, total, words, part_of), "fp", "left")
-    alive = checkpointed(alive.where(F.coalesce("shared", F.lit(0)) >= F.coalesce("held", F.lit(0)) - lacking).select("fp", "one", "members", "n"))
+    total = rows.agg(F.sum("held")).first()[0] or 0
+    alive = classes.join(_slice_shared(keyed, total, words, edge), "fp", "left")
+    alive = checkpointed(alive.where(F.coalesce("shared", F.lit(0)) >= F.col("held") - lacking).select("fp", "one", "members", "n"))
     live = checkpointed(_ordered_sets(keyed, alive, words, sim))
-    found = checkpointed(_meet(live, sim))
+    found = checkpointed(_meet(live, alive.select("fp", "members"), sim))
 
     root = components(found.select(F.col("fp").alias("u"), F.col("root").alias("v")))
     of = classes.select("fp", "least").join(root.withColumnRenamed("node", "fp"), "fp").withColumn("_salt", salt("fp"))
@@ -300,13 +326,12 @@ def link(df: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: str
     return linked.union(rows.where("n = 0").select("id", "text_hash", "n", F.col("id"), F.lit(0).cast("long"), F.lit(None).cast("long")))
 
 
-def _slice_counts(keyed: DataFrame, total: int, words: int, part_of: float) -> DataFrame:
-    """(fp, held, shared): of the shingles in the slice, how many a class has, and how many of them another class has too.
+def _slice_shared(keyed: DataFrame, total: int, words: int, edge: int) -> DataFrame:
+    """(fp, shared): how many of a class's shingles below ``edge`` another class has too (no fewer; 32 bits may mistake one); without classes that share none.
 
     Every task sends the classes that it reads, copies in other tasks too, so ranges are sized by the ``total`` of the rows' shingles.
     """
-    edge = int(part_of * 2**64) if part_of < 1 else 2**64
-    parts = max(1, round(total * part_of / COUNTED) + 1)
+    parts = max(1, round(total / COUNTED_NARROW) + 1)
     width = edge // parts + 1
     tasks = spread(keyed.sparkSession)
 
@@ -314,50 +339,49 @@ def _slice_counts(keyed: DataFrame, total: int, words: int, part_of: float) -> D
         from folioframe.llm import ngram_join as m
 
         for batch in tidied(batches):
-            for row in m._sent(m.text_sets(batch.column(0), words), parts, width, edge):
+            for row in m._sent(m.text_sets(batch.column(0), words), parts, width, edge, True):
                 yield pa.RecordBatch.from_pylist([row], m._DEALT)
 
     def count(t: pa.Table) -> pa.Table:
         from folioframe.llm import ngram_join as m
 
         release()
-        _, fps, _, number = m._counted(t)
-        return m._told(fps, np.ones(len(fps), np.int64), (number > 1).astype(np.int64), tasks)
+        _, owner, number, fps = m._counted(t, np.uint32)
+        return m._told(fps, np.bincount(owner[number > 1], minlength=len(fps)), tasks)
 
     def add(t: pa.Table) -> pa.Table:
         from folioframe.llm import ngram_join as m
 
         release()
-        return m._per_class(m._joined(t, "fps", np.int64), m._joined(t, "held", np.int32), m._joined(t, "shared", np.int32))
+        fps, at = np.unique(m._joined(t, "fps", np.int64), return_inverse=True)
+        return pa.table({"fp": fps, "shared": np.bincount(at, m._joined_small(t, "shared", "fps", 8)).astype(np.int64)})
 
     dealt = keyed.select("t").mapInArrow(deal, _DEALT_SQL)
-    told = dealt.groupBy("p").applyInArrow(count, "q int, fps binary, held binary, shared binary")
-    return told.groupBy("q").applyInArrow(add, "fp long, held long, shared long")
-
+    told = dealt.groupBy("p").applyInArrow(count, "q int, fps binary, shared binary")
+    return told.groupBy("q").applyInArrow(add, "fp long, shared long")
 
-def _per_class(fps: np.ndarray, held: np.ndarray, shared: np.ndarray) -> pa.Table:
-    """Sums by class."""
-    order = np.argsort(fps, kind="stable")
-    fps, held, shared = fps[order], held[order].astype(np.int64), shared[order].astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], fps[1:] != fps[:-1]])) if len(fps) else np.zeros(0, np.int64)
-    sums = [np.add.reduceat(x, first) if len(first) else x for x in (held, shared)]
-    return pa.table({"fp": fps[first], "held": sums[0], "shared": sums[1]})
 
-
-def _told(fps: np.ndarray, held: np.ndarray, shared: np.ndarray, tasks: int) -> pa.Table:
-    """Sums by class of one range of hashes, packed into a row for each of ``tasks`` groups of classes."""
-    t = _per_class(fps, held, shared)
-    fps, held, shared = (t.column(c).to_numpy() for c in ("fp", "held", "shared"))
+def _told(fps: np.ndarray, shared: np.ndarray, tasks: int) -> pa.Table:
+    """Counts of one range of hashes, without zeros, packed into a row for each of ``tasks`` groups of classes."""
+    has = np.flatnonzero(shared)
+    fps, shared = fps[has], shared[has]
     group = (fps.astype(np.uint64) % np.uint64(tasks)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    cuts = np.searchsorted(group[order], np.arange(tasks + 1))
     out = []
-    for q in np.unique(group).tolist():
-        own = group == q
-        out.append({"q": q, "fps": fps[own].tobytes(), "held": held[own].astype(np.int32).tobytes(), "shared": shared[own].astype(np.int32).tobytes()})
-    return pa.Table.from_pylist(out, pa.schema([("q", pa.int32()), ("fps", pa.binary()), ("held", pa.binary()), ("shared", pa.binary())]))
+    for q in range(tasks):
+        own = order[cuts[q] : cuts[q + 1]]
+        if len(own):
+            out.append({"q": q, "fps": fps[own].tobytes(), "shared": _small(shared[own])})
+    return pa.Table.from_pylist(out, pa.schema([("q", pa.int32()), ("fps", pa.binary()), ("shared", pa.binary())]))
 
 
 def _ordered_sets(keyed: DataFrame, alive: DataFrame, words: int, sim: Similarity) -> DataFrame:
-    """(fp, n, members, prefix, shingles) of the classes that share a prefix shingle with another; one of a class's rows sends its shingles."""
+    """(fp, n, prefix, shingles, wide) of the classes that share a prefix shingle with another; one of a class's rows sends its shingles.
+
+    Shingles are numbers of 4 bytes, of 8 where ``wide``: in its range each gets the next one, and ranges take turns. A few classes may be
+    there that are not in ``alive`` (the filter's mistakes); they link with none.
+    """
     spark = keyed.sparkSession
     size = alive.agg(F.count("*").alias("c"), F.sum("n").alias("n")).first()
     keyed = keyed.select(F.xxhash64("id", "text_hash").alias("one"), "t")
@@ -368,6 +392,7 @@ def _ordered_sets(keyed: DataFrame, alive: DataFrame, words: int, sim: Similarit
     parts = max(1, round((size["n"] or 0) / COUNTED) + 1)
     width = 2**64 // parts + 1
     sets = max(parts, spread(spark))
+    narrow = NARROW
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from folioframe.llm import ngram_join as m
@@ -378,49 +403,54 @@ def _ordered_sets(keyed: DataFrame, alive: DataFrame, words: int, sim: Similarit
             if bits is not None:
                 a, b = batch.column(0).to_numpy() & (8 * len(bits) - 1), batch.column(1).to_numpy() & (8 * len(bits) - 1)
                 keep = np.flatnonzero((bits[a >> 3] >> (a & 7).astype(np.uint8) & 1) & (bits[b >> 3] >> (b & 7).astype(np.uint8) & 1))
-            for row in m._sent(m.text_sets(batch.column(2), words, keep), parts, width, 2**64):
+            for row in m._sent(m.text_sets(batch.column(2), words, keep), parts, width, 2**64, False):
                 yield pa.RecordBatch.from_pylist([row], m._DEALT)
 
     def common(t: pa.Table) -> pa.Table:
         from folioframe.llm import ngram_join as m
 
         release()
-        hashes, fps, sizes, number = m._counted(t)
-        keep = number > 1
-        hashes, fps, sizes, number = hashes[keep], fps[keep], sizes[keep], np.minimum(number[keep], 65535).astype(np.uint16)
-        part = fps.astype(np.uint64) % np.uint64(sets)
-        order = np.lexsort((fps, part))
-        cuts = np.searchsorted(part[order], np.arange(sets + 1).astype(np.uint64))
-        out = []
+        first, owner, number, fps = m._counted(t, np.uint64)
+        sizes, keep = m._joined(t, "sizes", np.int32), number > 1
+        rank = (np.cumsum(first[keep]) - 1).astype(np.uint32)
+        owner, number = owner[keep], np.minimum(number[keep], 65535)
+        part = (fps.astype(np.uint64) % np.uint64(sets)).astype(np.int64)[owner]
+        order = np.lexsort((owner, part))
+        cuts = np.searchsorted(part[order], np.arange(sets + 1))
+        p, out = t.column("p")[0].as_py(), []
         for q in range(sets):
             own = order[cuts[q] : cuts[q + 1]]
             if len(own):
-                out.append({"q": q, "fps": fps[own].tobytes(), "sizes": sizes[own].tobytes(), "hashes": hashes[own].tobytes(), "numbers": number[own].tobytes()})
-        return pa.Table.from_pylist(out, pa.schema([("q", pa.int32()), ("fps", pa.binary()), ("sizes", pa.binary()), ("hashes", pa.binary()), ("numbers", pa.binary())]))
+                has, count = np.unique(owner[own], return_counts=True)
+                out.append({"q": q, "p": p, "fps": fps[has].tobytes(), "sizes": sizes[has].tobytes(), "counts": m._small(count), "ranks": rank[own].tobytes(), "numbers": m._small(number[own])})
+        return pa.Table.from_pylist(out, pa.schema([("q", pa.int32()), ("p", pa.int32()), *((c, pa.binary()) for c in ("fps", "sizes", "counts", "ranks", "numbers"))]))
 
     def order_sets(t: pa.Table) -> pa.Table:
         from folioframe.llm import ngram_join as m
 
         release()
-        fps, sizes, hashes, number = m._joined(t, "fps", np.int64), m._joined(t, "sizes", np.int32), m._joined(t, "hashes", np.uint64), m._joined(t, "numbers", np.uint16)
-        order = np.lexsort((hashes, number, fps))
-        fps, sizes, hashes = fps[order], sizes[order], hashes[order]
+        counts = m._joined_small(t, "counts", "fps", 8)
+        fps, sizes = np.repeat(m._joined(t, "fps", np.int64), counts), np.repeat(m._joined(t, "sizes", np.int32), counts)
+        turn = np.repeat(t.column("p").to_numpy().astype(np.uint64), [len(x) // 4 for x in t.column("ranks").to_pylist()])
+        ids = m._joined(t, "ranks", np.uint32).astype(np.uint64) * np.uint64(parts) + turn
+        order = np.lexsort((ids, m._joined_small(t, "numbers", "ranks", 4), fps))
+        fps, sizes, ids = fps[order], sizes[order], ids[order]
         first = np.flatnonzero(np.concatenate([[True], fps[1:] != fps[:-1]])).tolist() if len(fps) else []
         out = []
         for a, b in zip(first, [*first[1:], len(fps)]):
             n = int(sizes[a])
             prefix = sim.misses(n) + 1 - (n - (b - a))
             if prefix > 0:
-                out.append({"fp": int(fps[a]), "prefix": hashes[a : a + prefix].astype(np.int64), "shingles": hashes[a:b].tobytes()})
-        return pa.Table.from_pylist(out, pa.schema([("fp", pa.int64()), ("prefix", pa.list_(pa.int64())), ("shingles", pa.binary())]))
+                wide = bool(ids[a:b].max() > narrow)
+                out.append({"fp": int(fps[a]), "n": n, "prefix": ids[a : a + prefix].astype(np.int64), "shingles": ids[a:b].astype(np.uint64 if wide else np.uint32).tobytes(), "wide": wide})
+        return pa.Table.from_pylist(out, pa.schema([("fp", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("shingles", pa.binary()), ("wide", pa.bool_())]))
 
     dealt = keyed.select(F.col("one").alias("a"), F.xxhash64("one").alias("b"), "t").mapInArrow(deal, _DEALT_SQL)
-    kept = dealt.groupBy("p").applyInArrow(common, "q int, fps binary, sizes binary, hashes binary, numbers binary")
-    ordered = kept.groupBy("q").applyInArrow(order_sets, "fp long, prefix array<long>, shingles binary")
-    return ordered.join(alive, "fp").select("fp", "n", "members", "prefix", "shingles")
+    kept = dealt.groupBy("p").applyInArrow(common, "q int, p int, fps binary, sizes binary, counts binary, ranks binary, numbers binary")
+    return kept.groupBy("q").applyInArrow(order_sets, "fp long, n long, prefix array<long>, shingles binary, wide boolean")
 
 
-def _meet(live: DataFrame, sim: Similarity) -> DataFrame:
+def _meet(live: DataFrame, members: DataFrame, sim: Similarity) -> DataFrame:
     """(fp, root, links): for each leader, the linked classes, the least of their component there, and the rows they link with there."""
     # a hair wider than the factor, so that rounding parts no linked sets
     scale = F.floor(F.log(F.col("n").cast("double")) / (math.log(sim.den / sim.num) + 1e-9)) if sim.num < sim.den else F.col("n")
@@ -438,7 +468,7 @@ def _meet(live: DataFrame, sim: Similarity) -> DataFrame:
     all_of = met.groupBy("fp").agg(F.sort_array(F.collect_set("leader")).alias("leaders"))
     dealt = placed.withColumn("cj", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     dealt = dealt.select("fp", "leader", "ci", F.least("ci", "cj").alias("i"), F.greatest("ci", "cj").alias("j"))
-    whole = live.join(all_of, "fp").select("fp", "n", "members", "leaders", "shingles")
+    whole = live.join(all_of.join(members, "fp"), "fp").select("fp", "n", "members", "leaders", "shingles", "wide")
     tasks = dealt.join(whole, "fp").repartition(spread(live.sparkSession), "leader", "i", "j").sortWithinPartitions("leader", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,7 +486,7 @@ def _meet(live: DataFrame, sim: Similarity) -> DataFrame:
         if held:
             yield m._links_batch(m._group_links(held, sim))
 
-    return tasks.select("leader", "i", "j", "ci", "fp", "n", "members", "leaders", "shingles").mapInArrow(run, "fp long, root long, links long")
+    return tasks.select("leader", "i", "j", "ci", "fp", "n", "members", "leaders", "shingles", "wide").mapInArrow(run, "fp long, root long, links long")
 
 
 def _links_batch(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
@@ -479,7 +509,7 @@ def _group_links(held: list[dict], sim: Similarity) -> list[tuple[int, int, int]
             x = parent[x]
         return x
 
-    sets = [np.frombuffer(r["shingles"], np.uint64) for r in held]
+    sets = [np.frombuffer(r["shingles"], np.uint64 if r["wide"] else np.uint32) for r in held]
     for a, b, _ in join_group(sets, np.array([r["n"] for r in held], np.int64), sim):
         if across and held[a]["ci"] == held[b]["ci"]:
             continue

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -224,6 +225,56 @@ def test_join_edges(spark, edge, none):
     assert ngram_join.link(none).collect() == []
 
 
+def shuffled(spark):
+    """Bytes that the session's executors have written to shuffles so far."""
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+
+def test_join_sends_no_more_for_more_ranges(spark, monkeypatch):
+    """As a corpus grows, a class's shingles are dealt over more ranges, here to two in each; what is sent for a shingle must stay bounded."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"u{rng.randrange(10**9)}" for _ in range(802))) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for bound in ("COUNTED", "COUNTED_NARROW"):
+        monkeypatch.setattr(ngram_join, bound, 1_200, raising=False)
+    before = shuffled(spark)
+    assert joined(df, 3, 90, 100) == {(k, 800, k, 0): 1 for k in range(600)}
+    assert shuffled(spark) - before < 9 * (600 * 800 / 4)
+
+
+def test_join_with_numbers_of_eight_bytes(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for k in range(120):
+        t = [f"n{k % 6}w{j}" for j in range(50)]
+        t[rng.randrange(50)] = f"x{rng.randrange(9)}"
+        rows.append((k, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "NARROW", 40)
+    monkeypatch.setattr(ngram_join, "COUNTED", 500)
+    assert joined(df, 3, 8, 10) == brute_links(rows, 3, 8, 10)
+
+
+def test_counts_of_32_bits_lose_no_shared_shingle():
+    """Shingles that agree in the bits that are sent count as shared, copies from other tasks do not."""
+    base = np.array([5, 6, 1 << 40, 1 << 63, 2**64 - 1], np.uint64)
+    one, two = (np.append(base, np.uint64(x)) for x in (1 << 50, 1 << 51))
+    alone = np.array([1 << 45, 1 << 46, 1 << 62], np.uint64)
+    for parts in (1, 3):
+        width = 2**64 // parts + 1
+        sets = [np.sort(s) for s in (one, two, alone)]
+        rows = [r for _ in range(2) for r in ngram_join._sent(enumerate(sets), parts, width, 2**64, True)]
+        shared = Counter()
+        for p in range(parts):
+            own = [r for r in rows if r["p"] == p]
+            if own:
+                _, owner, number, fps = ngram_join._counted(pa.Table.from_pylist(own, ngram_join._DEALT), np.uint32)
+                shared.update(fps[owner[number > 1]].tolist())
+        got = [shared[ngram_join.set_fingerprint(s)] for s in sets]
+        assert got == [5, 5, 0]
+
+
 def test_trie_finds_all_overlaps():
     rng = np.random.default_rng(8)
     sim = ngram_join.Similarity(8, 10)
